@@ -21,8 +21,8 @@ def bound_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to BATCH_ROWS and BATCH_BYTES, unless the session asks for less."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key, "0").rstrip("bB")
-        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, most)
 
 

@@ -1,8 +1,12 @@
 """Queries of this subpackage, and the SQL that gives the same rows where SQL can express them."""
 
-from . import bpe
+from . import bpe, decontaminate, lengths, repetition, simhash
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+    "op2_length_histogram": lengths.op2_length_histogram,
+    "op3_repetition_rules": repetition.op3_repetition_rules,
+    "op6_simhash_components": simhash.op6_simhash_components,
+    "op8_decontamination": decontaminate.op8_decontamination,
 }
 ORACLES: dict[str, str] = {}

@@ -1,11 +1,12 @@
 """Queries of this subpackage, and the SQL that gives the same rows where SQL can express them."""
 
-from . import bpe, decontaminate, lengths, repetition, simhash
+from . import bpe, decontaminate, langid, lengths, repetition, simhash
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
     "op2_length_histogram": lengths.op2_length_histogram,
     "op3_repetition_rules": repetition.op3_repetition_rules,
+    "op5_language": langid.op5_language,
     "op6_simhash_components": simhash.op6_simhash_components,
     "op8_decontamination": decontaminate.op8_decontamination,
 }

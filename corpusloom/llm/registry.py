@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL that gives the same rows where SQL can express them."""
 
-from . import bpe, decontaminate, langid, lengths, repetition, simhash
+from . import bpe, decontaminate, langid, lengths, mixing, repetition, simhash
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -9,5 +9,6 @@ QUERIES = {
     "op5_language": langid.op5_language,
     "op6_simhash_components": simhash.op6_simhash_components,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op10_context_mixing": mixing.op10_context_mixing,
 }
 ORACLES: dict[str, str] = {}

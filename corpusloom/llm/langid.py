@@ -246,18 +246,23 @@ def predicted(text: Column, spark: SparkSession, model: tuple[list[str], np.ndar
     return predict(text)
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """docs with held_out, lang_pred and score as struct column _lang; learns from the rows that are not held out."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """Whole rows of docs as _row, beside _held and _lang; learns from the rows that are not held out."""
     common.bound_batches(docs.sparkSession)
     held = common.fold(F.col("doc_id"), FOLDS) == 0
     model = learn(docs.where(~held))
-    return docs.withColumn("_lang", predicted(F.col("text"), docs.sparkSession, model)).withColumn("_held", held)
+    return docs.select(F.struct(*docs.columns).alias("_row"), held.alias("_held"), predicted(F.col("text"), docs.sparkSession, model).alias("_lang"))
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for each row of docs."""
+    return _judged(docs.select("doc_id", "text", "lang")).select("_row.doc_id", F.col("_held").alias("held_out"), "_lang.lang_pred", "_lang.score")
 
 
 def sure_only(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose text has a language with a posterior of at least `least`."""
-    return identify(docs).where((F.col("_lang.lang_pred") != UNKNOWN) & (F.col("_lang.score") >= least)).select(*docs.columns)
+    return _judged(docs).where((F.col("_lang.lang_pred") != UNKNOWN) & (F.col("_lang.score") >= least)).select("_row.*")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(common.table(spark, sf_dir, "documents")).select("doc_id", F.col("_held").alias("held_out"), "_lang.lang_pred", "_lang.score")
+    return identify(common.table(spark, sf_dir, "documents"))

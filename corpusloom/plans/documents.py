@@ -187,7 +187,7 @@ def entity_salience_map(spark, sf_dir):
 
 def name_candidates(spark, sf_dir):
     docs = standins.raw_texts(spark, sf_dir)
-    return entities.candidates(docs.select("title"), standins.entities(spark), ("the", "and", "que", "der"), 1, ("the", "and"))
+    return entities.candidates(docs.select(F.initcap("title").alias("title")), standins.entities(spark), ("the", "and", "que", "der"), 3, ("of", "und"))
 
 
 def candidate_confidence(spark, sf_dir):
@@ -395,6 +395,38 @@ ORACLES: dict[str, str] = {
     "upsert_by_key": "WITH n AS (SELECT doc_id * 2 AS doc_id, 'new' AS lang, source FROM documents WHERE doc_id % 7 = 0) SELECT d.doc_id, coalesce(n.lang, d.lang) AS lang, d.source FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id UNION ALL SELECT doc_id, lang, source FROM n WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
 }
 
+_AUDIT_STOP = "[" + ", ".join(f"'{w}'" for w in V.AUDIT_STOPWORDS) + "]"
+_CAUSE = rf"""t AS (SELECT doc_id, text, regexp_extract_all(lower(title), '{_WORD}') AS tw, lower(left(text, 2000)) AS head FROM raw_texts),
+p AS (SELECT *, list_distinct(list_transform(range(1, len(tw)), lambda i: tw[i] || ' ' || tw[i + 1])) AS pairs, list_distinct(list_filter(tw, lambda x: NOT list_contains({_AUDIT_STOP}, x))) AS single FROM t),
+c AS (SELECT *, CAST(len(list_filter(pairs, lambda b: contains(head, b))) AS DOUBLE) AS found, CAST(len(list_filter(single, lambda b: contains(head, b))) AS DOUBLE) AS alone FROM p),
+caused AS (SELECT *, CASE WHEN len(pairs) = 0 THEN 0 WHEN found > 0 THEN found / len(pairs) WHEN len(single) = 0 THEN 0 ELSE alone / len(single) * 0.5 END AS causality FROM c)"""
+_TOKENS = lambda c: f"regexp_extract_all(lower({c}), '{_WORD}')"
+_WORDS = lambda c: rf"list_filter(regexp_split_to_array(trim({c}), '\s+'), lambda x: x <> '')"
+_QUOTE = "'[" + V.QUOTES + "]'"
+_SENTENCES_P = _SENTENCES.replace("regexp_replace(piece, '\\s+$', '') AS sentence FROM pieces", "regexp_replace(piece, '\\s+$', '') AS sentence, coalesce(sum(len(regexp_extract_all(piece, '\\n\\n'))) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS paragraph FROM pieces").replace('AS "end", sentence FROM placed', 'AS "end", sentence, paragraph FROM placed')
+_WINDOWS = f"""near AS (SELECT *, {_TOKENS("sentence")} AS toks, lag(sentence) OVER w AS l1, lag(sentence, 2) OVER w AS l2, lead(sentence) OVER w AS nx FROM sentences WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+marked AS (SELECT *, list_has_any(toks, ['that', 'with']) AS act, list_has_any(toks, ['was']) AND l1 IS NOT NULL AS back, coalesce({_TOKENS("nx")}[1] = 'the', false) OR coalesce(regexp_matches(left(nx, 5), {_QUOTE}), false) AS opens FROM near),
+sided AS (SELECT *, concat_ws(' ', CASE WHEN back AND l2 IS NOT NULL AND regexp_matches(l1, {_QUOTE}) THEN l2 END, CASE WHEN back THEN l1 END) AS before, CASE WHEN nx IS NOT NULL AND (NOT act OR opens) THEN nx ELSE '' END AS after FROM marked),
+joined AS (SELECT *, trim(concat_ws(' ', nullif(before, ''), sentence, nullif(after, ''))) AS whole, {_WORDS("sentence")} AS aw, {_WORDS("concat_ws(' ', before, after)")} AS ow FROM sided),
+windows AS (SELECT *, CASE WHEN len({_WORDS("whole")}) <= 180 THEN whole WHEN len(aw) >= 180 THEN array_to_string(aw[1:180], ' ')
+  WHEN before <> '' THEN trim(concat_ws(' ', array_to_string(ow[1:180 - len(aw)], ' '), sentence)) ELSE trim(concat_ws(' ', sentence, array_to_string(ow[1:180 - len(aw)], ' '))) END AS context FROM joined)"""
+_PLACES = "m AS (SELECT doc_id, entity_id, word, instr(lower(text), word) - 1 AS \"offset\" FROM raw_texts, (VALUES (CAST(0 AS BIGINT), 'thatin'), (4, 'that'), (8, 'que')) AS v(entity_id, word))"
+_BEST = f"{D}, {_SENTENCES_P}, {_WINDOWS}, {_PLACES}, b AS (SELECT m.doc_id, entity_id, word, pos, act, paragraph, context FROM m JOIN windows s ON m.doc_id = s.doc_id AND \"offset\" >= start AND \"offset\" < \"end\")"
+_CTX = f"g AS (SELECT *, {_hits('lower(context)', V.CORPUS_POSITIVE)} AS p, {_hits('lower(context)', V.CORPUS_NEGATIVE)} AS n, CAST(list_contains({_TOKENS('context')}, word) AS INT) AS rel FROM b WHERE length(context) >= 10), h AS (SELECT *, CAST(n AS DOUBLE) / (p + n + 1) AS neg, 1e0 / (p + n + 1) AS neu, CAST(p AS DOUBLE) / (p + n + 1) AS pos3 FROM g WHERE rel >= 0.5)"
+_OWN = "['google.com', 'gstatic.com', 'googleapis.com', 'schema.org', 'youtube.com']"
+
+ORACLES |= {
+    "title_bigram_causality": f"{D}, {_CAUSE} SELECT doc_id, round(causality, 6) AS causality FROM caused",
+    "fulltext_audit": f"{D}, {_CAUSE} SELECT CASE WHEN text = '' THEN 'empty_text' WHEN length(text) > 20000 THEN 'section_leakage_too_long' WHEN len(regexp_extract_all(text, '(?i)(Baca Juga|Simak Juga|Berita Terkait|Advertisement|Iklan)')) > 5 THEN 'boilerplate_spam' WHEN causality < 0.15 THEN 'title_causality_mismatch' ELSE 'valid' END AS finding, count(*) AS n FROM caused GROUP BY 1",
+    "canonical_url": f"""SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)<link[^>]+rel=["'']canonical["''][^>]+href=["'']([^"'']+)["'']', 1), ''), nullif(regexp_extract(html, '(?i)<link[^>]+href=["'']([^"'']+)["''][^>]+rel=["'']canonical["'']', 1), '')) AS canonical,
+      list_filter(regexp_extract_all(html, 'href="(https?://[^"]+)"', 1), lambda u: len(list_filter({_OWN}, lambda d: contains(u, d))) = 0)[1] AS outside_link FROM pages""",
+    "context_windows": f"{D}, {_SENTENCES_P}, {_WINDOWS} SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE act) AS actions, CAST(sum(length(context)) AS BIGINT) AS chars FROM windows GROUP BY doc_id",
+    "context_word_cap": f"{D}, {_SENTENCES_P}, {_WINDOWS} SELECT doc_id, CAST(max(len({_WORDS('context')})) AS INTEGER) AS most_words FROM windows GROUP BY doc_id",
+    "best_context": f"{_BEST} SELECT doc_id, entity_id, pos, CASE WHEN act THEN 90 ELSE 50 END AS quality_score, CASE WHEN act THEN 40 ELSE 10 END AS attr_score, CASE WHEN paragraph = 0 THEN 20 ELSE 10 END AS pos_score, CAST(length(context) AS INTEGER) AS chars FROM b",
+    "near_duplicate_pairs": "SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) x WHERE cosine >= 0.95",
+    "score_entities_gated": f"{_BEST}, {_CTX} SELECT doc_id, entity_id, CASE WHEN neg >= neu AND neg >= pos3 THEN 'negative' WHEN neu >= pos3 THEN 'neutral' ELSE 'positive' END AS label, round(greatest(neg, neu, pos3), 6) AS confidence, round(CAST(rel AS DOUBLE), 6) AS relevancy FROM h",
+}
+
 QUERIES = {
     f.__name__: f
     for f in (

@@ -2,7 +2,7 @@
 
 P(grade > k) = sigmoid(s - threshold k), with one score s from hashed-text weights shared by all thresholds.
 The grades of a labelled text: 0 toxic, 1 of low quality, 2 good. Features are the distinct words of a
-text, their shapes (letters, digits and marks in runs) and repeated neighbours, hashed to 2**BITS slots.
+text, their beginnings, their shapes (letters, digits and marks in runs) and repeated neighbours, hashed to 2**BITS slots.
 The fit is on the SAMPLE labelled rows with the smallest hash of their id: a bounded, documented sample.
 
 Null texts have no features and get the grade of the thresholds alone. Labels without a quality or toxic
@@ -24,13 +24,17 @@ from pyspark.sql import functions as F
 from . import common
 
 GRADES = 3
+#: A text is kept if it is above the lowest grade with at least this probability.
+KEEP = 0.8
 SAMPLE = 12000
 BITS = 18
 ROUNDS = 300
 #: Slots seen in fewer texts of the sample carry no weight.
 LEAST_TEXTS = 4
 #: Pull of a weight to zero, in mean log-likelihood: weights that gain less stay zero.
-SPARE = 2e-4
+SPARE = 4e-4
+#: Bytes of the beginnings of words that are features as well: stems with endings.
+STEM = 4
 WORD = re.compile(rb"[a-z\x80-\xff]+").findall
 UPPER, LOWER, DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
 
@@ -44,7 +48,9 @@ def features(text: bytes | None, shapes: dict, numbers: dict) -> np.ndarray:
     if not text:
         return np.zeros(0, np.int32)
     tokens = text.split()
-    found = {b"w" + w for w in WORD(text.lower())}
+    words = dict.fromkeys(WORD(text.lower()))
+    found = {b"w" + w for w in words}
+    found |= {b"p" + w[:STEM] for w in words if len(w) > STEM}
     found |= {shapes[t] for t in dict.fromkeys(tokens)}
     again = sum(a == b for a, b in zip(tokens, tokens[1:]))
     found.add(b"r%d" % min(9, 10 * again // max(1, len(tokens))))
@@ -125,10 +131,10 @@ def rated(text: Column, spark: SparkSession, model: tuple[np.ndarray, np.ndarray
 
 
 def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, expected_grade, p_at_least_1, p_at_least_2 and kept (more likely than not above the lowest grade) for each row of docs."""
+    """doc_id, expected_grade, p_at_least_1, p_at_least_2 and kept (above the lowest grade with probability KEEP) for each row of docs."""
     model = learn(docs, labels)
     x = docs.select("doc_id", rated(F.col("text"), docs.sparkSession, model).alias("_g")).select("doc_id", "_g.*")
-    return x.withColumn("kept", F.col("p_at_least_1") >= 0.5)
+    return x.withColumn("kept", F.col("p_at_least_1") >= KEEP)
 
 
 def op7_ordinal_grades(spark: SparkSession, sf_dir: str) -> DataFrame:

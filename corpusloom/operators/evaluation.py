@@ -102,3 +102,37 @@ def baseline(rows: DataFrame) -> DataFrame:
 def uncertain(neg: Column, neu: Column, pos: Column) -> Column:
     """More than 95 % of the largest entropy."""
     return T.entropy(neg, neu, pos) > 0.95 * F.log(F.lit(3.0))
+
+
+def era(at: Column, fallback: Column | None = None) -> Column:
+    """A label for the year of a date in text, else the fallback, else unknown."""
+    year = F.regexp_extract(F.coalesce(at.cast("string"), F.lit("")), r"^(\d{4})", 1)
+    return F.coalesce(F.when(year != "", F.concat(F.lit("era_"), year)), *([fallback] if fallback is not None else []), F.lit("unknown"))
+
+
+def preview(text: Column, n: int = 300) -> Column:
+    return F.substring(F.trim(F.regexp_replace(T.strip_markup(F.coalesce(text, F.lit(""))), r"\s+", " ")), 1, n)
+
+
+def sentiment_template(scores: DataFrame, docs: DataFrame, entities: DataFrame, n: int, seed: int) -> DataFrame:
+    """A sheet for the gold labels of n scores of each predicted label; the columns to fill in are empty."""
+    x = stratified(scores.where(F.col("entity_id").isNotNull()), "label", "event_id", n, seed).drop("rn")
+    x = x.join(docs.select("doc_id", "title", "text", "ingested_at"), "doc_id", "left").join(entities.select("entity_id", "canonical_name"), "entity_id", "left")
+    return x.select(
+        "event_id", "doc_id", F.col("canonical_name").alias("entity_name"), "title", preview(F.col("text")).alias("text_preview"), era(F.col("ingested_at")).alias("era_hint"),
+        F.col("label").alias("predicted_label"), F.round("confidence", 3).alias("predicted_confidence"), F.lit("").alias("gold_label"), F.lit("").alias("notes"),
+    )
+
+
+def relevancy_template(docs: DataFrame, terms: dict[int, list[str]], n: int, seed: int, least: int = 500) -> DataFrame:
+    """A sheet for the gold relevancy of entities found in n long documents in seeded order; one row for each entity found."""
+    x = docs.where(F.length("text") >= least).orderBy(seeded(F.col("doc_id"), seed), "doc_id").limit(n)
+    low = F.lower(F.concat_ws(" ", "title", "text"))
+    found = F.array(*[F.when(low.rlike("|".join(map(T.quoted, t))), F.lit(i).cast("bigint")) for i, t in sorted(terms.items()) if t])
+    x = x.withColumn("entity_id", F.explode(F.filter(found, lambda i: i.isNotNull())))
+    return x.select("doc_id", "entity_id", "title", preview(F.col("text")).alias("text_preview"), era(F.col("ingested_at")).alias("era_hint"), F.lit("").alias("gold_relevant"), F.lit("").alias("notes"))
+
+
+def first_of_each(rows: DataFrame, category: str, key: str, n: int = 10) -> DataFrame:
+    """The first n rows of each category by key."""
+    return rows.withColumn("rn", F.row_number().over(W.partitionBy(category).orderBy(key)).cast("bigint")).where(F.col("rn") <= n)

@@ -311,6 +311,20 @@ def curation_quota(spark, sf_dir):
     return evaluation.curated(rows, 42, 15, 12)
 
 
+def gold_template_sentiment(spark, sf_dir):
+    return evaluation.sentiment_template(standins.scores(spark, sf_dir), standins.raw_texts(spark, sf_dir), standins.entities(spark), 10, 42).drop("text_preview")
+
+
+def gold_template_relevancy(spark, sf_dir):
+    terms = {i: [t for t in (n, *a) if len(t) >= 4] for i, n, a in standins.ENTITIES}
+    return evaluation.relevancy_template(standins.raw_texts(spark, sf_dir), terms, 30, 42).drop("text_preview")
+
+
+def failure_samples(spark, sf_dir):
+    x = evaluation.first_of_each(quality.route(_scored(spark, sf_dir)).where("status = 'failed'"), "fail_reason", "doc_id")
+    return x.select("fail_reason", "doc_id", "rn", F.length("text").cast(LONG).alias("chars"))
+
+
 # -- SQL for the second engine --------------------------------------------------------------------------------
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in V.CORPUS_STOPWORDS) + "]"
@@ -427,6 +441,13 @@ ORACLES |= {
     "score_entities_gated": f"{_BEST}, {_CTX} SELECT doc_id, entity_id, CASE WHEN neg >= neu AND neg >= pos3 THEN 'negative' WHEN neu >= pos3 THEN 'neutral' ELSE 'positive' END AS label, round(greatest(neg, neu, pos3), 6) AS confidence, round(CAST(rel AS DOUBLE), 6) AS relevancy FROM h",
 }
 
+_DRAWN = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(event_id AS VARCHAR) || '42'), event_id) AS rn FROM scores WHERE entity_id IS NOT NULL) x WHERE rn <= 10"
+ORACLES |= {
+    "gold_template_sentiment": f"{D} SELECT event_id, s.doc_id, canonical_name AS entity_name, title, coalesce('era_' || year(ingested_at), 'unknown') AS era_hint, label AS predicted_label, round(confidence, 3) AS predicted_confidence, '' AS gold_label, '' AS notes FROM ({_DRAWN}) s LEFT JOIN raw_texts r ON s.doc_id = r.doc_id LEFT JOIN entities e ON s.entity_id = e.entity_id",
+    "gold_template_relevancy": f"{D} SELECT DISTINCT doc_id, entity_id, title, 'era_' || year(ingested_at) AS era_hint, '' AS gold_relevant, '' AS notes FROM (SELECT * FROM raw_texts WHERE length(text) >= 500 ORDER BY md5(CAST(doc_id AS VARCHAR) || '42'), doc_id LIMIT 30) r, terms WHERE length(term) >= 4 AND contains(lower(title || ' ' || text), term)",
+    "failure_samples": _Q + "SELECT * FROM (SELECT reason AS fail_reason, doc_id, row_number() OVER (PARTITION BY reason ORDER BY doc_id) AS rn, length(text) AS chars FROM scored WHERE reason <> 'validated') x WHERE rn <= 10",
+}
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -435,5 +456,6 @@ QUERIES = {
         interstitial_detect, canonical_url, url_host_homepage, extract_main_text, feed_parse, entity_match_spans, entity_match_counts, top_mentioned_entities, entity_presence, entity_salience_map,
         name_candidates, candidate_confidence, candidate_promotion, sentence_table, context_windows, context_word_cap, anchor_sentence, best_context, readiness_gate, score_documents,
         score_entities_gated, confusion_matrix, classification_report, report_averages, cohen_kappa, pass_rate_by_category, upsert_partial_update, upsert_by_key, curation_quota,
+        gold_template_sentiment, gold_template_relevancy, failure_samples,
     )
 }

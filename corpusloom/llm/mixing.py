@@ -5,7 +5,7 @@ path of bits in a Huffman tree that belongs to the byte before it, so likely byt
 Predictors of the next bit are counts of that bit in training, found by the tree's node and a context:
 the byte before (exact), and hashes of the 3, of the 5 bytes before and of the whole word so far. Their
 log-odds are added with weights that a gate picks, the gate being how much the longest contexts have been seen.
-The weights are refined after each byte by the coding error, from fixed initial values, per SEGMENT bytes
+The weights are refined after each word by the coding error, from fixed initial values, per SEGMENT words
 of a text: many segments advance together, and results depend neither on partitions nor on other texts.
 
 Contexts end at the word's start, so training needs each distinct word only once, with its count; those
@@ -38,19 +38,16 @@ FLUSH = 400_000
 BITS = 23
 CHUNK = 16
 ORDERS = (3, 5, 0)  # bytes before; 0: the whole word so far
-SEGMENT = 512
-#: Bytes that are scored together.
-BATCH = 1 << 20
+#: Words after which the weights start anew.
+SEGMENT = 256
 #: Distinct words worked on together in training.
 SLICE = 1 << 16
-RATE = 0.02
-#: Errors below this do not move weights.
-QUIET = 0.02
+RATE = 0.01
 #: Initial weights of the predictors (1, 3, 5 bytes, word) by gate: five bytes new, seen once, seen more, word so far seen 16 times.
 START = np.array([[0.3, 0.7, 0.0, 0.0], [0.0, 0.8, 0.3, 0.0], [0.0, 0.2, 0.6, 0.3], [0.0, 0.1, 0.2, 0.75]], np.float32)
 SPACE, END = 32, 10
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-ODD = np.uint64(0x2545F4914F6CDD1D)
+M1, M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+ODD = np.uint32(0x01000193)
 #: Log-odds in steps of a quarter, and two bits for how often the context has been seen.
 STEP, MIDDLE = 0.25, 31
 
@@ -97,32 +94,33 @@ _POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
+    """Powers of an odd number and of its inverse modulo 2**32."""
     if not _POWERS or len(_POWERS[0]) < n:
-        inverse = pow(int(ODD), -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (ODD, np.uint64(inverse))]
+        inverse = pow(int(ODD), -1, 1 << 32)
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint32), np.full(n, x, np.uint32)]), dtype=np.uint32) for x in (ODD, np.uint32(inverse))]
     return _POWERS[0], _POWERS[1]
 
 
 def hashed(buf: np.ndarray, pos: np.ndarray, order: int) -> np.ndarray:
     """Hash of the context of each byte: the given number of bytes before it in its word, or all of them."""
-    x = buf.astype(np.uint64) + np.uint64(1)
+    x = buf.astype(np.uint32) + np.uint32(1)
+    up, down = powers(max(len(buf), order) + 1)
     if order:
-        out = np.zeros(len(buf), np.uint64)
+        out = np.zeros(len(buf), np.uint32)
         for d in range(1, order + 1):
-            at = np.flatnonzero(pos >= d)
-            out[at] |= x[at - d] << np.uint64(9 * (d - 1))
+            if d < len(buf):
+                out[d:] += np.where(pos[d:] >= d, x[:-d], np.uint32(0)) * up[d]
     else:
-        up, down = powers(len(buf) + 1)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(x * up[: len(buf)])])
+        total = np.zeros(len(buf) + 1, np.uint32)
+        np.cumsum(x * up[: len(buf)], dtype=np.uint32, out=total[1:])
         start = np.arange(len(buf)) - pos
         out = (total[:-1] - total[start]) * down[start]
-    out = (out ^ (out >> np.uint64(29))) * M1
-    return out ^ (out >> np.uint64(32))
+    out = (out ^ (out >> np.uint32(15))) * M1
+    return out ^ (out >> np.uint32(13))
 
 
 def slots(h: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return ((h + node.astype(np.uint64) * M2) * M1) >> np.uint64(64 - BITS)
+    return ((h + node * M2) * M1) >> np.uint32(32 - BITS)
 
 
 class Trees:
@@ -150,20 +148,24 @@ class Trees:
                     at = int(up[at])
                     nodes.append(before << 8 | at - 256)
                 paths.append((nodes[::-1], bits[::-1]))
-        self.size = np.array([len(n) for n, _ in paths], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.nodes = np.concatenate([n for n, _ in paths]).astype(np.int32)
+        self.size = np.array([len(n) for n, _ in paths], np.int32)
+        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
+        self.nodes = np.concatenate([n for n, _ in paths]).astype(np.uint32)
         self.bits = np.concatenate([b for _, b in paths]).astype(np.int8)
 
     def events(self, before: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The decisions of each byte in turn: which byte, node, bit."""
-        key = before.astype(np.int64) << 8 | byte
+        key = before.astype(np.int32) << 8 | byte
         n = self.size[key]
-        ends = np.cumsum(n)
-        of = np.repeat(np.arange(len(key)), n)
-        at = np.arange(len(of)) + np.repeat(self.start[key] - ends + n, n)
+        ends = np.cumsum(n, dtype=np.int32)
+        of = np.repeat(np.arange(len(key), dtype=np.int32), n)
+        at = np.arange(len(of), dtype=np.int32) + np.repeat(self.start[key] - ends + n, n)
         return of, self.nodes[at], self.bits[at]
 
+    def sizes(self, before: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """How many decisions each byte takes."""
+        return self.size[before.astype(np.int32) << 8 | byte]
+
 
 def pair_counts(words: DataFrame, ends: int) -> np.ndarray:
     """How often each byte follows each other one: 65,536 sums."""
@@ -210,7 +212,7 @@ def tables(words: DataFrame, trees: Trees, ends: int) -> np.ndarray:
 
             def add(buf, before, pos, times, sums=sums, order=order):
                 of, node, bit = t.events(before, buf)
-                at = (slots(hashed(buf, pos, order)[of], node) << np.uint64(1)).astype(np.int64) | bit
+                at = slots(hashed(buf, pos, order)[of], node).astype(np.int64) << 1 | bit
                 np.add.at(sums, at, times[of].astype(np.float32))
 
             for batch in rows.to_batches(SLICE):
@@ -242,52 +244,68 @@ def tables(words: DataFrame, trees: Trees, ends: int) -> np.ndarray:
 # -- scoring ------------------------------------------------------------------------------------------------
 
 
+class Known:
+    """What coding needs of each distinct word of some texts, computed once: contexts end at the word's start, so nothing depends on where it stands."""
+
+    def __init__(self, words: list[bytes], trees: Trees, table: np.ndarray):
+        buf, before, pos = joined(words)
+        # The end token is one byte behind the words.
+        buf, before, pos = np.append(buf, np.uint8(END)), np.append(before, np.uint8(SPACE)), np.append(pos, 0)
+        long = np.append(np.fromiter(map(len, words), np.int32, len(words)) + 1, 1)
+        of, node, bit = trees.events(before, buf)
+        events = trees.sizes(before, buf)
+        first = np.cumsum(events) - events
+        #: Decisions of each word, and where they begin.
+        self.n = np.add.reduceat(events, np.cumsum(long) - long).astype(np.int32)
+        self.start = (np.cumsum(self.n) - self.n).astype(np.int32)
+        # Log-odds of the predictors, turned so that their weighted sum is the log-odds of being wrong.
+        self.odds = np.empty((len(of), len(ORDERS) + 1), np.float32)
+        self.odds[:, 0] = trees.bias[node]
+        seen = []
+        for k, o in enumerate(ORDERS):
+            code = table[k][slots(hashed(buf, pos, o)[of], node)]
+            self.odds[:, k + 1] = ODDS[code]
+            seen.append(code[first] & 3)
+        self.odds *= (1 - 2 * bit.astype(np.float32))[:, None]
+        self.gate = np.where(seen[2] == 3, 3, np.where(seen[1] >= 2, 2, seen[1])).astype(np.int32)[of]  # the same for all decisions of a byte
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... n of each, end to end."""
+    ends = np.cumsum(n, dtype=np.int32)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(start - ends + n, n)
+
+
 def log2_of(texts: list[list[bytes]], trees: Trees, table: np.ndarray) -> np.ndarray:
-    """log2 of the probability of each tokenised text, for texts of about BATCH bytes together."""
-    raw = [b" ".join(t) + b" \n" if t else b"\n" for t in texts]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    before, pos = placed(buf)
-    # Segments, longest first, all advance by one byte at a time.
+    """log2 of the probability of each tokenised text."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+    known, end = Known(list(number), trees, table), len(number)
+    word = np.fromiter((k for t in texts for k in (*map(number.__getitem__, t), end)), np.int32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    # Segments, longest first, all advance by one word at a time.
     n = -(-sizes // SEGMENT)
-    text = np.repeat(np.arange(len(raw)), n)
+    text = np.repeat(np.arange(len(texts)), n)
     part = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
     first = np.repeat(np.cumsum(sizes) - sizes, n) + part * SEGMENT
     long = np.minimum(sizes[text] - part * SEGMENT, SEGMENT)
     order = np.argsort(-long, kind="stable")
     text, first, long = text[order], first[order], long[order]
     active = len(long) - np.searchsorted(long[::-1], np.arange(long.max(initial=0)), "right")
-    lane = np.concatenate([np.arange(a) for a in active]) if len(active) else np.zeros(0, np.int64)
-    at = first[lane] + np.repeat(np.arange(len(active)), active)
-    of, node, bit = trees.events(before[at], buf[at])
-    x = np.empty((len(ORDERS) + 1, len(of)), np.float32)
-    x[0] = trees.bias[node]
-    seen = []
-    for k, o in enumerate(ORDERS):
-        code = table[k][slots(hashed(buf, pos, o)[at][of], node)]
-        x[k + 1] = ODDS[code]
-        seen.append(code & 3)
-    gate = np.where(seen[2] == 3, 3, np.where(seen[1] >= 2, 2, np.where(seen[1] >= 1, 1, 0)))
-    lanes = len(text)
-    where = gate * lanes + lane[of]
-    weights = np.repeat(START.T[:, :, None], lanes, axis=2).reshape(len(x), -1).copy()
-    sign = 1 - 2 * bit.astype(np.float32)
-    error = np.empty(len(of), np.float32)  # minus the log of each bit's probability
-    cuts = np.searchsorted(of, np.concatenate([[0], np.cumsum(active)]))
-    for a, b in zip(cuts, cuts[1:]):
-        i, y = where[a:b], x[:, a:b]
-        odds = weights[0][i] * y[0]
-        for k in range(1, len(x)):
-            odds += weights[k][i] * y[k]
-        odds *= sign[a:b]  # now the log-odds of being wrong
+    gates = len(START)
+    weights = np.tile(START, (len(text), 1))  # a row for each segment and gate
+    total = np.zeros(len(text))
+    for t, n in enumerate(active):
+        at = word[first[:n] + t]
+        n_bits = known.n[at]
+        bits = ranges(known.start[at], n_bits)
+        segment = np.repeat(np.arange(n, dtype=np.int32), n_bits)
+        y, row = known.odds.take(bits, axis=0), segment * gates + known.gate.take(bits)
+        odds = np.einsum("ij,ij->i", weights.take(row, axis=0), y)
         wrong = 1 / (1 + np.exp(-np.clip(odds, -14, 14)))
-        error[a:b] = wrong
-        move = np.flatnonzero(wrong > QUIET)
-        i, step = i[move], -RATE * wrong[move] * sign[a:b][move]
-        for k in range(len(x)):
-            np.add.at(weights[k], i, step * y[k][move])
-    bits = np.log1p(-error.astype(np.float64)) / np.log(2)
-    return np.bincount(text[lane[of]], bits, len(raw))
+        total[:n] += np.bincount(segment, np.log1p(-wrong), n)
+        for k in range(y.shape[1]):
+            weights[: n * gates, k] -= RATE * np.bincount(row, wrong * y[:, k], n * gates)
+    return np.bincount(text, total, len(texts)) / np.log(2)
 
 
 SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_bytes bigint, n_known bigint, head_log double, log2 double, rare array<binary>"
@@ -301,7 +319,7 @@ def _scored(model) -> callable:
             ids, held = batch["doc_id"].to_pylist(), batch["held_out"].to_pylist()
             texts = [tokens_of(t) for t in batch["text"].cast(pa.binary()).to_pylist()]
             sizes = np.cumsum([sum(map(len, t)) + len(t) + 1 for t in texts])
-            log2 = np.concatenate([log2_of([texts[k] for k in part], trees, table) for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // BATCH)) + 1)]) if texts else []
+            log2 = log2_of(texts, trees, table)
             known, logs, rare = [], [], []
             for t in texts:
                 found = list(map(head.get, t))

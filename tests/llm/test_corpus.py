@@ -213,24 +213,35 @@ def test_op10_edges(spark):
 
 
 def test_probabilities_add_up():
-    """The model's probabilities of all bytes behind the same prefix are a distribution."""
+    """What may stand first in a text, a byte or the end, has probabilities that add up to one."""
     rng = np.random.default_rng(3)
     trees = mixing.Trees(rng.integers(0, 50, 65536))
     table = rng.integers(0, 248, (len(mixing.ORDERS), 1 << mixing.BITS)).astype(np.uint8)
-    base = mixing.log2_of([[b"ab", b"c"]], trees, table)[0]
-    assert base < 0
-    # One byte follows the start: a letter (then anything), or the end. Sum the first byte's probability over all bytes.
     total = 0.0
     for b in range(256):
-        of, node, bit = trees.events(np.array([mixing.SPACE], np.uint8), np.array([b], np.uint8))
-        x = [trees.bias[node]] + [mixing.ODDS[table[k][mixing.slots(mixing.hashed(np.array([b], np.uint8), np.zeros(1, np.int64), o)[of], node)]] for k, o in enumerate(mixing.ORDERS)]
-        seen = [table[k][mixing.slots(mixing.hashed(np.array([b], np.uint8), np.zeros(1, np.int64), o)[of], node)] & 3 for k, o in enumerate(mixing.ORDERS)]
-        gate = np.where(seen[2] == 3, 3, np.where(seen[1] >= 2, 2, np.where(seen[1] >= 1, 1, 0)))
-        odds = sum(mixing.START[gate, k] * x[k] for k in range(len(x)))
-        total += np.prod(1 / (1 + np.exp(np.clip((1 - 2.0 * bit) * odds, -14, 14))))
+        buf, pos = np.array([b], np.uint8), np.zeros(1, np.int64)
+        of, node, bit = trees.events(np.array([mixing.SPACE], np.uint8), buf)
+        codes = [table[k][mixing.slots(mixing.hashed(buf, pos, o)[of], node)] for k, o in enumerate(mixing.ORDERS)]
+        seen = [c[0] & 3 for c in codes]
+        gate = 3 if seen[2] == 3 else min(2, seen[1])
+        odds = mixing.START[gate, 0] * trees.bias[node] + sum(mixing.START[gate, k + 1] * mixing.ODDS[c] for k, c in enumerate(codes))
+        p = np.prod(1 / (1 + np.exp(np.clip((1 - 2.0 * bit) * odds, -14, 14))))
+        total += p
+        if b == mixing.END:
+            assert np.isclose(np.log2(p), mixing.log2_of([[]], trees, table)[0], atol=1e-4)
     assert abs(total - 1) < 1e-3
 
 
+def test_scores_do_not_depend_on_company():
+    """A text's score is the same alone and among others, short and long."""
+    rng = np.random.default_rng(4)
+    trees = mixing.Trees(rng.integers(0, 50, 65536))
+    table = rng.integers(0, 248, (len(mixing.ORDERS), 1 << mixing.BITS)).astype(np.uint8)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8)) for _ in range(300)]
+    texts = [[words[k] for k in rng.integers(0, 300, n)] for n in (0, 1, 5, 255, 256, 257, 2000)]
+    assert np.allclose(mixing.log2_of(texts, trees, table), [mixing.log2_of([t], trees, table)[0] for t in texts])
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = corpus_pipeline.run(spark, DATA).collect()

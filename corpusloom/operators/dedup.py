@@ -53,14 +53,22 @@ def pairs(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
+def copies(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """key and representative: the smallest key with an equal vector."""
+    first = vectors.groupBy(F.col(vector).alias("_v")).agg(F.min(key).alias("representative"))
+    return vectors.join(first, F.col(vector) == F.col("_v")).select(key, "representative")
+
+
 def cosine_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", planes: int = 6, tables: int = 8, seed: int = 7) -> DataFrame:
     """a < b and cosine of pairs that share a bucket of random hyperplanes and reach `least`.
 
-    Pairs are compared within buckets only; cosines are exact, and what is lost to hashing falls with tables.
+    Pairs are compared within buckets only; cosines are exact, and what is lost to hashing falls with tables. Equal
+    vectors count as one, under their smallest key (copies() tells which), so a large group of them makes no pairs.
     """
     import numpy as np
 
-    dims = len(vectors.select(vector).where(F.col(vector).isNotNull()).head(1)[0][0])
+    vectors = vectors.where(F.col(vector).isNotNull()).groupBy(vector).agg(F.min(key).alias(key))
+    dims = vectors.agg(F.max(F.size(vector))).first()[0] or 1
     normals = np.random.default_rng(seed).standard_normal((tables, planes, dims))
 
     def dot(a: Column, b: Column) -> Column:

@@ -91,9 +91,8 @@ SELECT reason, count(*) AS n FROM (
   SELECT CASE WHEN length(r.text) < 300 THEN 'article_short' WHEN s.confidence IS NULL THEN 'score_missing' WHEN length(r.title) < 50 THEN 'context_short' ELSE 'kept' END AS reason
   FROM raw_texts r LEFT JOIN (SELECT doc_id, max(confidence) AS confidence FROM scores WHERE entity_id = 3 GROUP BY doc_id) s ON r.doc_id = s.doc_id) x GROUP BY reason""",
     "insert_if_absent": """
-SELECT CAST(sum(CASE WHEN rn = 1 AND known IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS inserted, CAST(sum(CASE WHEN rn = 1 AND known IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS duplicate FROM (
-  SELECT n.doc_id, h.doc_id AS known, row_number() OVER (PARTITION BY n.text ORDER BY n.doc_id) AS rn
-  FROM raw_texts n LEFT JOIN (SELECT text, min(doc_id) AS doc_id FROM raw_texts WHERE doc_id % 4 = 0 GROUP BY text) h ON n.text = h.text WHERE n.doc_id % 4 <> 0) x""",
+SELECT CAST(sum(CASE WHEN h.text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS inserted, CAST(sum(n.c) - sum(CASE WHEN h.text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS duplicate
+FROM (SELECT text, count(*) AS c FROM raw_texts WHERE doc_id % 4 <> 0 GROUP BY text) n LEFT JOIN (SELECT DISTINCT text FROM raw_texts WHERE doc_id % 4 = 0) h ON n.text = h.text""",
     "retry_state": """
 SELECT event_id, CAST(attempts AS BIGINT) AS attempts, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN attempts >= 3 THEN 'max_retries_exceeded' ELSE 'media_timeout' END AS reason
 FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempts FROM events WHERE event_type = 'error') x""",
@@ -131,7 +130,7 @@ SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_part
     "window_frames": """
 SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER w, 2) AS running, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving,
   CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS rnk, CAST(ntile(3) OVER w AS BIGINT) AS third
-FROM orders WHERE o_custkey <= 200 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     "topk_orders": """
 SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50""",
     "offset_page": """
@@ -196,8 +195,8 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events) x) y GROUP BY user_id, s",
     ),
     "time_functions": (
-        "SELECT o_orderkey, trunc(o_orderdate, 'MM') AS month, add_months(CAST(o_orderdate AS DATE), 3) AS later, date_format(o_orderdate, 'yyyy_MM') AS part, unix_timestamp(o_orderdate) - unix_timestamp(date_trunc('day', o_orderdate)) AS seconds FROM orders WHERE o_orderkey <= 2000",
-        "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 MONTH AS DATE) AS later, strftime(o_orderdate, '%Y_%m') AS part, CAST(epoch(o_orderdate) - epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS seconds FROM orders WHERE o_orderkey <= 2000",
+        "SELECT o_orderkey, trunc(o_orderdate, 'MM') AS month, add_months(CAST(o_orderdate AS DATE), 3) AS later, date_format(o_orderdate, 'yyyy_MM') AS part, unix_timestamp(o_orderdate) - unix_timestamp(date_trunc('day', o_orderdate)) AS seconds FROM orders",
+        "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 MONTH AS DATE) AS later, strftime(o_orderdate, '%Y_%m') AS part, CAST(epoch(o_orderdate) - epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS seconds FROM orders",
     ),
     "string_functions": (
         "SELECT c_custkey, split_part(c_name, '#', 2) AS number, ltrim('0', split_part(c_name, '#', 2)) AS bare, translate(c_mktsegment, 'AEIOU', 'aeiou') AS vowels, regexp_replace(lower(c_name), '[^a-z0-9]+', '_') AS slug, left(sha2(c_name, 256), 32) AS id, concat_ws('|', c_name, c_mktsegment) AS both FROM customer",

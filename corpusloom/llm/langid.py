@@ -91,85 +91,77 @@ def pieces(path: str | None = None) -> Pieces:
 
 
 class Lattice:
-    """All segmentations of a list of words of 1 to BLOCK bytes: nodes between bytes, edges for pieces."""
+    """All segmentations of distinct words, each with a space before it; words over BLOCK bytes become several blocks.
+
+    Blocks stand in order of length, the longest first, so that those of at least L bytes are the first `count[L]`.
+    A cell (L, n, rows, pieces) holds the pieces of n bytes that end behind byte L: within it, every block occurs once.
+    """
 
     def __init__(self, words: list[bytes], vocabulary: Pieces):
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
-        ends = np.cumsum(size)
-        pos = np.arange(len(flat)) - np.repeat(ends - size, size)
-        word = np.repeat(np.arange(len(words)), size)
-        self.first, self.last, self.nodes = ends - size + np.arange(len(words)), ends + np.arange(len(words)), len(flat) + len(words)
-        dst, src, piece = [], [], []
-        code = np.zeros(len(flat), np.uint64)
-        node = np.arange(len(flat)) + word + 1  # behind each byte
-        for n in range(1, min(PIECE, int(size.max(initial=0))) + 1):
-            # The last n bytes as one number.
-            shifted = np.zeros(len(flat), np.uint64)
-            shifted[n - 1 :] = flat[: len(flat) - n + 1] << np.uint64(8 * (n - 1))
-            code = code | shifted
-            at = np.flatnonzero(pos >= n - 1)
-            found = vocabulary.find(code[at], n)
-            at, found = at[found > 0], found[found > 0]
-            dst.append(node[at])
-            src.append(node[at] - n)
-            piece.append(found)
-        if not words:
-            dst, src, piece = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        self.dst, self.src, self.piece = np.concatenate(dst), np.concatenate(src), np.concatenate(piece)
-        self.at = np.full(self.nodes, -1, np.int64)  # bytes before each node
-        self.at[node] = pos + 1
-        self.at[self.first] = 0
-        self.word = np.zeros(self.nodes, np.int64)
-        self.word[node] = word
-
-    def _levels(self, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Edges by how far into the word their end lies: edges, the nodes they meet in, and where each node's edges begin."""
-        order = np.lexsort((ends, self.at[ends]))
-        e, level = ends[order], self.at[ends[order]]
-        begin = np.flatnonzero(np.append(True, e[1:] != e[:-1])) if len(e) else np.zeros(0, np.int64)
-        cuts = np.flatnonzero(np.append(True, level[1:] != level[:-1])) if len(e) else []
-        for a, b in zip(cuts, [*cuts[1:], len(e)]):
-            here = begin[np.searchsorted(begin, a) : np.searchsorted(begin, b)]
-            yield order[a:b], e[here], here - a
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Probability of all ways to reach each node. p: by piece number and language."""
-        alpha = np.zeros((self.nodes, p.shape[1]))
-        alpha[self.first] = 1
-        for edge, node, begin in self._levels(self.dst):
-            alpha[node] = np.add.reduceat(alpha[self.src[edge]] * p[self.piece[edge]], begin, axis=0)
+        blocks, owner = [b" " + w for w in words], np.arange(len(words))
+        if max(map(len, blocks), default=0) > BLOCK:
+            cut = [[b[k : k + BLOCK] for k in range(0, len(b), BLOCK)] for b in blocks]
+            owner = np.repeat(owner, [len(c) for c in cut])
+            blocks = [b for c in cut for b in c]
+        size = np.fromiter(map(len, blocks), np.int64, len(blocks))
+        order = np.argsort(-size, kind="stable")
+        flat, start = np.frombuffer(b"".join(blocks), np.uint8), (np.cumsum(size) - size)[order]
+        self.words, self.owner, size = len(words), owner[order], size[order]
+        self.count = [int(np.searchsorted(-size, -level, "right")) for level in range(int(size.max(initial=0)) + 2)]
+        self.cells = []
+        window = np.zeros(len(blocks), np.uint64)
+        for level in range(1, len(self.count) - 1):
+            here = self.count[level]
+            window = window[:here] << np.uint64(8) | flat[start[:here] + level - 1]
+            for n in range(1, min(PIECE, level) + 1):
+                piece = vocabulary.find(window & np.uint64((1 << 8 * n) - 1), n)
+                rows = np.flatnonzero(piece)
+                if len(rows):
+                    self.cells.append((level, n, slice(0, here) if len(rows) == here else rows, piece[rows]))
+
+    def _ends(self, values: list[np.ndarray]) -> np.ndarray:
+        """Of values by level, each block's at its end."""
+        return np.concatenate([values[level][self.count[level + 1] : self.count[level]] for level in range(len(self.count) - 2, 0, -1)] or [values[0]])
+
+    def forward(self, p: np.ndarray) -> list[np.ndarray]:
+        """By level, the probability of all ways to get there. p: by piece number and language."""
+        alpha = [np.zeros((n, p.shape[1])) for n in self.count[:-1]]
+        alpha[0][:] = 1
+        for level, n, rows, piece in self.cells:
+            alpha[level][rows] += alpha[level - n][rows] * p.take(piece, axis=0)
         return alpha
 
-    def backward(self, p: np.ndarray) -> np.ndarray:
-        beta = np.zeros((self.nodes, p.shape[1]))
-        beta[self.last] = 1
-        for edge, node, begin in reversed(list(self._levels(self.src))):
-            beta[node] = np.add.reduceat(beta[self.dst[edge]] * p[self.piece[edge]], begin, axis=0)
+    def backward(self, p: np.ndarray) -> list[np.ndarray]:
+        beta = [np.zeros((n, p.shape[1])) for n in self.count[:-1]]
+        for level in range(1, len(beta)):
+            beta[level][self.count[level + 1] :] = 1
+        for level, n, rows, piece in reversed(self.cells):
+            beta[level - n][rows] += beta[level][rows] * p.take(piece, axis=0)
         return beta
 
     def log_probability(self, p: np.ndarray) -> np.ndarray:
-        return np.log(self.forward(p)[self.last])
+        ends = np.log(self._ends(self.forward(p)))
+        return np.stack([np.bincount(self.owner, ends[:, g], self.words) for g in range(p.shape[1])], axis=1)
 
     def expected(self, p: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
         """Expected number of each piece in each language. times: how often each language has each word."""
         alpha, beta = self.forward(p), self.backward(p)
-        share = alpha[self.src] * p[self.piece] * beta[self.dst] / alpha[self.last][self.word[self.dst]]
-        share = share * times[self.word[self.dst]]
-        return np.stack([np.bincount(self.piece, share[:, g], n) for g in range(times.shape[1])], axis=1)
+        weight = times[self.owner] / self._ends(alpha)
+        if not self.cells:
+            return np.zeros((n, times.shape[1]))
+        share = np.concatenate([alpha[level - size][rows] * p.take(piece, axis=0) * beta[level][rows] * weight[rows] for level, size, rows, piece in self.cells])
+        piece = np.concatenate([c[3] for c in self.cells])
+        return np.stack([np.bincount(piece, share[:, g], n) for g in range(times.shape[1])], axis=1)
 
 
 def words_of(text: str | None) -> list[bytes] | None:
-    """The words of a text with a space before each, in blocks; None if it has no letter."""
+    """The words of a text; None if it has no letter."""
     if not text:
         return None
     raw = text.lower().encode()
     if not ASCII_LETTER(raw) and not any(map(str.isalpha, text)):
         return None
-    words = [b" " + w for w in raw.translate(LETTERS).split()]
-    if max(map(len, words)) > BLOCK:
-        words = [w[k : k + BLOCK] for w in words for k in range(0, len(w), BLOCK)]
-    return words
+    return raw.translate(LETTERS).split()
 
 
 def numbered(texts: list[list[bytes] | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:

@@ -133,6 +133,13 @@ def test_op3_brute(spark):
     assert kept.columns == documents(spark).columns
 
 
+def _forward(word, p, number):
+    alpha = [np.ones(2)]
+    for i in range(1, len(word) + 1):
+        alpha.append(sum(alpha[i - n] * p[number[word[i - n : i]]] for n in range(1, min(i, langid.PIECE) + 1) if word[i - n : i] in number))
+    return alpha[-1]
+
+
 def test_lattice_sums_all_segmentations():
     v, rng = langid.pieces(), np.random.default_rng(4)
     p = rng.random((v.n, 2)) / v.n
@@ -146,8 +153,9 @@ def test_lattice_sums_all_segmentations():
                 for rest in ways(w[n:]):
                     yield [number[w[:n]], *rest]
 
-    words = [b" the", b" hello", "é".encode(), b"\xff\xfe", b" zzz"]
+    words = [b"the", b"hello", "é".encode(), b"\xff\xfe", b"zzz"]
     lattice = langid.Lattice(words, v)
+    words = [b" " + w for w in words]
     total = np.stack([sum(np.prod(p[s], axis=0) for s in ways(w)) for w in words])
     assert np.allclose(lattice.log_probability(p), np.log(total))
     want = np.zeros((v.n, 2))
@@ -155,6 +163,9 @@ def test_lattice_sums_all_segmentations():
         for s in ways(w):
             np.add.at(want, s, np.prod(p[s], axis=0) / z)
     assert np.allclose(lattice.expected(p, np.ones((len(words), 2)), v.n), want)
+    long = b"abcdefghij" * 7
+    parts = [(b" " + long)[k : k + langid.BLOCK] for k in range(0, 71, langid.BLOCK)]
+    assert len(parts) == 3 and np.allclose(langid.Lattice([long, b"x"], v).log_probability(p)[0], sum(np.log(_forward(b, p, number)) for b in parts))
 
 
 def test_op5_held_out(spark):

@@ -230,11 +230,14 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's id, one of each; rows of a component without ids stay, one of each fingerprint."""
-    kept = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.select(F.col("doc_id").alias("_kept"))
-    x = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return x.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else x
+    """The rows of docs whose doc_id is their component's id, one of each; of the rows without id in components without ids, one stays.
+
+    Join and choice share one shuffle: both go by the id as text, which a null id has as well.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    kept = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name.alias("_name")).distinct()
+    x = docs.select(F.struct(*docs.columns).alias("_row"), name.alias("_name"))
+    return x.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select("_row.*")
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

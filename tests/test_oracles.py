@@ -1,4 +1,4 @@
-"""Each query against independent SQL in a second engine, on the smallest tables."""
+"""Each query against SQL in a second engine, on the smallest tables; the shared texts of the relational core compare engines only."""
 
 import datetime
 import decimal

@@ -217,27 +217,36 @@ def stars(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components still change after {rounds} rounds")
 
 
+def rooted(prints: DataFrame, least: Column) -> DataFrame:
+    """fp, least, root: the distinct fingerprints of prints, the smallest value among the rows of each, and the smallest fingerprint of its component."""
+    classes = common.stored(prints.groupBy("fp").agg(F.min(least).alias("least")), "classes")
+    star = stars(links(classes.select("fp")))
+    return classes.join(star, classes["fp"] == star["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id for each row of docs."""
     common.bound_batches(docs.sparkSession)
     prints = common.stored(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "prints")
-    classes = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    star = stars(links(classes.select("fp")))
-    rooted = classes.join(star, classes["fp"] == star["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(named, "root").select("fp", "component_id")
+    found = rooted(prints, F.col("doc_id"))
+    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = found.join(named, "root").select("fp", "component_id")
     return prints.join(found, "fp").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's id, one of each; of the rows without id in components without ids, one stays.
+    """One row of docs for each component: the one with the smallest id, rows without id last; of equal ids the smallest tag.
 
-    Join and choice share one shuffle: both go by the id as text, which a null id has as well.
+    The tag tells rows apart whose id is null or repeated: digests of text and other columns, and the id. Rows of one tag
+    are copies in one component. Join and choice share one shuffle, as both go by the tag.
     """
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name.alias("_name")).distinct()
-    x = docs.select(F.struct(*docs.columns).alias("_row"), name.alias("_name"))
-    return x.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select("_row.*")
+    common.bound_batches(docs.sparkSession)
+    name, rest = F.col("doc_id").cast("string"), [c for c in docs.columns if c not in ("doc_id", "text")]
+    tag = F.concat(F.sha2(F.coalesce("text", F.lit("")), 256), hexed(F.xxhash64(F.lit(0), *rest)), F.coalesce(F.concat(F.lit("+"), name), F.lit("-")))
+    prints = common.stored(docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", tag.alias("tag")).alias("row"), fingerprint(F.col("text")).alias("fp")), "prints")
+    kept = rooted(prints, F.col("row")).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.tag").alias("_tag"))
+    x = docs.select(F.struct(*docs.columns).alias("_row"), tag.alias("_tag"))
+    return x.join(kept, "_tag", "left_semi").dropDuplicates(["_tag"]).select("_row.*")
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,18 @@ def test_op6_keeps_one_of_each(spark):
     assert simhash.groups(empty(spark)).count() == 0 and simhash.one_of_each(empty(spark)).count() == 0
 
 
+def test_op6_keeps_one_row_of_each_component_without_ids_or_with_repeated_ones(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "heath"], 40)) for _ in range(8)]
+    # 0-2 only without ids (2 twice), 3 with and without, 4 and 5 under one id, 6 and 7 alone.
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (30, texts[3]), (4, texts[4]), (4, texts[5]), (6, texts[6]), (7, texts[7])]
+    want = sorted([(0, t) for t in texts[:3]] + [(30, texts[3]), (4, texts[4]), (4, texts[5]), (6, texts[6]), (7, texts[7])])
+    assert len(set(components(list(range(8)), [fingerprint(t) for t in texts]))) == 8
+    for k in (1, -1):
+        got = simhash.one_of_each(documents(spark, rows[::k])).collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == want
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

@@ -21,7 +21,7 @@ DUP_LINE_SHARE = 0.30
 DUP_LINE_CHARS = 0.20
 #: Lines from which on the two rules for lines hold; fewer lines make no share.
 LEAST_LINES = 8
-LENGTHS = (5, 7, 10)
+LENGTHS = tuple(LIMITS)
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHARES = ("dup_line_share", "dup_line_char_share", *(f"cover_{n}" for n in LENGTHS))

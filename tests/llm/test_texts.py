@@ -133,6 +133,19 @@ def test_op3_brute(spark):
     assert kept.columns == documents(spark).columns
 
 
+@pytest.mark.parametrize("n,share", [(6, 0.145), (8, 0.125), (9, 0.115)])
+def test_op3_applies_the_limit_of_every_length(n, share):
+    """Passages of n words said twice, apart from each other: only the limit of n itself is passed."""
+    number = iter(range(10**5))
+    word = lambda: f"w{next(number):05}"
+    passages = [[word() for _ in range(n)] for _ in range(20)]
+    said = [w for p in passages for w in (*p, word(), *p, word())]
+    said += [word() for _ in range(round(20 * n / share) - len(said))]
+    m = repetition.measure([" ".join(said).encode()])
+    over = [k for k in (5, 6, 7, 8, 9, 10) if k <= n and 20 * n / len(said) > repetition.LIMITS[k]]
+    assert over == [n] and not m["base_failed"][0] and not m["kept"][0]
+
+
 def _forward(word, p, number):
     alpha = [np.ones(2)]
     for i in range(1, len(word) + 1):

@@ -137,7 +137,9 @@ def extract_main_text(spark, sf_dir):
 def feed_parse(spark, sf_dir):
     from ..sources import feeds
 
-    item = F.concat(F.lit("<item><title>"), F.substring("text", 1, 60), F.lit("</title><link>"), F.concat(F.lit("http://x.example/"), F.col("doc_id")), F.lit("</link><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate><description><![CDATA["), F.substring("text", 1, 300), F.lit("]]></description></item>"))
+    # The end of a section inside a text is split over two sections.
+    whole = F.replace(F.col("text"), F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
+    item = F.concat(F.lit("<item><title>"), F.substring("text", 1, 60), F.lit("</title><link>"), F.concat(F.lit("http://x.example/"), F.col("doc_id")), F.lit("</link><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate><description><![CDATA["), whole, F.lit("]]></description></item>"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return feeds.items(docs.select(F.col("source").alias("config_name"), F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("xml"))).drop("metadata")
 

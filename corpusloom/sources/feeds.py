@@ -11,8 +11,9 @@ ITEM = r"(?is)<(?:item|entry)[^>]*>(.*?)</(?:item|entry)>"
 
 
 def tag(item: Column, name: str) -> Column:
-    """The trimmed content of an element, its CDATA first; null if empty or absent."""
+    """The trimmed content of an element, its CDATA first, of which adjoining sections are one; null if empty or absent."""
     inner = [F.regexp_extract(item, p, 1) for p in (rf"(?is)<{name}[^>]*><!\[CDATA\[(.*?)\]\]></{name}>", rf"(?is)<{name}[^>]*>(.*?)</{name}>")]
+    inner[0] = F.replace(inner[0], F.lit("]]><![CDATA["), F.lit(""))
     return F.coalesce(*[F.nullif(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit("")) for x in inner])
 
 

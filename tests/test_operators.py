@@ -97,6 +97,16 @@ def test_near_pairs_recall(spark):
     assert all(c[ids.index(a), ids.index(b)] >= least - 1e-6 for a, b in got) and len(got & want) >= 0.9 * len(want)
 
 
+def test_feed_parse_returns_whole_texts(spark, tmp_path):
+    from corpusloom.plans import documents
+
+    texts = {f"d{k}": " ".join(f"word{k}x{i}" for i in range(n)) for k, n in enumerate((5, 60, 20_000))}
+    texts["d9"] = "an array ends x[y[0]]> 1 and goes on " + "after it " * 100 + "to the end"
+    spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id string, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["source_id"].rsplit("/", 1)[1]: r["text"] for r in documents.feed_parse(spark, str(tmp_path)).collect()}
+    assert got == texts
+
+
 def test_merges(spark):
     old = spark.createDataFrame([(1, "a", {"k": "1", "z": "0"}), (2, "b", None), (None, "n", None)], "id bigint, v string, m map<string,string>")
     new = spark.createDataFrame([(1, None, {"k": "2"}), (3, "c", None)], "id bigint, v string, m map<string,string>")

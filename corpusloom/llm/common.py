@@ -29,22 +29,39 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-"))
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return at
+    if at:
+        return at
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df into the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write df into the shared folder and read it again: cuts the lineage and survives lost executors. It goes when the driver ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/loom-{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(at)
-    return spark.read.schema(schema).parquet(at)
+    folder, files = _folder(spark, at)
+    files.deleteOnExit(folder)
+    out = spark.read.schema(schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def _folder(spark: SparkSession, at: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a stored table that nothing reads any more."""
+    folder, files = _folder(df.sparkSession, df.stored_at)
+    files.delete(folder, True)
 
 
 def fold(key: Column, parts: int) -> Column:

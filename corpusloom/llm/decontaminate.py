@@ -6,16 +6,19 @@ lists in each shard and no hot key. A search gets the queries of one bounded blo
 a shard it starts from the rarest term of each phrase and intersects its list, moved by the offsets, with
 those of the other terms from the rarest on. Further blocks of queries are further passes over the stored index.
 
-Null texts have no words; items without words or id have no windows. Repeated rows are judged one by one.
+Null texts have no words; items without words or id have no windows. Rows are judged one by one, also those
+whose id is repeated or null: what blocks add up goes by the shard's number and the place in the shard. A very
+long text is one place in a shard of its own size. An empty table has no rows in the result, an empty benchmark
+hits nothing. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +30,9 @@ TOKENS = 1 << 20
 BLOCK_WORDS = 400_000
 #: Candidates that a search holds at a time.
 CANDIDATES = 1 << 21
-INDEX = "doc_ids array<bigint>, doc_ends array<int>, terms binary, term_ends binary, positions binary"
-HITS = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<bigint>, place array<bigint>, runs array<int>"
+#: The type of doc_id is that of the documents; shard: partition and running number when the index was built.
+INDEX = "shard bigint, doc_ids array<{}>, doc_ends array<int>, terms binary, term_ends binary, positions binary"
+HITS = "doc_id {}, n_words bigint, n_hit bigint, n_items bigint, items array<bigint>, shard bigint, place int, runs array<int>"
 #: Letters A-Z become a-z, other ASCII that is neither letter nor digit becomes a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -48,33 +52,45 @@ def unpacked(x: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.int32), dtype=np.int32)
 
 
-def _shard(ids: list, texts: list[list[bytes]]) -> dict:
+def _shard(shard: int, ids: list, texts: list[list[bytes]]) -> dict:
     every = [w for t in texts for w in t]
     number = {w: k for k, w in enumerate(dict.fromkeys(every))}
     term = np.fromiter(map(number.__getitem__, every), np.int32, len(every))
     ends = np.cumsum(np.bincount(term, minlength=len(number)))
-    return {"doc_ids": ids, "doc_ends": np.cumsum([len(t) for t in texts]).tolist(), "terms": b" ".join(number), "term_ends": packed(ends), "positions": packed(np.argsort(term, kind="stable"))}
+    return {"shard": shard, "doc_ids": ids, "doc_ends": np.cumsum([len(t) for t in texts]).tolist(), "terms": b" ".join(number), "term_ends": packed(ends), "positions": packed(np.argsort(term, kind="stable"))}
 
 
 def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int32())), ("terms", pa.binary()), ("term_ends", pa.binary()), ("positions", pa.binary())])
-    ids, texts, n = [], [], 0
+    ids, texts, n, kind = [], [], 0, None
+    number = TaskContext.get().partitionId() << 33
+
+    def row() -> pa.RecordBatch:
+        schema = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(kind)), ("doc_ends", pa.list_(pa.int32())), ("terms", pa.binary()), ("term_ends", pa.binary()), ("positions", pa.binary())])
+        return pa.RecordBatch.from_pylist([_shard(number, ids, texts)], schema)
+
     for batch in batches:
+        kind = batch.schema.field("doc_id").type
         for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()):
             ids.append(i)
             texts.append(words_of(t))
             n += len(texts[-1])
             if n >= TOKENS:
-                yield pa.RecordBatch.from_pylist([_shard(ids, texts)], schema)
-                ids, texts, n = [], [], 0
+                yield row()
+                ids, texts, n, number = [], [], 0, number + 1
     if ids:
-        yield pa.RecordBatch.from_pylist([_shard(ids, texts)], schema)
+        yield row()
+
+
+def kind_of(df: DataFrame) -> str:
+    return df.schema["doc_id" if "doc_id" in df.columns else "doc_ids"].dataType.simpleString().removeprefix("array<").removesuffix(">")
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The index of docs, stored in the shared folder."""
+    """The index of docs(doc_id, text), stored in the shared folder. doc_id: whole numbers, or strings."""
     common.bound_batches(docs.sparkSession)
-    return common.stored(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_built, INDEX), "index")
+    key = F.col("doc_id") if kind_of(docs) == "string" else F.col("doc_id").cast("bigint").alias("doc_id")
+    rows = docs.select(key, "text")
+    return common.stored(rows.mapInArrow(_built, INDEX.format(kind_of(rows))), "index")
 
 
 class Shard:
@@ -169,9 +185,9 @@ def blocks(items: DataFrame) -> Iterator[dict]:
 def search(index: DataFrame, block: dict | None) -> DataFrame:
     """For each indexed document: its words, those hit, the items with occurring windows, and the runs hit.
 
-    place: the shard's first id and checksum and the number in the shard, for adding up blocks; runs: begins and ends of the hit words.
+    shard, place: where the document stands in the index, for adding up blocks; runs: begins and ends of the hit words.
     """
-    sent = index.sparkSession.sparkContext.broadcast(block)
+    sent, kind = index.sparkSession.sparkContext.broadcast(block), kind_of(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
@@ -196,15 +212,15 @@ def search(index: DataFrame, block: dict | None) -> DataFrame:
                 d_lo, d_hi = np.searchsorted(doc, np.arange(len(s.ids))), np.searchsorted(doc, np.arange(len(s.ids)), "right")
                 out["n_items"] = d_hi - d_lo
                 out["items"] = [item[a:b].tolist() for a, b in zip(d_lo, d_hi)]
-                shard = [next((i for i in s.ids if i is not None), -1), zlib.crc32(row["positions"])]
-                out["place"] = [[*shard, k] for k in range(len(s.ids))]
+                out["shard"], out["place"] = np.full(len(s.ids), row["shard"]), np.arange(len(s.ids))
                 out["runs"] = [_cut(runs, a, b) if n else [] for a, b, n in zip(begins, s.ends, n_hit)]
-                yield pa.record_batch([pa.array(out[c], t) for c, t in COLUMNS], names=[c for c, _ in COLUMNS])
+                columns = [("doc_id", pa.string() if kind == "string" else pa.int64()), *COLUMNS]
+                yield pa.record_batch([pa.array(out[c], t) for c, t in columns], names=[c for c, _ in columns])
 
-    return index.mapInArrow(run, HITS)
+    return index.mapInArrow(run, HITS.format(kind))
 
 
-COLUMNS = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.int64())), ("place", pa.list_(pa.int64())), ("runs", pa.list_(pa.int32()))]
+COLUMNS = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.int64())), ("shard", pa.int64()), ("place", pa.int32()), ("runs", pa.list_(pa.int32()))]
 
 
 def _cut(runs: np.ndarray, begin: int, end: int) -> list[int]:
@@ -245,11 +261,11 @@ def _added(found: list[DataFrame]) -> DataFrame:
     every = found[0].unionByName(rest)
     spans = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda k: F.struct(F.get("runs", k).alias("a"), F.get("runs", k + 1).alias("b")))
     every = every.withColumn("spans", F.when(F.size("runs") > 0, spans).otherwise(F.array().cast("array<struct<a:int,b:int>>")))
-    x = every.groupBy("place", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    x = every.groupBy("shard", "place", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     n_hit = F.aggregate("spans", start, lambda s, r: F.struct((s["n"] + F.greatest(r["b"] - F.greatest(r["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], r["b"]).alias("end")))["n"]
     runs = F.flatten(F.transform("spans", lambda r: F.array(r["a"], r["b"])))
-    return x.select("doc_id", "n_words", n_hit.cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "place", runs.alias("runs"))
+    return x.select("doc_id", "n_words", n_hit.cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", runs.alias("runs"))
 
 
 def proximity(index: DataFrame, queries: list[tuple[int, str]], slop: int) -> DataFrame:
@@ -270,11 +286,35 @@ def proximity(index: DataFrame, queries: list[tuple[int, str]], slop: int) -> Da
 
 
 def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated. The ids to drop are shuffled or broadcast as their size allows; rows without id are kept."""
-    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """The rows of docs that are not contaminated.
+
+    A row's verdict hangs on its text alone, so texts are indexed under their SHA-256 and rows go or stay by it,
+    whatever their id. The digests of contaminated texts are broadcast or shuffled as their size allows.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    bad = contamination(docs.select(digest.alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("_digest")).distinct()
+    x = docs.select(F.struct(*docs.columns).alias("_row"), digest.alias("_of"))
+    return x.join(bad, x["_of"] == bad["_digest"], "left_anti").select("_row.*")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items. Null text: no words, clean. Null or repeated ids: a row each. Empty tables: see the module."""
     found = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+#: The same rows by a join of written-out windows.
+OP8_SQL = r"""
+WITH item AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+said AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT said.r, said.i, said.k, win.item_id FROM said JOIN win ON said.g = win.g AND said.k = win.k),
+word AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, i, k FROM hit)) GROUP BY r),
+of AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN word USING (r) LEFT JOIN of USING (r)
+"""

@@ -3,7 +3,9 @@
 Words are runs of other bytes than ASCII white space. A batch of texts becomes one array of word numbers;
 rolling hashes of n consecutive words are sorted, and equal neighbours are compared word by word, so hashes
 only find candidates. A word is covered for n if it lies in an occurrence of an n-gram that is not the first
-in its text. Null text has no words and fails the base rule; repeated rows are judged one by one.
+in its text. Null text has no words and fails the base rule; repeated rows are judged one by one, and equal
+texts get equal verdicts. An empty table gives an empty result. Very long texts are judged whole, alone in
+their batch if need be. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -19,8 +21,6 @@ from . import common
 LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 DUP_LINE_SHARE = 0.30
 DUP_LINE_CHARS = 0.20
-#: Lines from which on the two rules for lines hold; fewer lines make no share.
-LEAST_LINES = 8
 LENGTHS = tuple(LIMITS)
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -108,7 +108,7 @@ def measure(texts: list[bytes | None]) -> dict[str, np.ndarray]:
             out[f"cover_{n}"] = share(per_text(covered(words, doc, rolled ^ salt[: len(rolled)], n, False) * chars), out["word_chars"])
     n = out["n_words"]
     out["base_failed"] = (n < 50) | (100 * out["n_repeat_words"] > 50 * n)
-    bad = (lines >= LEAST_LINES) & ((out["dup_line_share"] > DUP_LINE_SHARE) | (out["dup_line_char_share"] > DUP_LINE_CHARS))
+    bad = (out["dup_line_share"] > DUP_LINE_SHARE) | (out["dup_line_char_share"] > DUP_LINE_CHARS)
     for k in LENGTHS:
         bad |= out[f"cover_{k}"] > LIMITS[k]
     out["kept"] = ~out["base_failed"] & ~bad
@@ -140,4 +140,40 @@ def kept_only(docs: DataFrame) -> DataFrame:
 
 
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document. Null text: no words, fails. Null or repeated ids: a row each. Empty table: no rows."""
     return rules(common.table(spark, sf_dir, "documents"))
+
+
+def _cover_sql(n: int) -> str:
+    """Word numbers inside an n-gram that has stood in the text before."""
+    return f"""cover_{n} AS (SELECT r, sum(cs[p]) AS chars FROM (SELECT DISTINCT r, cs, unnest(range(i, i + {n})) AS p FROM (
+  SELECT r, cs, i, row_number() OVER (PARTITION BY r, g ORDER BY i) AS nth FROM (SELECT r, cs, i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT r, w, cs, unnest(range(1, len(w) - {n} + 2)) AS i FROM doc WHERE len(w) >= {n})))
+  WHERE nth > 1) GROUP BY r)"""
+
+
+#: The same rows by written-out n-grams.
+OP3_SQL = (
+    r"""
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+doc AS (SELECT *, list_transform(w, lambda x: length(x)) AS cs FROM split),
+line AS (SELECT r, string_split(text, chr(10)) AS parts FROM doc WHERE text IS NOT NULL),
+said AS (SELECT r, t, count(*) AS n FROM (SELECT r, unnest(parts) AS t FROM line) WHERE regexp_matches(t, '[^\x20\x09-\x0D]') GROUP BY r, t),
+lines AS (SELECT r, sum(n) AS n_lines, sum(n - 1) AS n_dup, sum(n * strlen(t)) AS line_chars, sum((n - 1) * strlen(t)) AS dup_chars FROM said GROUP BY r),
+again AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) >= 3))) WHERE n > 1) GROUP BY r),
+"""
+    + ",\n".join(map(_cover_sql, LENGTHS))
+    + r""",
+counted AS (SELECT r, doc_id, len(w) AS n_words, coalesce(list_sum(cs), 0) AS word_chars, coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0) AS n_symbols,
+  coalesce(n_dup, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, coalesce(n_dup / n_lines, 0.0) AS dup_line_share, coalesce(dup_chars / line_chars, 0.0) AS dup_line_char_share,
+  """
+    + ", ".join(f"CASE WHEN len(w) > 0 THEN coalesce(cover_{n}.chars, 0) / list_sum(cs) ELSE 0.0 END AS cover_{n}" for n in LENGTHS)
+    + "\n  FROM doc LEFT JOIN lines USING (r) LEFT JOIN again USING (r) "
+    + " ".join(f"LEFT JOIN cover_{n} USING (r)" for n in LENGTHS)
+    + f"""),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND dup_line_share <= {DUP_LINE_SHARE}::DOUBLE AND dup_line_char_share <= {DUP_LINE_CHARS}::DOUBLE{"".join(f" AND cover_{n} <= {x}::DOUBLE" for n, x in LIMITS.items())} AS kept,
+  {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in SHARES)}
+FROM judged
+"""
+)

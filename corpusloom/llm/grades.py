@@ -6,8 +6,10 @@ text, their beginnings, their shapes (letters, digits and marks in runs) and rep
 The fit is on the SAMPLE labelled rows with the smallest hash of their id: a bounded, documented sample.
 
 Null texts have no features and get the grade of the thresholds alone. Labels without a quality or toxic
-value count that value as 1 and 0; several labels of one id: the lowest grade. Without labels all
-probabilities are one half. Every row gets a result, repeated rows too.
+value count that value as 1 and 0; several labels of one id: the lowest grade; several texts of a labelled id:
+the one with the smallest SHA-256. Without labels all probabilities are one half. Every row gets a result,
+repeated rows too; equal texts get equal ones. An empty table of documents gives an empty result. Very long texts
+have at most 2**BITS features. Columns other than doc_id, text and the labels' own are not read.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,6 +31,8 @@ GRADES = 3
 #: A text is kept if it is above the lowest grade with at least this probability.
 KEEP = 0.8
 SAMPLE = 12000
+#: Features that the sample may have in all: rows beyond, in the same order, are left out of the fit.
+SAMPLE_FEATURES = 24_000_000
 BITS = 18
 ROUNDS = 300
 #: Slots seen in fewer texts of the sample carry no weight.
@@ -57,7 +63,9 @@ def features(text: bytes | None, shapes: dict, numbers: dict) -> np.ndarray:
     return np.unique(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
 
 
+@lru_cache(1)
 def caches() -> tuple[common.Memo, common.Memo]:
+    """Bounded, and kept from batch to batch of a worker."""
     return common.Memo(lambda t: b"s" + _shape(t), 50_000), common.Memo(lambda f: zlib.crc32(f) >> (32 - BITS), 100_000)
 
 
@@ -74,27 +82,30 @@ def fit(rows: list[np.ndarray], grade: np.ndarray) -> tuple[np.ndarray, np.ndarr
     of = np.repeat(np.arange(n), [len(r) for r in rows])
     often = np.bincount(slot, minlength=1 << BITS) >= LEAST_TEXTS
     slot, of = slot[often[slot]], of[often[slot]]
+    used = np.flatnonzero(often)  # all others stay zero
+    slot = np.searchsorted(used, slot)
     above = np.array([((grade > k).sum() + 1) / (n + 2) for k in range(GRADES - 1)])
     first = -np.log(above[0] / (1 - above[0]))
     gap = np.log(np.maximum(-np.diff(np.log(above / (1 - above))), 0.1))
-    squares_w, squares_t = np.full(1 << BITS, 1e-8), np.full(GRADES - 1, 1e-8)
+    w, squares_w, squares_t = np.zeros(len(used)), np.full(len(used), 1e-8), np.full(GRADES - 1, 1e-8)
     for _ in range(ROUNDS):
         t = first + np.concatenate([[0], np.cumsum(np.exp(gap))])
-        s = np.bincount(of, weights[slot], n)
+        s = np.bincount(of, w[slot], n)
         over = np.concatenate([np.ones((1, n)), sigmoid(s - t[:, None]), np.zeros((1, n))])  # P(grade >= k)
         a, b = over[grade, np.arange(n)], over[grade + 1, np.arange(n)]
         p = np.maximum(a - b, 1e-12)
         ga, gb = a * (1 - a) / p, b * (1 - b) / p  # of the log-likelihood, by s
-        g = np.bincount(slot, (ga - gb)[of], 1 << BITS) / n
+        g = np.bincount(slot, (ga - gb)[of], len(used)) / n
         squares_w += g * g
         rate = 0.3 / np.sqrt(squares_w)
-        weights = weights + rate * g * often
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * SPARE, 0)
+        w = w + rate * g
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * SPARE, 0)
         gt = np.array([((grade == k) * gb).sum() - ((grade == k + 1) * ga).sum() for k in range(GRADES - 1)]) / n
         by = np.array([gt.sum(), *(gt[k + 1 :].sum() * np.exp(gap[k]) for k in range(GRADES - 2))])
         squares_t += by * by
         move = 0.1 * by / np.sqrt(squares_t)
         first, gap = first + move[0], gap + move[1:]
+    weights[used] = w
     return weights, first + np.concatenate([[0], np.cumsum(np.exp(gap))])
 
 
@@ -103,15 +114,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     grade = F.when(F.coalesce("toxic", F.lit(0)) > 0, 0).when(F.coalesce("quality", F.lit(1)) <= 0, 1).otherwise(2)
     rated = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(grade).alias("grade"))
     rated = rated.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(rated), F.col("doc_id") == F.col("_id"))  # at most `sample` rows
+    rows = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha")).join(F.broadcast(rated), F.col("doc_id") == F.col("_id"))  # at most `sample` rows
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes, numbers = caches()
         for b in batches:
             f = [features(t, shapes, numbers) for t in b["text"].cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([b["doc_id"].cast(pa.int64()), b["grade"].cast(pa.int32()), pa.array(f, pa.list_(pa.int32()))], names=["id", "grade", "f"])
+            yield pa.record_batch([b["doc_id"].cast(pa.int64()), b["grade"].cast(pa.int32()), b["_sha"], pa.array(f, pa.list_(pa.int32()))], names=["id", "grade", "sha", "f"])
 
-    got = rows.select("doc_id", "text", "grade").mapInArrow(of, "id bigint, grade int, f array<int>").dropDuplicates(["id"]).orderBy("id").toArrow()
+    # Of equal ids one row goes on; the sums run over the few rows of the sample.
+    one = rows.select("doc_id", "text", "_sha", "grade").mapInArrow(of, "id bigint, grade int, sha string, f array<int>").groupBy("id", "grade").agg(F.min_by("f", "sha").alias("f"))
+    so_far = F.sum(F.size("f").cast("bigint")).over(W.orderBy(F.xxhash64("id"), "id"))
+    got = one.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_FEATURES).select("id", "grade", "f").orderBy("id").toArrow()
     return fit([np.array(x, np.int32) for x in got["f"].to_pylist()], got["grade"].to_numpy().astype(np.int64))
 
 
@@ -138,4 +152,5 @@ def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_ordinal_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, by a fit on the labelled ones. Null text: no features. Null or repeated ids: a row each. No labels: one half throughout."""
     return grade(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))

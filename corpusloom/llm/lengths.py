@@ -1,16 +1,22 @@
 """Exact histogram of encoded lengths, and what its suffix sums answer for every context limit.
 
-Null text has length 0. An empty table gives an empty histogram. Every row counts, repeated ones too.
+Null text has length 0. An empty table gives an empty histogram. Every row counts, repeated ones too. Very long
+texts have long lengths and share a bucket with others of about their size. Only text is read.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe, common
 
+#: Percentages of the documents that the query names at the lengths which they do not exceed.
+PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
+
 
 def bucket(length: Column) -> Column:
     """Monotone in length: its highest bit and the six bits below. At most 64 * 64 values, however long texts get."""
@@ -61,7 +67,8 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 def quantile(sums: DataFrame, q: float) -> DataFrame:
     """The smallest length that at least a share q of the documents do not exceed."""
-    return sums.where(F.col("docs_within") >= F.ceil(F.lit(q) * F.col("docs_total"))).agg(F.min("context_limit").alias("length"))
+    share = F.lit(Decimal(str(q))).cast("decimal(18,12)")
+    return sums.where(F.col("docs_within") >= share * F.col("docs_total").cast("decimal(20,0)")).agg(F.min("context_limit").alias("length"))
 
 
 def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
@@ -70,5 +77,13 @@ def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
     return here.select(F.coalesce(F.col("m.truncated_total") + (F.lit(limit) - F.col("m.context_limit")) * F.col("m.docs_longer"), F.lit(0)).alias("tokens")) if limit >= 0 else here.select(F.lit(0).alias("tokens"))
 
 
+def quantiles(percents: tuple[int, ...] = PERCENTS) -> Column:
+    """Of a row of suffix_sums, the percentages whose quantile is its length, comma-joined. Whole numbers throughout."""
+    before = F.col("docs_within") - F.col("n_docs")
+    return F.concat_ws(",", *[F.when((100 * before < q * F.col("docs_total")) & (100 * F.col("docs_within") >= q * F.col("docs_total")), str(q)) for q in percents])
+
+
 def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(common.stored(histogram(common.table(spark, sf_dir, "documents")), "lengths"))
+    """A row for each length that occurs. Null text has length 0; repeated rows count; an empty table has no lengths."""
+    sums = suffix_sums(common.stored(histogram(common.table(spark, sf_dir, "documents")), "lengths"))
+    return sums.withColumn("quantile_percents", quantiles())

@@ -15,6 +15,8 @@ QUERIES = {
     "op10_context_mixing": mixing.op10_context_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op3_repetition_rules": repetition.OP3_SQL,
     "op4_chat_format": chat.OP4_SQL,
+    "op8_decontamination": decontaminate.OP8_SQL,
     "op9_licence_scan": licences.OP9_SQL,
 }

@@ -33,20 +33,39 @@ def test_every_text_survives(spark):
     x = chat.formatted(turns(spark, rows)).cache()
     assert x.where("recovered <> turns").count() == 0
     assert {r["rung"] for r in x.collect()} == {0, 1}
+    said = lambda r: "".join(t["text"] for t in r["turns"] if t["role"] == "assistant")
+    assert all(r["loss"] == said(r) for r in x.withColumn("loss", chat.under_mask(F.col("formatted"))).collect())
+
+
+def test_every_rung_reads_back_and_the_last_failure_is_an_error(spark, monkeypatch):
+    rows = turns(spark, [(c, 0, "assistant", "".join(x or "" for x in h)) for c, h in enumerate(zip(HARD, HARD[3:], HARD[5:]))])
+    monkeypatch.setattr(chat, "RUNGS", (2,))
+    x = chat.formatted(rows)
+    assert x.where("recovered <> turns").count() == 0 and {r["rung"] for r in x.collect()} == {2}
+    monkeypatch.setattr(chat, "RUNGS", (0,))
+    with pytest.raises(Exception, match="no rung"):
+        chat.formatted(rows).collect()
+
+
+def test_mask_covers_the_whole_text(spark):
+    rng = np.random.default_rng(2)
+    x = chat.formatted(turns(spark, [(c, 0, str(rng.choice(["user", "assistant"])), HARD[c % len(HARD)]) for c in range(60)]))
     for r in x.select("turns", "formatted", chat.mask(F.col("formatted")).alias("m")).collect():
         at, loss = 0, []
         for run in r["m"]:
             if run["loss"]:
                 loss.append(r["formatted"][at : at + run["n"]])
             at += run["n"]
-        assert at == len(r["formatted"])
+        assert at == len(r["formatted"]) and loss == [run["said"] for run in r["m"] if run["loss"]]
         assert len(loss) == sum(t["role"] == "assistant" for t in r["turns"])
 
 
 def test_op4_edges(spark):
     rows = [(1, 2, "assistant", "two"), (1, 1, "user", None), (1, 2, "assistant", "two"), (1, None, None, "first"), (None, 1, "user", "x"), (None, 1, "assistant", "y" * 200_000), (2, 0, "assistant", "")]
     got = {r["conv_id"]: r for r in chat.digests(chat.formatted(turns(spark, rows))).collect()}
-    assert got[1]["n_turns"] == 4 and got[1]["loss_chars"] == 6 and got[None]["loss_chars"] == 200_000 and got[2]["loss_chars"] == 0
+    assert got[1]["n_turns"] == 4 and got[1]["loss_chars"] == 6 and got[2]["loss_chars"] == 0
+    alone = [r for r in chat.digests(chat.formatted(turns(spark, rows))).collect() if r["conv_id"] is None]
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in alone) == [(1, 0), (1, 200_000)]
     assert got[1]["turns_sha256"] == hashlib.sha256(b"\nfirst\nuser\n\nassistant\ntwo\nassistant\ntwo\n").hexdigest()
     assert chat.digests(chat.formatted(turns(spark, rows).limit(0))).count() == 0
 
@@ -184,6 +203,26 @@ def test_op8_brute(spark, monkeypatch, block):
     assert got == contaminated([tuple(r) for r in docs.collect()], [tuple(r)[:2] for r in items.select("item_id", "text").collect()])
 
 
+@pytest.mark.parametrize("block", [400_000, 2])
+def test_op8_judges_rows_not_ids(spark, monkeypatch, block):
+    """Repeated and null ids over several partitions, with one block of queries and with many."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    rows = [(1, "alpha beta"), (1, "alpha beta"), (None, "gamma delta"), (None, "gamma delta"), (None, "none of them"), (7, "clean"), (7, "gamma delta alpha beta"), (8, None), (8, "")]
+    docs = documents(spark, rows).repartition(4)
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "delta alpha")], "item_id bigint, text string")
+    got = sorted((tuple(r)[:6] for r in decontaminate.contamination(docs, items).collect()), key=repr)
+    assert got == contaminated([r[:2] for r in rows], [tuple(r) for r in items.collect()])
+    kept = sorted(((r["doc_id"], r["text"]) for r in decontaminate.clean_only(docs, items).collect()), key=repr)
+    assert kept == sorted([(None, "none of them"), (7, "clean"), (8, None), (8, "")], key=repr)
+
+
+def test_op8_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    assert sorted(repr(tuple(r)) for r in decontaminate.op8_decontamination(spark, DATA).collect()) == sorted(map(repr, con.execute(decontaminate.OP8_SQL).fetchall()))
+
+
 def test_op8_edges(spark):
     items = spark.createDataFrame([(1, "x y")], "item_id bigint, text string")
     assert decontaminate.contamination(empty(spark), items).count() == 0

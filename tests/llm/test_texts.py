@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -87,6 +88,10 @@ def test_op2_brute(spark):
         assert r["tokens_longer"] == sum(s for s in sizes if s > n) and r["truncated_total"] == sum(min(s, n) for s in sizes)
         assert r["tokens_lost"] == sum(max(0, s - n) for s in sizes) and r["tokens_total"] == sum(sizes)
     assert lengths.quantile(sums, 0.5).first()[0] == sorted(sizes)[(len(sizes) + 1) // 2 - 1]
+    named = {int(q): r["context_limit"] for r in sums.withColumn("q", lengths.quantiles()).collect() if r["q"] for q in r["q"].split(",")}
+    assert named == {q: sorted(sizes)[-(-q * len(sizes) // 100) - 1] for q in lengths.PERCENTS}
+    hundred = spark.createDataFrame([(k, 1, k, 100) for k in range(1, 101)], "context_limit bigint, n_docs bigint, docs_within bigint, docs_total bigint")
+    assert [lengths.quantile(hundred, q / 100).first()[0] for q in (7, 14, 28, 29, 55, 57, 58)] == [7, 14, 28, 29, 55, 57, 58]
     for limit in (0, 1, 77, 10**9):
         assert lengths.truncated_total(sums, limit).first()[0] == sum(min(s, limit) for s in sizes)
     assert lengths.suffix_sums(lengths.histogram(empty(spark))).count() == 0
@@ -118,7 +123,7 @@ def brute_rules(t):
     size = sum(len(x.encode()) for x in lines)
     dup = len(lines) - len(set(lines))
     bad = any(cover[n] > repetition.LIMITS[n] for n in cover)
-    if len(lines) >= repetition.LEAST_LINES:
+    if lines:
         bad |= dup / len(lines) > repetition.DUP_LINE_SHARE or (size - sum(len(x.encode()) for x in set(lines))) / size > repetition.DUP_LINE_CHARS
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(hit), failed, not failed and not bad
 
@@ -133,6 +138,37 @@ def test_op3_brute(spark):
     assert kept.columns == documents(spark).columns
 
 
+def test_op3_judges_the_lines_of_short_texts():
+    line = " ".join(f"w{k}" for k in range(30))
+    m = repetition.measure(["\n".join([line, line, " ".join(f"v{k}" for k in range(60))]).encode(), "\n".join([line, " ".join(f"v{k}" for k in range(60))]).encode()])
+    assert m["base_failed"].tolist() == [False, False] and m["kept"].tolist() == [False, True]
+
+
+def same_as_sql(spark, query, sql, tables, data):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    df = query(spark, data)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(repr, map(tuple, df.select(names).collect()))) == sorted(map(repr, found.fetchall()))
+
+
+@pytest.fixture(scope="module")
+def edge_tables(spark, tmp_path_factory):
+    """Documents of the smallest tables and edge rows, as a folder of tables of its own."""
+    at = str(tmp_path_factory.mktemp("tables"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    edge = documents(spark, [(i, t if t is None or len(t) < 10_000 else t[:3000]) for i, t in ROWS]).select(docs.columns)
+    docs.unionByName(edge).toPandas().to_parquet(f"{at}/documents.parquet")
+    return at
+
+
+def test_op3_sql(spark, edge_tables):
+    same_as_sql(spark, repetition.op3_repetition_rules, repetition.OP3_SQL, ["documents"], edge_tables)
+
+
 @pytest.mark.parametrize("n,share", [(6, 0.145), (8, 0.125), (9, 0.115)])
 def test_op3_applies_the_limit_of_every_length(n, share):
     """Passages of n words said twice, apart from each other: only the limit of n itself is passed."""
@@ -216,6 +252,89 @@ def test_op7_edges(spark):
     assert grades.grade(empty(spark), labels).count() == 0
 
 
+def slots_of(text):
+    """Features by another way than the operator's: one pattern each, no caches."""
+    raw = (text or "").encode()
+    if not raw:
+        return []
+    low, tokens = bytes(c + 32 if 65 <= c <= 90 else c for c in raw), re.split(rb"[ \t-\r]+", raw.strip(b" \t\n\r\x0b\x0c")) if raw.strip(b" \t\n\r\x0b\x0c") else []
+    names = set()
+    for w in re.findall(rb"[a-z\x80-\xff]+", low):
+        names.add(b"w" + w)
+        if len(w) > 4:
+            names.add(b"p" + w[:4])
+    for t in tokens:
+        shape = re.sub(rb"[0-9]+", b"9", re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[A-Z]+", b"A", t)))
+        names.add(b"s" + shape[:8])
+    again = sum(tokens[k] == tokens[k - 1] for k in range(1, len(tokens)))
+    names.add(b"r" + str(min(9, 10 * again // max(1, len(tokens)))).encode())
+    return sorted({zlib.crc32(n) // 2 ** (32 - grades.BITS) for n in names})
+
+
+def test_op7_brute(spark, tmp_path):
+    """The whole query against a fit written out row by row, with repeated and null ids and labels."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(150).select("doc_id", "text").collect()
+    docs = [tuple(r) for r in docs] + [(docs[0]["doc_id"], "another text of the same id"), (None, "text without id"), (900_001, None)]
+    labels = [tuple(r) for r in spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality", "toxic").collect()] + [(docs[0][0], 0, None), (900_001, None, 1), (None, 1, 0)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").toPandas().convert_dtypes().to_parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").toPandas().convert_dtypes().to_parquet(f"{tmp_path}/labels.parquet")
+    grade = {}
+    for i, q, t in labels:
+        if i is not None:
+            g = 0 if (t or 0) > 0 else 1 if (1 if q is None else q) <= 0 else 2
+            grade[i] = min(g, grade.get(i, 2))
+    taught = {}
+    for i, t in docs:
+        if i in grade:
+            taught[i] = min([taught[i], t] if i in taught else [t], key=lambda x: hashlib.sha256((x or "").encode()).hexdigest())
+    ids = sorted(taught)
+    x, y = [slots_of(taught[i]) for i in ids], [grade[i] for i in ids]
+    n, seen = len(x), collections.Counter(s for r in x for s in r)
+    w = {s: 0.0 for s, k in seen.items() if k >= grades.LEAST_TEXTS}
+    x = [[s for s in r if s in w] for r in x]
+    sq, (sa, sb) = dict.fromkeys(w, 1e-8), (1e-8, 1e-8)
+    share = [(sum(g > k for g in y) + 1) / (n + 2) for k in (0, 1)]
+    logit = [np.log(p / (1 - p)) for p in share]
+    first, gap = -logit[0], np.log(max(logit[0] - logit[1], 0.1))
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for _ in range(grades.ROUNDS):
+        a, b = first, first + np.exp(gap)
+        grad, ta, tb = dict.fromkeys(w, 0.0), 0.0, 0.0
+        for r, g in zip(x, y):
+            s = sum(w[k] for k in r)
+            pa, pb = sig(s - a), sig(s - b)
+            upper, lower = (1.0, pa, pb)[g], (pa, pb, 0.0)[g]  # P(grade >= g), P(grade > g)
+            p = max(upper - lower, 1e-12)
+            du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
+            for k in r:
+                grad[k] += (du - dl) / n
+            ta += {0: dl, 1: -du, 2: 0.0}[g] / n
+            tb += {0: 0.0, 1: dl, 2: -du}[g] / n
+        for k in w:
+            sq[k] += grad[k] ** 2
+            rate = 0.3 / np.sqrt(sq[k])
+            v = w[k] + rate * grad[k]
+            w[k] = np.sign(v) * max(abs(v) - rate * grades.SPARE, 0)
+        d1, d2 = ta + tb, tb * np.exp(gap)
+        sa, sb = sa + d1 * d1, sb + d2 * d2
+        first, gap = first + 0.1 * d1 / np.sqrt(sa), gap + 0.1 * d2 / np.sqrt(sb)
+    a, b = first, first + np.exp(gap)
+    want = []
+    for i, t in docs:
+        s = sum(w.get(k, 0.0) for k in slots_of(t))
+        want.append((i if i is not None else -1, round(sig(s - a), 5), round(sig(s - b), 5), bool(sig(s - a) >= grades.KEEP)))
+    got = [(r["doc_id"] if r["doc_id"] is not None else -1, round(r["p_at_least_1"], 5), round(r["p_at_least_2"], 5), r["kept"]) for r in grades.op7_ordinal_grades(spark, str(tmp_path)).collect()]
+    assert [tuple(map(float, g)) for g in sorted(got)] == [pytest.approx(tuple(map(float, v)), abs=3e-5) for v in sorted(want)]
+
+
+def test_op7_takes_one_text_of_a_repeated_id(spark):
+    rows = [(k, " ".join(["good" if k % 2 else "bad"] * 3 + [f"w{k}"])) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    twice = rows + [(k, f"other text {k}") for k in range(0, 40, 3)]
+    models = [grades.learn(documents(spark, x).repartition(n), labels) for x, n in ((twice, 1), (twice[::-1], 3))]
+    assert np.array_equal(models[0][0], models[1][0]) and np.array_equal(models[0][1], models[1][1])
+
+
 def test_fit_separates():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 3, 600)

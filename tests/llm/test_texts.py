@@ -183,38 +183,56 @@ def test_op3_applies_the_limit_of_every_length(n, share):
 
 
 def _forward(word, p, number):
-    alpha = [np.ones(2)]
+    """Logarithm of the sum over all segmentations, by prefix sums that are scaled as they shrink."""
+    alpha, shift, most = [np.ones(2)], [np.zeros(2)], max(map(len, number))
     for i in range(1, len(word) + 1):
-        alpha.append(sum(alpha[i - n] * p[number[word[i - n : i]]] for n in range(1, min(i, langid.PIECE) + 1) if word[i - n : i] in number))
-    return alpha[-1]
+        now = sum(alpha[i - n] * np.exp(shift[i - n] - shift[-1]) * p[number[word[i - n : i]]] for n in range(1, min(i, most) + 1) if word[i - n : i] in number)
+        alpha.append(np.ones(2))
+        shift.append(shift[-1] + np.log(now))
+    return shift[-1]
 
 
 def test_lattice_sums_all_segmentations():
     v, rng = langid.pieces(), np.random.default_rng(4)
     p = rng.random((v.n, 2)) / v.n
     number = {w: k + 1 for k, w in enumerate(v.pieces)}
+    assert v.n > 31_000 and max(map(len, v.pieces)) > 24
 
     def ways(w):
         if not w:
             yield []
-        for n in range(1, min(len(w), langid.PIECE) + 1):
+        for n in range(1, len(w) + 1):
             if w[:n] in number:
                 for rest in ways(w[n:]):
                     yield [number[w[:n]], *rest]
 
-    words = [b"the", b"hello", "é".encode(), b"\xff\xfe", b"zzz"]
-    lattice = langid.Lattice(words, v)
-    words = [b" " + w for w in words]
-    total = np.stack([sum(np.prod(p[s], axis=0) for s in ways(w)) for w in words])
-    assert np.allclose(lattice.log_probability(p), np.log(total))
+    words = [b"the", b"hello", "é".encode(), b"\xff\xfe", b"zzz", b"establishe"]
+    spaced = [b" " + w for w in words]
+    total = np.stack([sum(np.prod(p[s], axis=0) for s in ways(w)) for w in spaced])
     want = np.zeros((v.n, 2))
-    for w, z in zip(words, total):
+    for w, z in zip(spaced, total):
         for s in ways(w):
             np.add.at(want, s, np.prod(p[s], axis=0) / z)
-    assert np.allclose(lattice.expected(p, np.ones((len(words), 2)), v.n), want)
-    long = b"abcdefghij" * 7
-    parts = [(b" " + long)[k : k + langid.BLOCK] for k in range(0, 71, langid.BLOCK)]
-    assert len(parts) == 3 and np.allclose(langid.Lattice([long, b"x"], v).log_probability(p)[0], sum(np.log(_forward(b, p, number)) for b in parts))
+    assert (want[[number[b" establish"]]] > 0).all()
+    for log in (False, True):
+        lattice = langid.Lattice(words, v, log)
+        assert np.allclose(lattice.log_probability(p), np.log(total))
+        assert np.allclose(lattice.expected(p, np.ones((len(words), 2)), v.n), want)
+
+
+def test_long_words_are_summed_whole():
+    v, rng = langid.pieces(), np.random.default_rng(5)
+    p = rng.random((v.n, 2)) / v.n
+    number = {w: k + 1 for k, w in enumerate(v.pieces)}
+    words = [b"abcdefghij" * 20, "последовательности".encode() * 4, b"x", "統計学".encode() * 30, b"q" * 3000, b"understanding"]
+    found = np.zeros((len(words), 2))
+    for at, x in langid.lattices(words, v):
+        found[at] = x.log_probability(p)
+    assert np.allclose(found, [_forward(b" " + w, p, number) for w in words])
+    # Expected pieces of a long word cover each of its bytes once.
+    at, x = list(langid.lattices(words[:2], v))[-1]
+    n = x.expected(p, np.ones((len(at), 2)), v.n)
+    assert np.allclose(np.append(0, [len(w) for w in v.pieces]) @ n, sum(len(words[k]) + 1 for k in at))
 
 
 def test_op5_held_out(spark):

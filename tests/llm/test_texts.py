@@ -362,28 +362,77 @@ def test_fit_separates():
     assert t[0] < t[1] and np.mean(np.digitize(s, t) == y) > 0.95
 
 
+MIT = dict(reversed(licences.TEMPLATES))["MIT"]
+
+
 def test_op9_edges(spark):
-    rows = [(1, "x\nReleased under the MIT License\ny"), (2, "RELEASED under the, MIT  license."), (3, None), (4, ""), (5, "one"), (6, "All rights reserved.\nAll rights reserved."), (None, "Licensed under CC BY-NC 4.0."), (7, "w " * 100_000)]
+    said = MIT.split()
+    wrapped = "\n".join("    # " + " ".join(said[k : k + 9]) for k in range(0, len(said), 9))
+    rows = [(1, "x\nReleased under the MIT License\ny"), (2, "RELEASED under the, MIT  license."), (3, None), (4, ""), (5, "one"), (6, "All rights\n reserved. All rights reserved."), (None, "Licensed under CC BY-NC 4.0."), (7, "w " * 100_000)]
+    rows += [(8, wrapped), (9, "Released under the MIT License, see the LICENSE file for details."), (10, "Distributed under the BSD 3-Clause License."), (11, "license " * 3000), (12, "w " * 50_000 + wrapped)]
     got = {r["doc_id"]: tuple(r)[1:] for r in licences.scan(documents(spark, rows)).collect()}
-    assert got[1] == ("MIT", 1, "MIT", 1.0) and got[2] == ("MIT", 1, "MIT", 1.0) and got[6][:2] == ("proprietary", 2)
-    assert got[3] == got[4] == got[5] == got[7] == ("", 0, None, 0.0)
-    assert got[None][2] == "CC-BY-NC-4.0"
+    assert got[1] == ("MIT", 1, "MIT", 1.0, 2) and got[2] == ("MIT", 1, "MIT", 1.0, 1) and got[6] == ("proprietary", 1, "proprietary", 1.0, 0)
+    assert got[3] == got[4] == got[5] == got[7] == got[11] == ("", 0, None, 0.0, None)
+    assert got[None][2] == "CC-BY-NC-4.0" and got[9][0] == "MIT" and got[10][0] == "BSD-3-Clause"
+    assert got[8][0] == got[12][0] == "MIT" and got[8][3] == got[12][3] == 1.0 and got[12][4] == 50_000
     assert licences.scan(empty(spark)).count() == 0
 
 
-def test_dice_bounds_lose_nothing():
+def best_windows(text):
+    """Every window of every template's size that begins with one of its bigrams, without pruning."""
+    w = re.sub("[^a-z0-9]+", " ", (text or "").lower()).split()
+    pairs, found = list(zip(w, w[1:])), []
+    for name, t in licences.TEMPLATES:
+        tw = re.sub("[^a-z0-9]+", " ", t.lower()).split()
+        want = set(zip(tw, tw[1:]))
+        dice, at = 0.0, 0
+        for i in range(len(pairs)):
+            a = set(pairs[i : i + len(tw) - 1])
+            d = 2 * len(a & want) / (len(a) + len(want))
+            if d > dice and pairs[i] in want:
+                dice, at = d, i
+        if dice >= licences.LEAST:
+            found.append((name, at, at + len(tw) - 1, dice))
+    return sorted((n, round(d, 9)) for n, a, z, d in found if not any(e > d and b < z and a < y for _, b, y, e in found))
+
+
+def test_op9_brute(spark):
+    """Licences with words changed, lost and put in, and pieces of them: pruning loses no hit."""
+    rng, rows = np.random.default_rng(6), []
+    for k, (_, t) in enumerate(licences.TEMPLATES * 2):
+        w = t.split()
+        for edit in range(rng.integers(0, max(1, len(w) // 8) + 1)):
+            i = int(rng.integers(len(w)))
+            w[i : i + 1] = [[], ["other"], [w[i], "more"]][rng.integers(3)]
+        cut = int(rng.integers(0, max(1, len(w) // 5)))
+        rows.append((k, " ".join([*["lorem"] * int(rng.integers(0, 20)), *w[cut:], *["ipsum", "of", "the", "software"] * int(rng.integers(0, 5))])))
+    got = {r["doc_id"]: sorted((h["licence"], round(h["dice"], 9)) for h in r["hits"]) for r in documents(spark, rows).select("doc_id", licences.hits(F.col("text")).alias("hits")).collect()}
+    want = {k: best_windows(t) for k, t in rows}
+    assert got == want and sum(map(bool, want.values())) > 40
+
+
+def test_size_bounds_and_markers_lose_nothing():
     for n in range(1, 60):
         for m in range(1, 120):
             if 2 * min(n, m) / (n + m) >= licences.LEAST:
-                low, high = licences.bounds(n)
-                assert low <= m <= high
+                assert min(n, m) >= licences.least_shared(n)
+    marks = licences.markers(licences.TEMPLATES)
+    for _, t in licences.TEMPLATES:
+        b = set(licences.bigrams_of(t))
+        bare = sum(not any(w in marks for w in g.split()) for g in b)
+        assert bare < licences.least_shared(len(b))
 
 
-def test_op9_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    want = sorted(map(repr, con.execute(licences.OP9_SQL).fetchall()))
-    assert sorted(repr(tuple(r)) for r in licences.op9_licence_scan(spark, DATA).collect()) == want
+def test_op9_sql(spark, edge_tables):
+    same_as_sql(spark, licences.op9_licence_scan, licences.OP9_SQL, ["documents"], DATA)
+    same_as_sql(spark, licences.op9_licence_scan, licences.OP9_SQL, ["documents"], edge_tables)
+
+
+def test_templates_can_be_read_from_files(spark, tmp_path):
+    (tmp_path / "House.txt").write_text("Anyone may print this page but nobody may sell it to others")
+    more = licences.read_templates(spark, str(tmp_path))
+    got = licences.scan(documents(spark, [(1, "anyone may print this\npage, but nobody may sell it to others"), (2, "MIT")]), more).orderBy("doc_id").collect()
+    assert [r["licences"] for r in got] == ["House", ""]
 
 
 def test_memo_is_bounded():

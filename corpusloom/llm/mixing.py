@@ -2,25 +2,30 @@
 
 A text is coded as its lower-cased words, a space behind each, and a newline as its end. Each byte is a
 path of bits in a Huffman tree that belongs to the byte before it, so likely bytes cost few decisions.
-Predictors of the next bit are counts of that bit in training, found by the tree's node and a context:
-the byte before (exact), and hashes of the 3, of the 5 bytes before and of the whole word so far. Their
-log-odds are added with weights that a gate picks, the gate being how much the longest contexts have been seen.
-The weights are refined after each word by the coding error, from fixed initial values, per SEGMENT words
-of a text: many segments advance together, and results depend neither on partitions nor on other texts.
-
-Contexts end at the word's start, so training needs each distinct word only once, with its count; those
-counts come from all training rows by one shuffle. Tables have a fixed number of slots, so what is broadcast
-does not grow. The base score needs exact counts of all words: frequent ones, HEAD at most, are broadcast, and the
-rest of a text's words meet their counts in a shuffled join.
-
-Null and empty texts are the end token alone. Repeated rows and null ids are scored one by one.
+Predictors of the next bit are counts of that bit in training, found by hashes of the tree's node, which knows the
+byte before, and a context: the 3 and the 5 bytes before within the word, the whole word so far,
+and of the last common word of the text together with the 3 bytes before. The last one reaches over the border
+of the word: it tells language and phrase. Log-odds are added with weights that a gate picks, the gate
+being how often the longest contexts have been seen. The weights begin a text with fixed values and are refined
+after each bit by the coding error, over the whole text. Texts of a group advance together by one bit,
+each with weights of its own, so that a score depends, but for rounding, neither on partitions nor on other texts.
+
+Training needs each distinct word only once, with its count, and each distinct run of four bytes with its common
+word; those counts come from all training rows by shuffles. Tables of slots grow with the number of distinct words
+up to 2**MOST_BITS slots of a byte, which bounds what is broadcast; in a table that is more than half full, a context
+counts as seen only as far as it stands out from the middle slot. The base score needs exact counts of all words:
+frequent ones, HEAD at most, are broadcast, and the rest of a text's words meet their counts in a shuffled join.
+
+Null and empty texts are the end token alone. Repeated rows and null ids are scored one by one. Very long texts
+are worked through in rounds of bounded size. Without training rows all counts are zero and every prediction is
+open; an empty table gives an empty result. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,61 +38,192 @@ from . import common
 FOLDS, HELD = 7, 2
 #: Words whose counts are broadcast.
 HEAD = 1 << 17
-#: Distinct words that a task counts before it passes them on.
+#: The most frequent words, the last of which is a context; a rank fits into seven bits.
+COMMON = 64
+#: Distinct words, and distinct runs of bytes, that a task counts before it passes them on.
 FLUSH = 400_000
-BITS = 23
+LEAST_BITS, MOST_BITS, RUN_BITS = 16, 24, 22
 CHUNK = 16
 ORDERS = (3, 5, 0)  # bytes before; 0: the whole word so far
-#: Words after which the weights start anew.
-SEGMENT = 256
+#: Bytes before that stand beside the common word.
+RUN = 3
 #: Distinct words worked on together in training.
 SLICE = 1 << 16
-RATE = 0.01
-#: Initial weights of the predictors (1, 3, 5 bytes, word) by gate: five bytes new, seen once, seen more, word so far seen 16 times.
-START = np.array([[0.3, 0.7, 0.0, 0.0], [0.0, 0.8, 0.3, 0.0], [0.0, 0.2, 0.6, 0.3], [0.0, 0.1, 0.2, 0.75]], np.float32)
+#: Bytes of text that advance together, decisions of one round, and bytes of a word that are spelled out at once.
+GROUP, ROUND, UNIT = 24 << 20, 2_000_000, 64
+#: Texts up to which a round is worked through text by text.
+FEW = 10
+RATE = 0.005
 SPACE, END = 32, 10
-M1, M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+M1, M2, M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 ODD = np.uint32(0x01000193)
+#: No bit is less likely than this.
+LEAST_P = 1e-6
 #: Log-odds in steps of a quarter, and two bits for how often the context has been seen.
 STEP, MIDDLE = 0.25, 31
+#: Initial weights of the predictors (3, 5 bytes, word, common word) by gate: the common word's context new, seen once, 2 to 15
+#: times, more often, and within each: five bytes new, seen once, seen more, word so far seen 16 times. Fitted, like RATE, on folds 0 and 1
+#: of FOLDS by a model of folds 3 to 6; the held-out fold took no part.
+START = np.array(
+    [
+        [0.49, -0.05, 0.03, 0.04],
+        [0.38, 0.15, 0.13, -0.1],
+        [0.63, 0.17, 0.02, -0.07],
+        [0.45, 0.21, 0.18, -0.02],
+        [0.29, 0.06, 0.07, 0.2],
+        [0.6, 0.2, 0, 0.1],
+        [0.52, 0.25, 0.12, 0.27],
+        [0.39, 0.25, 0.19, 0.18],
+        [0.6, 0.22, 0.02, 0.22],
+        [0.76, 0.23, 0.16, 0.2],
+        [0.59, 0.36, 0.16, 0.26],
+        [0.36, 0.38, 0.16, 0.23],
+        [0.55, -0.01, 0.05, 0.19],
+        [0.69, 0.4, 0.01, 0.35],
+        [0.37, 0.47, 0.21, 0.47],
+        [-0.06, 0.34, 0.25, 0.65],
+    ],
+    np.float32,
+)
+GATES = len(START)
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-# -- training -----------------------------------------------------------------------------------------------
+class Numbers(dict):
+    """Words numbered in the order they come."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    for batch in batches:
-        for t in batch["text"].cast(pa.binary()).to_pylist():
-            seen.update(tokens_of(t))
-            if len(seen) >= FLUSH:
-                yield pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
-                seen.clear()
-    yield pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+
+# -- counts -------------------------------------------------------------------------------------------------
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their numbers."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all rows of docs, stored in the shared folder."""
     common.bound_batches(docs.sparkSession)
-    return common.stored(docs.select("text").mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, total = Numbers(), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(number), pa.binary()), pa.array(total)], names=["word", "n"])
+
+        for batch in batches:
+            for t in batch["text"].cast(pa.binary()).to_pylist():
+                words = tokens_of(t)
+                at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                if len(number) > len(total):
+                    total = np.concatenate([total, np.zeros(max(len(total), len(number) - len(total)), np.int64)])
+                np.add.at(total, at, 1)
+                if len(number) >= FLUSH:
+                    total = total[: len(number)]
+                    yield out()
+                    number, total = Numbers(), np.zeros(0, np.int64)
+        total = total[: len(number)]
+        yield out()
+
+    return common.stored(docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def frequent(words: DataFrame, most: int = HEAD) -> dict[bytes, int]:
+    """All words seen at least 2**k times, for the least k that leaves at most `most`."""
+    level = F.length(F.bin("n")) - 1
+    rows = words.groupBy(level.alias("k")).agg(F.count("*").alias("words")).collect()
+    total, least = 0, 64
+    for k, n in sorted(((r["k"], r["words"]) for r in rows), reverse=True):
+        if total + n > most:
+            break
+        total, least = total + n, k
+    got = words.where(level >= least).toArrow()
+    return dict(zip(got["word"].to_pylist(), got["n"].to_pylist()))
+
+
+def common_words(words: DataFrame) -> dict[bytes, int]:
+    """The most frequent words and their ranks from 1 on; of equal counts the smaller word."""
+    rows = words.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    return {bytes(r["word"]): k + 1 for k, r in enumerate(rows)}
 
-def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words with a space behind each as one array; the byte before each byte, and how far into its word it is."""
-    buf = np.frombuffer(b" ".join(words) + b" " if words else b"", np.uint8)
-    return buf, *placed(buf)
 
+def last_common(rank: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each token, the rank of the last common word before it in its text, or 0. rank: of each token, 0 for others; first: where its text begins."""
+    at = np.maximum.accumulate(np.where(rank > 0, np.arange(len(rank)), -1)) if len(rank) else np.zeros(0, np.int64)
+    before = np.append(-1, at[:-1])[: len(rank)]
+    return np.where(before >= first, rank[np.maximum(before, 0)], 0)
 
-def placed(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, with their space or end behind them, as one array; the byte before each byte, and how far into its word it is."""
+    buf = np.frombuffer(b"".join(words), np.uint8)
     before = np.append(np.uint8(SPACE), buf[:-1])[: len(buf)]
     fresh = (before == SPACE) | (before == END)
     before = np.where(fresh, np.uint8(SPACE), before)
     start = np.maximum.accumulate(np.where(fresh, np.arange(len(buf)), 0)) if len(buf) else np.zeros(0, np.int64)
-    return before, np.arange(len(buf)) - start
+    return buf, before, np.arange(len(buf)) - start
+
+
+def run_keys(buf: np.ndarray, pos: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Rank of the common word, how many bytes of the word stand before (RUN at most), those bytes, the nearest last, and the byte itself, as one number."""
+    have = np.minimum(pos, RUN)
+    key = (rank.astype(np.int64) << 2 | have) << 8 * RUN + 8 | buf
+    for d in range(1, RUN + 1):
+        key[d:] |= np.where(have[d:] >= d, buf[:-d].astype(np.int64) << 8 * d, 0)
+    return key
+
+
+def run_counts(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """key, n of all runs of bytes in docs beside their common words, stored in the shared folder."""
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            k, n = summed(np.concatenate(keys), np.concatenate(counts))
+            return pa.record_batch([pa.array(k), pa.array(n)], names=["key", "n"])
+
+        for batch in batches:
+            number = Numbers({b"\n": 0})
+            texts = [tokens_of(t) for t in batch["text"].cast(pa.binary()).to_pylist()]
+            word = np.fromiter((k for t in texts for k in (*map(number.__getitem__, t), 0)), np.int64)
+            long = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            rank = np.fromiter((sent.value.get(w, 0) for w in number), np.int64, len(number))[word]
+            pairs, n = np.unique(last_common(rank, np.repeat(np.cumsum(long) - long, long)) * len(number) + word, return_counts=True)
+            raw = [b"\n", *(w + b" " for w in list(number)[1:])]
+            spelled = [raw[k] for k in pairs % len(number)]
+            buf, _, pos = flat(spelled)
+            each = np.repeat(np.arange(len(pairs)), np.fromiter(map(len, spelled), np.int64, len(spelled)))
+            k, n = summed(run_keys(buf, pos, (pairs // len(number))[each]), n[each])
+            keys.append(k)
+            counts.append(n)
+            size += len(k)
+            if size >= 8 * FLUSH:
+                k, n = summed(np.concatenate(keys), np.concatenate(counts))
+                keys, counts, size = [k], [n], len(k)
+            if size >= 4 * FLUSH:
+                yield out()
+                keys, counts, size = [], [], 0
+        if keys:
+            yield out()
+
+    return common.stored(docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "runs")
+
+
+# -- contexts -----------------------------------------------------------------------------------------------
 
 
 _POWERS: list[np.ndarray] = []
@@ -101,6 +237,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(15))) * M1
+    return x ^ (x >> np.uint32(13))
+
+
 def hashed(buf: np.ndarray, pos: np.ndarray, order: int) -> np.ndarray:
     """Hash of the context of each byte: the given number of bytes before it in its word, or all of them."""
     x = buf.astype(np.uint32) + np.uint32(1)
@@ -115,12 +256,16 @@ def hashed(buf: np.ndarray, pos: np.ndarray, order: int) -> np.ndarray:
         np.cumsum(x * up[: len(buf)], dtype=np.uint32, out=total[1:])
         start = np.arange(len(buf)) - pos
         out = (total[:-1] - total[start]) * down[start]
-    out = (out ^ (out >> np.uint32(15))) * M1
-    return out ^ (out >> np.uint32(13))
+    return stirred(out)
+
 
+def ranked(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Hash of a context and a common word."""
+    return stirred(h + (rank.astype(np.uint32) + np.uint32(1)) * M3)
 
-def slots(h: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return ((h + node * M2) * M1) >> np.uint32(32 - BITS)
+
+def slots(h: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    return ((h + node * M2) * M1) >> np.uint32(32 - bits)
 
 
 class Trees:
@@ -128,7 +273,6 @@ class Trees:
 
     def __init__(self, pairs: np.ndarray):
         paths: list[tuple[list[int], list[int]]] = []
-        self.bias = np.zeros(65536, np.float32)
         for before, row in enumerate(pairs.reshape(256, 256).astype(np.int64) + 1):
             heap: list[tuple[int, int]] = [(int(n), s) for s, n in enumerate(row)]
             heapq.heapify(heap)
@@ -139,7 +283,6 @@ class Trees:
                 (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
                 up[x], up[y], side[y] = inner, inner, 1
                 weight[inner] = a + b
-                self.bias[before << 8 | inner - 256] = np.log((b + 0.4) / (a + 0.4))
                 heapq.heappush(heap, (a + b, inner))
             for s in range(256):
                 nodes, bits, at = [], [], s
@@ -171,14 +314,12 @@ def pair_counts(words: DataFrame, ends: int) -> np.ndarray:
     """How often each byte follows each other one: 65,536 sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(65536)
+        total = np.zeros(65536, np.int64)
         for batch in batches:
-            w, n = batch["word"].to_pylist(), batch["n"].to_numpy()
-            buf, before, _ = joined(w)
-            times = np.repeat(n, np.fromiter(map(len, w), np.int64, len(w)) + 1)
-            total += np.bincount(before.astype(np.int64) << 8 | buf, times, 65536)
+            buf, before, _, times = spelled_words(batch)
+            np.add.at(total, before.astype(np.int64) << 8 | buf, times)
         at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], names=["pair", "n"])
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["pair", "n"])
 
     rows = words.mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(65536, np.int64)
@@ -187,87 +328,93 @@ def pair_counts(words: DataFrame, ends: int) -> np.ndarray:
     return out
 
 
+# -- tables -------------------------------------------------------------------------------------------------
+
+
 def coded(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Counts as a byte: log-odds in STEPs, and 0, 1, 2 to 15, more for how often the context was seen."""
+    """Counts as a byte: log-odds in STEPs, and 0, 1, 2 to 15, more for how often the context was seen beyond the middle slot."""
     n = zero + one
     odds = np.clip(np.rint(np.log((one + 0.4) / (zero + 0.4)) / STEP), -MIDDLE, MIDDLE) + MIDDLE
-    return (odds.astype(np.uint8) << 2) | np.digitize(n, (1, 2, 16)).astype(np.uint8)
+    return (odds.astype(np.uint8) << 2) | np.digitize(n - np.sort(n)[len(n) // 2], (1, 2, 16)).astype(np.uint8)
+
+
+def spelled_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of words: bytes, bytes before, places in words, and how often each occurs."""
+    words = [w + b" " for w in batch["word"].to_pylist()]
+    buf, before, pos = flat(words)
+    return buf, before, pos, np.repeat(batch["n"].to_numpy(), np.fromiter(map(len, words), np.int64, len(words)))
+
+
+def by_order(order: int, ends: int) -> Callable:
+    """What rows of words add to the table of an order: bytes, bytes before, hashes, times."""
 
+    def read(batch: pa.RecordBatch | None):
+        if batch is None:  # the end tokens, which no word holds
+            none = np.zeros(1, np.int64)
+            return np.array([END], np.uint8), np.array([SPACE], np.uint8), hashed(np.array([END], np.uint8), none, order), np.array([ends])
+        buf, before, pos, times = spelled_words(batch)
+        return buf, before, hashed(buf, pos, order), times
 
-#: Log-odds of a byte of a table.
-ODDS = ((np.arange(256) >> 2) - MIDDLE).astype(np.float32) * np.float32(STEP)
+    return read
 
 
-def tables(words: DataFrame, trees: Trees, ends: int) -> np.ndarray:
-    """The hashed predictors as bytes, a row for each order. Partial tables of slot ranges meet in as many tasks as there are ranges."""
-    spark = words.sparkSession
-    sent = spark.sparkContext.broadcast(trees)
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+def by_run(batch: pa.RecordBatch | None):
+    """What rows of runs add to the table of common words."""
+    if batch is None:
+        return None
+    key = batch["key"].to_numpy()
+    have, rank = key >> 8 * RUN + 8 & 3, key >> 8 * RUN + 10
+    h, up = np.zeros(len(key), np.uint32), powers(RUN + 1)[0]
+    for d in range(1, RUN + 1):
+        h += np.where(have >= d, (key >> 8 * d & 255) + 1, 0).astype(np.uint32) * up[d]
+    before = np.where(have > 0, key >> 8 & 255, SPACE).astype(np.uint8)
+    return (key & 255).astype(np.uint8), before, ranked(stirred(h), rank), batch["n"].to_numpy()
+
+
+def table(rows: DataFrame, read: Callable, trees, bits: int) -> np.ndarray:
+    """A hashed predictor as bytes. trees: broadcast. Partial sums of slot ranges meet in as many tasks as there are ranges; all sums are whole numbers."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = sent.value
-        rows = pa.Table.from_batches(batches, schema) if (batches := list(batches)) else schema.empty_table()
-        for k, order in enumerate(ORDERS):  # one table at a time is held
-            sums = np.zeros(2 << BITS, np.float32)
-
-            def add(buf, before, pos, times, sums=sums, order=order):
-                of, node, bit = t.events(before, buf)
-                at = slots(hashed(buf, pos, order)[of], node).astype(np.int64) << 1 | bit
-                np.add.at(sums, at, times[of].astype(np.float32))
-
-            for batch in rows.to_batches(SLICE):
-                w = batch["word"].to_pylist()
-                add(*joined(w), np.repeat(batch["n"].to_numpy(), np.fromiter(map(len, w), np.int64, len(w)) + 1))
-            if TaskContext.get().partitionId() == 0:  # the end tokens, which no word holds
-                add(np.array([END], np.uint8), np.array([SPACE], np.uint8), np.zeros(1, np.int64), np.array([ends]))
-            for c, x in enumerate(sums.reshape(-1, 2 << CHUNK)):
-                if x.any():
-                    yield pa.record_batch([pa.array([k << 16 | c], pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["part", "sums"])
+        sums = np.zeros(2 << bits, np.int64)
+
+        def add(x) -> None:
+            if x is not None:
+                buf, before, h, times = x
+                of, node, bit = trees.value.events(before, buf)
+                np.add.at(sums, slots(h[of], node, bits).astype(np.int64) << 1 | bit, times[of])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                add(read(batch.slice(k, SLICE)))
+        if TaskContext.get().partitionId() == 0:
+            add(read(None))
+        for c, x in enumerate(sums.reshape(-1, 2 << min(CHUNK, bits))):
+            if x.any():
+                yield pa.record_batch([pa.array([c], pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["part", "sums"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, x in zip(batch["part"].to_pylist(), batch["sums"].to_pylist()):
-                raw = np.frombuffer(pa.decompress(x, 8 << CHUNK, codec="zstd", asbytes=True), np.float32)
-                sums[part] = sums[part] + raw if part in sums else raw.astype(np.float64)
+                raw = np.frombuffer(pa.decompress(x, 16 << min(CHUNK, bits), codec="zstd", asbytes=True), np.int64)
+                sums[part] = sums[part] + raw if part in sums else raw
         for part, s in sums.items():
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([coded(s[::2], s[1::2]).tobytes()], pa.binary())], names=["part", "codes"])
 
-    out = np.full((len(ORDERS), 1 << BITS), MIDDLE << 2, np.uint8)
-    rows = words.mapInArrow(partial, "part int, sums binary").repartition("part").mapInArrow(whole, "part int, codes binary")
-    for part, codes in zip(*(rows.toArrow()[c].to_pylist() for c in ("part", "codes"))):
-        at = (part & 0xFFFF) << CHUNK
-        out[part >> 16, at : at + (1 << CHUNK)] = np.frombuffer(codes, np.uint8)
+    out = np.full((1 << bits) // (1 << min(CHUNK, bits)) << min(CHUNK, bits), MIDDLE << 2, np.uint8)
+    found = rows.mapInArrow(partial, "part int, sums binary").repartition("part").mapInArrow(whole, "part int, codes binary").toArrow()
+    for part, codes in zip(found["part"].to_pylist(), found["codes"].to_pylist()):
+        at = part << min(CHUNK, bits)
+        out[at : at + (1 << min(CHUNK, bits))] = np.frombuffer(codes, np.uint8)
     return out
 
 
-# -- scoring ------------------------------------------------------------------------------------------------
-
+def bits_for(n: int) -> int:
+    """Slots for contexts of n distinct words, as a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(2 * n + 1))))
 
-class Known:
-    """What coding needs of each distinct word of some texts, computed once: contexts end at the word's start, so nothing depends on where it stands."""
 
-    def __init__(self, words: list[bytes], trees: Trees, table: np.ndarray):
-        buf, before, pos = joined(words)
-        # The end token is one byte behind the words.
-        buf, before, pos = np.append(buf, np.uint8(END)), np.append(before, np.uint8(SPACE)), np.append(pos, 0)
-        long = np.append(np.fromiter(map(len, words), np.int32, len(words)) + 1, 1)
-        of, node, bit = trees.events(before, buf)
-        events = trees.sizes(before, buf)
-        first = np.cumsum(events) - events
-        #: Decisions of each word, and where they begin.
-        self.n = np.add.reduceat(events, np.cumsum(long) - long).astype(np.int32)
-        self.start = (np.cumsum(self.n) - self.n).astype(np.int32)
-        # Log-odds of the predictors, turned so that their weighted sum is the log-odds of being wrong.
-        self.odds = np.empty((len(of), len(ORDERS) + 1), np.float32)
-        self.odds[:, 0] = trees.bias[node]
-        seen = []
-        for k, o in enumerate(ORDERS):
-            code = table[k][slots(hashed(buf, pos, o)[of], node)]
-            self.odds[:, k + 1] = ODDS[code]
-            seen.append(code[first] & 3)
-        self.odds *= (1 - 2 * bit.astype(np.float32))[:, None]
-        self.gate = np.where(seen[2] == 3, 3, np.where(seen[1] >= 2, 2, seen[1])).astype(np.int32)[of]  # the same for all decisions of a byte
+# -- scoring ------------------------------------------------------------------------------------------------
 
 
 def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -276,36 +423,149 @@ def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(start - ends + n, n)
 
 
-def log2_of(texts: list[list[bytes]], trees: Trees, table: np.ndarray) -> np.ndarray:
+class Spelled:
+    """The decisions of distinct words, byte by byte, and what the tables without common words say of them.
+
+    Log-odds are in STEPs and turned: positive ones speak for the bit that comes.
+    """
+
+    def __init__(self, words: list[bytes], trees: Trees, tables: list[np.ndarray]):
+        parts = [self._part(words[k : k + SLICE], trees, tables) for k in range(0, len(words), SLICE)]
+        # Bytes of each word; decisions of each byte, its gate without the common word, the hash of its run.
+        self.long, self.n, self.gate, self.hash, node, self.odds = (np.concatenate(x) for x in zip(*parts))
+        self.node = node * M2
+        self.first = np.cumsum(self.n, dtype=np.int32) - self.n
+        #: Units of each word, the first of them, and their bytes and decisions.
+        self.units = -(-self.long // UNIT)
+        self.unit = np.cumsum(self.units, dtype=np.int32) - self.units
+        part = ranges(np.zeros(len(words), np.int32), self.units)
+        self.long = np.minimum(np.repeat(self.long, self.units) - part * UNIT, UNIT)
+        self.begin = np.cumsum(self.long, dtype=np.int32) - self.long
+        self.bits = np.add.reduceat(self.n, self.begin)
+
+    @staticmethod
+    def _part(words: list[bytes], trees: Trees, tables: list[np.ndarray]):
+        buf, before, pos = flat(words)
+        of, node, bit = trees.events(before, buf)
+        n = trees.sizes(before, buf)
+        first = np.cumsum(n) - n
+        sign = (2 * bit - 1).astype(np.int8)
+        odds = np.empty((len(of), len(ORDERS) + 1), np.int8)
+        seen = []
+        for k, (x, order) in enumerate(zip(tables, ORDERS)):
+            code = x[slots(hashed(buf, pos, order)[of], node, width(x))]
+            odds[:, k] = ((code >> 2).astype(np.int8) - np.int8(MIDDLE)) * sign
+            seen.append(code[first] & 3)
+        odds[:, -1] = sign
+        gate = np.where(seen[2] == 3, 3, np.where(seen[1] >= 2, 2, seen[1])).astype(np.uint8)
+        return np.fromiter(map(len, words), np.int32, len(words)), n, gate, hashed(buf, pos, RUN), node, odds
+
+
+def width(table: np.ndarray) -> int:
+    return len(table).bit_length() - 1
+
+
+def log_right(wrong: np.ndarray) -> np.ndarray:
+    return np.log1p(-np.clip(wrong, LEAST_P, 1 - LEAST_P, dtype=np.float32))
+
+
+def advanced(weights: np.ndarray, odds: np.ndarray, gate: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
+    """One text's weights after some of its decisions, and the natural logarithm of their probability."""
+    w, right = weights.tolist(), []
+    exp = math.exp
+    for (a, b, c, d), g in zip(odds.tolist(), gate.tolist()):
+        u0, u1, u2, u3 = w[g]
+        z = u0 * a + u1 * b + u2 * c + u3 * d
+        wrong = 1 / (1 + exp(z)) if z < 700 else 0.0
+        right.append(wrong)
+        wrong *= rate
+        w[g] = u0 + wrong * a, u1 + wrong * b, u2 + wrong * c, u3 + wrong * d
+    return np.array(w, np.float32), float(log_right(np.array(right, np.float32)).sum(dtype=np.float64))
+
+
+def logs_of(word: np.ndarray, sizes: np.ndarray, raw: list[bytes], ranks: dict[bytes, int], trees: Trees, tables: list[np.ndarray], start: np.ndarray | None = None, rate: float | None = None) -> np.ndarray:
+    """log2 of the probability of each text. word: numbers of all tokens, the ends included, in raw; sizes: how many each text has."""
+    start, rate = START if start is None else start, np.float32(RATE if rate is None else rate)
+    rank = np.fromiter((ranks.get(w[:-1], 0) for w in raw), np.uint32, len(raw))
+    begin = np.cumsum(sizes) - sizes
+    behind = last_common(rank[word], np.repeat(begin, sizes))
+    s, runs = Spelled(raw, trees, tables), tables[-1]
+    if (s.units > 1).any():  # long words are several units
+        units = s.units[word]
+        sizes = np.add.reduceat(units, begin).astype(np.int64)
+        behind, word = np.repeat(behind, units), ranges(s.unit[word], units)
+        begin = np.cumsum(sizes) - sizes
+    weights = np.tile(start, (len(sizes), 1)).reshape(len(sizes), GATES, -1)
+    until = np.cumsum(s.bits[word], dtype=np.int64)  # decisions up to the end of each unit
+    upto = until[begin + sizes - 1]
+    next_ = np.append(0, upto[:-1])
+    total, ones = np.zeros(len(sizes)), np.ones(start.shape[1], np.float32)
+    while len(left := np.flatnonzero(next_ < upto)):
+        # Each text goes on by as many decisions; the units that hold them are spelled out, and what is too much at both ends is cut off.
+        each = np.minimum(upto[left] - next_[left], max(1, ROUND // len(left)))
+        lo = np.searchsorted(until, next_[left], "right")
+        n = np.searchsorted(until, next_[left] + each, "left") - lo + 1
+        at = ranges(lo.astype(np.int32), n.astype(np.int32))
+        token = word[at]
+        long = s.long[token]
+        byte = ranges(s.begin[token], long)
+        bits = s.n[byte]
+        decision = ranges(s.first[byte], bits)
+        held = np.add.reduceat(s.bits[token], np.cumsum(n) - n)
+        skip = next_[left] - (until[lo] - s.bits[word[lo]])
+        keep = ranges((np.cumsum(held) - held + skip).astype(np.int32), each.astype(np.int32))
+        next_[left] += each
+        ends = np.cumsum(each)
+        # What the table of common words says.
+        h = np.repeat(ranked(s.hash[byte], np.repeat(behind[at], long)), bits)
+        code = runs[((h + s.node[decision]) * M1) >> np.uint32(32 - width(runs))]
+        each_byte = np.cumsum(bits) - bits
+        gate = np.repeat(s.gate[byte] + ((code[each_byte] & 3) << 2), bits)
+        odds = s.odds.view(np.int32).ravel().take(decision).view(np.int8).reshape(-1, len(tables))
+        odds[:, -1] *= (code >> 2).astype(np.int8) - np.int8(MIDDLE)
+        if len(left) <= FEW:
+            for k, a, b in zip(left, ends - each, ends):
+                mine = keep[a:b]
+                weights[k], log = advanced(weights[k], odds[mine] * np.float32(STEP), gate[mine], float(rate))
+                total[k] += log
+            continue
+        # The texts with most decisions first: step t takes decision t of the first active[t] texts, which are side by side.
+        order = np.argsort(-each, kind="stable")
+        place = np.empty(len(each), np.int32)
+        place[order] = np.arange(len(each), dtype=np.int32)
+        active = (len(each) - np.searchsorted(each[order][::-1], np.arange(each.max()), "right")).astype(np.int32)
+        step = np.cumsum(active, dtype=np.int32) - active
+        to = step.take(ranges(np.zeros(len(each), np.int32), each.astype(np.int32)))
+        to += np.repeat(place, each)
+        source = np.empty(len(to), np.int32)
+        source[to] = keep
+        owner = np.arange(len(to), dtype=np.int32) - np.repeat(step, active)
+        row = owner * np.int32(GATES) + gate.take(source)
+        x = odds.view(np.int32).ravel().take(source).view(np.int8).astype(np.float32).reshape(-1, len(ones))
+        x *= np.float32(STEP)
+        w = weights[left[order]].reshape(len(left) * GATES, -1)
+        packed, wrong, space = w.view(np.complex128).ravel(), np.empty(len(to), np.float32), np.empty((len(left), w.shape[1]), np.float32)
+        for a, m in zip(step.tolist(), active.tolist()):
+            r, y, p, much = row[a : a + m], x[a : a + m], wrong[a : a + m], space[:m]
+            now = w.take(r, axis=0)
+            np.multiply(now, y, out=much)
+            np.matmul(much, ones, out=p)
+            np.exp(p, out=p)
+            np.add(p, 1, out=p)
+            np.reciprocal(p, out=p)
+            np.multiply(y, (p * rate)[:, None], out=much)
+            now += much
+            packed[r] = now.view(np.complex128).ravel()  # a row of four weights as one number
+        weights[left[order]] = w.reshape(len(left), GATES, -1)
+        total[left[order]] += np.bincount(owner, log_right(wrong), len(left))
+    return total / np.log(2)
+
+
+def log2_of(texts: list[list[bytes]], ranks: dict[bytes, int], trees: Trees, tables: list[np.ndarray]) -> np.ndarray:
     """log2 of the probability of each tokenised text."""
-    number = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-    known, end = Known(list(number), trees, table), len(number)
-    word = np.fromiter((k for t in texts for k in (*map(number.__getitem__, t), end)), np.int32)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    # Segments, longest first, all advance by one word at a time.
-    n = -(-sizes // SEGMENT)
-    text = np.repeat(np.arange(len(texts)), n)
-    part = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    first = np.repeat(np.cumsum(sizes) - sizes, n) + part * SEGMENT
-    long = np.minimum(sizes[text] - part * SEGMENT, SEGMENT)
-    order = np.argsort(-long, kind="stable")
-    text, first, long = text[order], first[order], long[order]
-    active = len(long) - np.searchsorted(long[::-1], np.arange(long.max(initial=0)), "right")
-    gates = len(START)
-    weights = np.tile(START, (len(text), 1))  # a row for each segment and gate
-    total = np.zeros(len(text))
-    for t, n in enumerate(active):
-        at = word[first[:n] + t]
-        n_bits = known.n[at]
-        bits = ranges(known.start[at], n_bits)
-        segment = np.repeat(np.arange(n, dtype=np.int32), n_bits)
-        y, row = known.odds.take(bits, axis=0), segment * gates + known.gate.take(bits)
-        odds = np.einsum("ij,ij->i", weights.take(row, axis=0), y)
-        wrong = 1 / (1 + np.exp(-np.clip(odds, -14, 14)))
-        total[:n] += np.bincount(segment, np.log1p(-wrong), n)
-        for k in range(y.shape[1]):
-            weights[: n * gates, k] -= RATE * np.bincount(row, wrong * y[:, k], n * gates)
-    return np.bincount(text, total, len(texts)) / np.log(2)
+    number = Numbers({b"\n": 0})
+    word = np.fromiter((k for t in texts for k in (*map(number.__getitem__, t), 0)), np.int32)
+    return logs_of(word, np.fromiter(map(len, texts), np.int64, len(texts)) + 1, [b"\n", *(w + b" " for w in list(number)[1:])], ranks, trees, tables)
 
 
 SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_bytes bigint, n_known bigint, head_log double, log2 double, rare array<binary>"
@@ -313,63 +573,75 @@ SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_bytes
 
 def _scored(model) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, table, head = model.value
+        trees, tables, head, ranks = model.value
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            ids, held = batch["doc_id"].to_pylist(), batch["held_out"].to_pylist()
-            texts = [tokens_of(t) for t in batch["text"].cast(pa.binary()).to_pylist()]
-            sizes = np.cumsum([sum(map(len, t)) + len(t) + 1 for t in texts])
-            log2 = log2_of(texts, trees, table)
+        # Equal texts of a group are worked through once. texts: the numbers of distinct ones; of: which one each row has.
+        number, texts, ids, held, of, words, n_bytes = Numbers({b"\n": 0}), Numbers(), [], [], [], [], []
+
+        def out(row: int) -> pa.RecordBatch:
+            raw, sizes = [b"\n", *(w + b" " for w in list(number)[1:])], np.fromiter(map(len, words), np.int64, len(words))
+            log2 = logs_of(np.concatenate(words), sizes, raw, ranks, trees, tables)
+            count = np.array([0.0, *(head.get(w[:-1], np.nan) for w in raw[1:])])
             known, logs, rare = [], [], []
-            for t in texts:
-                found = list(map(head.get, t))
-                rare.append([w for w, x in zip(t, found) if x is None])
-                known.append(len(t) - len(rare[-1]))
-                logs.append(sum(x for x in found if x is not None))
-            yield pa.record_batch(
+            for w in words:
+                x = count[w[:-1]]
+                strange = np.isnan(x)
+                rare.append([raw[k][:-1] for k in w[:-1][strange]])
+                known.append(len(x) - len(rare[-1]))
+                logs.append(float(x[~strange].sum()))
+            return pa.record_batch(
                 [
                     pa.array(np.arange(row, row + len(ids))),
                     pa.array(ids, pa.int64()),
                     pa.array(held, pa.bool_()),
-                    pa.array([len(t) + 1 for t in texts], pa.int64()),
-                    pa.array(np.diff(sizes, prepend=0), pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(logs, pa.float64()),
-                    pa.array(log2, pa.float64()),
-                    pa.array(rare, pa.list_(pa.binary())),
+                    *(pa.array(x, t).take(pa.array(of, pa.int64())) for x, t in ((sizes, pa.int64()), (n_bytes, pa.int64()), (known, pa.int64()), (logs, pa.float64()), (log2, pa.float64()), (rare, pa.list_(pa.binary())))),
                 ],
                 names=[c.split()[0] for c in SCORED.split(", ")],
             )
-            row += len(ids)
+
+        for batch in batches:
+            ids += batch["doc_id"].to_pylist()
+            held += batch["held_out"].to_pylist()
+            for t in batch["text"].cast(pa.binary()).to_pylist():
+                of.append(texts[t])
+                if of[-1] == len(words):
+                    x = tokens_of(t)
+                    words.append(np.fromiter((*map(number.__getitem__, x), 0), np.int32, len(x) + 1))
+                    n_bytes.append(sum(map(len, x)) + len(x) + 1)
+            if sum(n_bytes) >= GROUP:
+                yield out(row)
+                row += len(ids)
+                number, texts, ids, held, of, words, n_bytes = Numbers({b"\n": 0}), Numbers(), [], [], [], [], []
+        if ids:
+            yield out(row)
 
     return run
 
 
-def frequent(words: DataFrame, most: int = HEAD) -> dict[bytes, int]:
-    """All words seen at least 2**k times, for the least k that leaves at most `most`."""
-    level = F.length(F.bin("n")) - 1
-    rows = words.groupBy(level.alias("k")).agg(F.count("*").alias("words")).collect()
-    total, least = 0, 64
-    for k, n in sorted(((r["k"], r["words"]) for r in rows), reverse=True):
-        if total + n > most:
-            break
-        total, least = total + n, k
-    got = words.where(level >= least).toArrow()
-    return dict(zip(got["word"].to_pylist(), got["n"].to_pylist()))
+def learn(rows: DataFrame) -> tuple[DataFrame, int, dict[bytes, int], Trees, list[np.ndarray]]:
+    """What the texts of rows teach: word counts, ends, ranks of common words, trees and tables."""
+    words, ends = word_counts(rows), rows.count()
+    ranks = common_words(words)
+    trees = Trees(pair_counts(words, ends))
+    sent, bits = rows.sparkSession.sparkContext.broadcast(trees), bits_for(words.count())
+    tables = [table(words, by_order(o, ends), sent, bits) for o in ORDERS]
+    runs = run_counts(rows, ranks)
+    tables.append(table(runs, by_run, sent, min(bits, RUN_BITS)))
+    common.discard(runs)
+    return words, ends, ranks, trees, tables
 
 
 def scores(docs: DataFrame, held=None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row of docs."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     held = common.fold(F.col("doc_id"), FOLDS) == HELD if held is None else held
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held.alias("held_out"))
-    words = word_counts(rows.where(~F.col("held_out")))
-    ends = rows.where(~F.col("held_out")).count()
+    words, ends, ranks, trees, tables = learn(rows.where(~F.col("held_out")))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = n + ends, v + (ends > 0)
-    trees = Trees(pair_counts(words, ends))
     head = {w: float(np.log10(c + 1)) for w, c in frequent(words).items()}
-    model = spark.sparkContext.broadcast((trees, tables(words, trees, ends), head))
+    model = spark.sparkContext.broadcast((trees, tables, head, ranks))
     found = common.stored(rows.mapInArrow(_scored(model), SCORED), "scored")
     rare = found.select("row", F.explode("rare").alias("w"))
     rare = rare.join(words, rare["w"] == words["word"], "left")
@@ -389,4 +661,5 @@ def scores(docs: DataFrame, held=None) -> DataFrame:
 
 
 def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, learnt from the folds that are not held out. Null or empty text: the end token alone. Null or repeated ids: a row each."""
     return scores(common.table(spark, sf_dir, "documents"))

@@ -263,34 +263,154 @@ def test_op10_edges(spark):
     assert all(np.isfinite(r["score"]) for r in none)
 
 
+def random_model(seed):
+    rng = np.random.default_rng(seed)
+    tables = [rng.integers(0, 248, 1 << 16).astype(np.uint8) for _ in range(len(mixing.ORDERS) + 1)]
+    return mixing.Trees(rng.integers(0, 50, 65536)), tables
+
+
 def test_probabilities_add_up():
     """What may stand first in a text, a byte or the end, has probabilities that add up to one."""
-    rng = np.random.default_rng(3)
-    trees = mixing.Trees(rng.integers(0, 50, 65536))
-    table = rng.integers(0, 248, (len(mixing.ORDERS), 1 << mixing.BITS)).astype(np.uint8)
-    total = 0.0
+    trees, tables = random_model(3)
+    total, code = 0.0, Coder(trees, tables, {})
     for b in range(256):
-        buf, pos = np.array([b], np.uint8), np.zeros(1, np.int64)
-        of, node, bit = trees.events(np.array([mixing.SPACE], np.uint8), buf)
-        codes = [table[k][mixing.slots(mixing.hashed(buf, pos, o)[of], node)] for k, o in enumerate(mixing.ORDERS)]
-        seen = [c[0] & 3 for c in codes]
-        gate = 3 if seen[2] == 3 else min(2, seen[1])
-        odds = mixing.START[gate, 0] * trees.bias[node] + sum(mixing.START[gate, k + 1] * mixing.ODDS[c] for k, c in enumerate(codes))
-        p = np.prod(1 / (1 + np.exp(np.clip((1 - 2.0 * bit) * odds, -14, 14))))
-        total += p
+        total += 2 ** code.text([bytes([b])] if b != mixing.END else [mixing.END], 1)
         if b == mixing.END:
-            assert np.isclose(np.log2(p), mixing.log2_of([[]], trees, table)[0], atol=1e-4)
+            assert np.isclose(code.text([mixing.END], 1), mixing.log2_of([[]], {}, trees, tables)[0], atol=1e-4)
     assert abs(total - 1) < 1e-3
 
 
-def test_scores_do_not_depend_on_company():
-    """A text's score is the same alone and among others, short and long."""
+def test_scores_do_not_depend_on_company(monkeypatch):
+    """A text's score is the same alone and among others, short and long, in long rounds and in short ones."""
     rng = np.random.default_rng(4)
-    trees = mixing.Trees(rng.integers(0, 50, 65536))
-    table = rng.integers(0, 248, (len(mixing.ORDERS), 1 << mixing.BITS)).astype(np.uint8)
-    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8)) for _ in range(300)]
-    texts = [[words[k] for k in rng.integers(0, 300, n)] for n in (0, 1, 5, 255, 256, 257, 2000)]
-    assert np.allclose(mixing.log2_of(texts, trees, table), [mixing.log2_of([t], trees, table)[0] for t in texts])
+    trees, tables = random_model(4)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8)) for _ in range(300)] + [b"x" * 500, bytes(rng.integers(97, 123, 300).astype(np.uint8))]
+    ranks = {w: k + 1 for k, w in enumerate(words[:9])}
+    texts = [[words[k] for k in rng.integers(0, len(words), n)] for n in (0, 1, 5, 255, 256, 257, 700, *([30] * 20))]
+    alone = [mixing.log2_of([t], ranks, trees, tables)[0] for t in texts]
+    for few, many in ((10, 2_000_000), (0, 2_000_000), (0, 5_000), (3, 300)):
+        monkeypatch.setattr(mixing, "FEW", few)
+        monkeypatch.setattr(mixing, "ROUND", many)
+        assert np.allclose(mixing.log2_of(texts, ranks, trees, tables), alone, rtol=2e-5)
+
+
+class Coder:
+    """The coder written out bit by bit, with whole numbers for hashes."""
+
+    def __init__(self, trees, tables, ranks):
+        self.paths = {k: (trees.nodes[a : a + n].tolist(), trees.bits[a : a + n].tolist()) for k, (a, n) in enumerate(zip(trees.start.tolist(), trees.size.tolist()))}
+        self.tables, self.ranks = tables, ranks
+
+    @staticmethod
+    def stir(x):
+        x = (x ^ x >> 15) * 0x9E3779B1 & 0xFFFFFFFF
+        return x ^ x >> 13
+
+    @classmethod
+    def context(cls, before, order, rank=None):
+        """before: the bytes of the word so far, the nearest last."""
+        if order:
+            h = sum((c + 1) * pow(0x01000193, d + 1, 1 << 32) for d, c in enumerate(before[::-1][:order]))
+        else:
+            h = sum((c + 1) * pow(0x01000193, k, 1 << 32) for k, c in enumerate(before))
+        h = cls.stir(h & 0xFFFFFFFF)
+        return h if rank is None else cls.stir(h + (rank + 1) * 0xC2B2AE35 & 0xFFFFFFFF)
+
+    @classmethod
+    def contexts(cls, before, rank):
+        return [cls.context(before, 3), cls.context(before, 5), cls.context(before, 0), cls.context(before, 3, rank)]
+
+    @staticmethod
+    def slot(h, node, bits):
+        return ((h + node * 0x85EBCA6B) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - bits
+
+    def text(self, tokens, most=None):
+        """log2 of the probability of tokens, or of their first bytes."""
+        weights, total, rank, done = mixing.START.astype(float).copy(), 0.0, 0, 0
+        for w in tokens:
+            said = [w] if w == mixing.END else [*w, mixing.SPACE]
+            for k, c in enumerate(said):
+                if done == most:
+                    return total
+                done += 1
+                hs = self.contexts(said[:k], rank)
+                codes = None
+                for node, bit in zip(*self.paths[(said[k - 1] if k else mixing.SPACE) << 8 | c]):
+                    found = [int(t[self.slot(h, node, len(t).bit_length() - 1)]) for t, h in zip(self.tables, hs)]
+                    if codes is None:  # the gate is that of the byte's first decision
+                        codes = [f & 3 for f in found]
+                        gate = (3 if codes[2] == 3 else 2 if codes[1] >= 2 else codes[1]) + 4 * codes[3]
+                    x = np.array([((f >> 2) - 31) * 0.25 for f in found]) * (1 if bit else -1)
+                    wrong = 1 / (1 + np.exp(weights[gate] @ x))
+                    total += np.log2(1 - min(max(wrong, 1e-6), 1 - 1e-6))
+                    weights[gate] += mixing.RATE * wrong * x
+            if w != mixing.END:
+                rank = self.ranks.get(w, rank)
+        return total
+
+
+def huffman(pairs):
+    """Paths of the trees, made with lists instead of heaps."""
+    paths = {}
+    for before in range(256):
+        alive = [(pairs.get((before, c), 0) + 1, c) for c in range(256)]
+        above = {}
+        for inner in range(256, 511):
+            (a, x), (b, y) = sorted(alive)[:2]
+            alive = [v for v in alive if v[1] not in (x, y)] + [(a + b, inner)]
+            above[x], above[y] = (inner, 0), (inner, 1)
+        for c in range(256):
+            nodes, bits, at = [], [], c
+            while at != 510:
+                at, bit = above[at]
+                nodes.append(before << 8 | at - 256)
+                bits.append(bit)
+            paths[before << 8 | c] = (nodes[::-1], bits[::-1])
+    return paths
+
+
+def test_op10_brute(spark, tmp_path):
+    """The whole query against counts and a coder written out, over texts in training and not."""
+    text = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(25).collect()]
+    docs = [(k, (t or "")[:700]) for k, t in enumerate(text)] + [(100, None), (101, ""), (None, "the of"), (102, "the xqzzy " * 30), (3, "a repeated id")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").toPandas().convert_dtypes().to_parquet(f"{tmp_path}/documents.parquet")
+    tokens = {i: mixing.tokens_of((t or "").encode()) for i, (_, t) in enumerate(docs)}
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in docs]
+    taught = [tokens[i] for i in tokens if not held[i]]
+    words = Counter(w for t in taught for w in t)
+    ranks = {w: k + 1 for k, (w, _) in enumerate(sorted(words.items(), key=lambda x: (-x[1], x[0]))[: mixing.COMMON])}
+    pairs = Counter({(mixing.SPACE, mixing.END): len(taught)})
+    for w, n in words.items():
+        for a, b in zip(b" " + w, w + b" "):
+            pairs[a, b] += n
+    coder = Coder(mixing.Trees(np.zeros(65536, np.int64)), [], ranks)
+    coder.paths = huffman(pairs)
+    bits = mixing.bits_for(len(words))
+    sums = [defaultdict(lambda: [0, 0]) for _ in range(4)]
+    for t in taught:
+        rank = 0
+        for w in [*t, mixing.END]:
+            said = [w] if w == mixing.END else [*w, mixing.SPACE]
+            for k, c in enumerate(said):
+                hs = Coder.contexts(said[:k], rank)
+                for node, bit in zip(*coder.paths[(said[k - 1] if k else mixing.SPACE) << 8 | c]):
+                    for s, h in zip(sums, hs):
+                        s[Coder.slot(h, node, bits)][bit] += 1
+            if w != mixing.END:
+                rank = ranks.get(w, rank)
+    for s in sums:
+        table = np.full(1 << bits, 31 << 2, np.uint8)
+        for part in range(max(1, (1 << bits) >> 16)):
+            mine = {k: v for k, v in s.items() if k >> 16 == part}
+            middle = sorted([a + b for a, b in mine.values()] + [0] * (65536 - len(mine)))[32768]
+            for k, (a, b) in mine.items():
+                n = a + b - middle
+                table[k] = round(min(31, max(-31, np.rint(np.log((b + 0.4) / (a + 0.4)) / 0.25)))) + 31 << 2 | (n >= 1) + (n >= 2) + (n >= 16)
+        coder.tables.append(table)
+    want = sorted(((d if d is not None else -1), held[i], coder.text([*tokens[i], mixing.END])) for i, (d, _) in enumerate(docs))
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["held_out"], r["score"] / np.log10(2)) for r in mixing.op10_context_mixing(spark, str(tmp_path)).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and any(held) and not all(held)
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-4)
 
 
 def test_pipeline(spark):

@@ -38,6 +38,14 @@ def bigrams(w: Column) -> Column:
     return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(1))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))
 
 
+def language(text: Column, profiles: dict[str, tuple[str, ...]] = V.PROFILES, head: int = 500) -> Column:
+    """The language with most of its frequent words among the first characters, the first by name of equal ones; null if there is none of them."""
+    w = tokens(F.substring(text, 1, head))
+    counts = [F.struct((-F.size(F.filter(w, lambda x, p=p: x.isin(*p)))).alias("n"), F.lit(k).alias("lang")) for k, p in sorted(profiles.items())]
+    best = F.array_min(F.array(*counts))
+    return F.when(best["n"] < 0, best["lang"])
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 

@@ -106,6 +106,18 @@ MAX_BOILERPLATE = 0.20
 MAX_PER_MEDIA = 500
 MAX_PER_ENTITY = 300
 
+# Words of our own before a name that make it a modifier, for lack of a parser.
+DEPENDENTS = ("milik", "dari", "of", "von", "de", "del")
+
+# Frequent words by language, for lack of a language detector.
+PROFILES = {
+    "id": ("yang", "dan", "di", "untuk", "dengan", "ini", "itu", "dari", "pada", "tidak", "akan", "dalam"),
+    "en": ("the", "of", "and", "to", "in", "is", "that", "it", "was", "for", "on", "with"),
+    "fr": ("le", "la", "les", "des", "et", "est", "dans", "pour", "que", "une", "du", "sur"),
+    "de": ("der", "die", "und", "das", "den", "von", "zu", "mit", "sich", "auf", "ist", "nicht"),
+    "es": ("el", "los", "las", "que", "y", "en", "por", "con", "una", "para", "del", "se"),
+}
+
 # Words of the synthetic corpus, for the same operators on it.
 CORPUS_STOPWORDS = ("the", "of", "and", "to", "in", "is", "it", "for", "was", "on", "are", "as")
 CORPUS_POSITIVE = ("the", "that", "with", "est", "und", "que")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,7 +41,9 @@ def windows(
     """Each sentence as an anchor with its context, cut to 180 words around it.
 
     A marker word in the sentence stands in for its root verb. An attribution pulls the sentence before, and the one
-    before that if there is a quote; an action pulls the next one only if it opens with a pronoun or a quote.
+    before that if there is a quote; an action pulls the next one only if it opens with a pronoun or a quote. That holds
+    for an entity that acts or is acted on; `beside` is the context of one that is only mentioned, which pulls no next
+    sentence behind an action.
     """
     by = W.partitionBy("doc_id").orderBy("pos")
     quote = f"[{V.QUOTES}]"
@@ -52,6 +56,7 @@ def windows(
     ahead = F.col("_n").isNotNull() & (~F.col("has_action") | opens)
     x = x.withColumn("before", F.concat_ws(" ", F.when(far, F.col("_2")), F.when(back, F.col("_1")))).withColumn("after", F.when(ahead, F.col("_n")).otherwise(""))
     x = x.withColumn("context", capped(F.col("before"), F.col("sentence"), F.col("after")))
+    x = x.withColumn("beside", capped(F.col("before"), F.col("sentence"), F.when(F.col("has_action"), F.lit("")).otherwise(F.col("after"))))
     x = x.withColumn("has_quote", F.col("context").rlike(quote))
     x = x.withColumn("quality_score", F.when(F.col("has_action"), 90).otherwise(50)).withColumn("attr_score", F.when(F.col("has_action"), 40).otherwise(10)).withColumn("pos_score", F.when(F.col("paragraph") == 0, 20).otherwise(10))
     return x.drop("_w", "_1", "_2", "_n", "before", "after")
@@ -73,20 +78,40 @@ def anchors(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
     return mentions.where(F.col("offset") >= 0).join(s, (F.col("doc_id") == F.col("_d")) & (F.col("offset") >= F.col("_s")) & (F.col("offset") < F.col("_e"))).drop("_d", "_s", "_e")
 
 
+def core_argument(sentence: Column, name: Column, dependents: tuple[str, ...] = V.DEPENDENTS) -> Column:
+    """Whether an entity is more than a modifier: the fallback for a parser. False if the word before its first mention makes it one."""
+    at = F.position(F.lower(name), F.lower(sentence))
+    before = T.tokens(F.substring(sentence, F.lit(1), F.greatest(at - 1, F.lit(0))))
+    return F.coalesce(~F.element_at(F.concat(F.array(F.lit("")), before), -1).isin(*dependents), F.lit(True))
+
+
+def for_mentions(placed: DataFrame, windows_: DataFrame, core: Callable[[Column, Column], Column] = core_argument) -> DataFrame:
+    """placed(doc_id, entity_id, offset, pos, mention) with the context and quality of its sentence, as the mention acts in it or stands beside."""
+    x = placed.join(windows_, ["doc_id", "pos"]).withColumn("is_main_actor", core(F.col("sentence"), F.col("mention")))
+    x = x.withColumn("context", F.when(F.col("is_main_actor"), F.col("context")).otherwise(F.col("beside")))
+    return x.withColumn("quality_score", F.when(F.col("is_main_actor"), F.col("quality_score")).otherwise(50)).drop("beside")
+
+
 def best(contexts: DataFrame) -> DataFrame:
     """The context with the best quality of each document and entity; ties: the first mention."""
     by = W.partitionBy("doc_id", "entity_id").orderBy(F.desc("quality_score"), "offset")
     return contexts.withColumn("_rn", F.row_number().over(by)).where("_rn = 1").drop("_rn")
 
 
-def readiness(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+def readiness(docs: DataFrame, contexts: DataFrame, ready: DataFrame | None = None) -> DataFrame:
     """docs with outcome and n_valid: duplicate title, then too short, then enough context or body, else failed.
 
-    contexts(doc_id, context, quality_score). Each document gets exactly one outcome.
+    contexts(doc_id, context, quality_score); ready(title): documents outside docs that passed the gate before. Each
+    document gets exactly one outcome.
     """
     valid = (F.length("context") >= 50) & (F.col("quality_score") >= 20)
     n = contexts.where(valid).groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("n_valid"))
     x = dedup.by_title(docs).join(n, F.col("doc_id") == F.col("_d"), "left").drop("_d").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
+    again = F.col("duplicate_of").isNotNull()
+    if ready is not None:
+        known = ready.select(F.nullif(T.normal_title(F.col("title")), F.lit("")).alias("_known")).where("_known IS NOT NULL").distinct()
+        x = x.join(known, T.normal_title(F.col("title")) == F.col("_known"), "left")
+        again |= F.col("_known").isNotNull()
     body = F.length(F.coalesce("text", F.lit("")))
-    outcome = F.when(F.col("duplicate_of").isNotNull(), "skipped_duplicate_title").when(body < 150, "failed_short_body").when((F.col("n_valid") >= 1) | (body >= 500), "queued").otherwise("failed_no_context")
-    return x.withColumn("outcome", outcome).drop("duplicate_of")
+    outcome = F.when(again, "skipped_duplicate_title").when(body < 150, "failed_short_body").when((F.col("n_valid") >= 1) | (body >= 500), "queued").otherwise("failed_no_context")
+    return x.withColumn("outcome", outcome).drop("duplicate_of", "_known")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 
-#: Terms that are sent to the workers by broadcast. A larger dictionary is refused: split it by first letter and unite the hits.
+#: Terms that are sent to the workers in one broadcast. A larger dictionary goes out in blocks, whose hits are united.
 MOST_TERMS = 500_000
 SPANS = "array<struct<entity_id:bigint,start:int,end:int,mention:string,canonical:boolean>>"
 IN_WORD = re.compile(r"\w").match
@@ -45,7 +45,8 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not terms
 
-    def spans(self, text: str | None) -> list[tuple[int, int, int, str, bool]]:
+    def every(self, text: str | None) -> list[tuple[int, int, int, str, bool]]:
+        """All whole-word matches, also those that overlap."""
         if not text or self.empty:
             return []
         low = text.lower()
@@ -55,31 +56,56 @@ class Matcher:
         for end, (n, entity, canonical) in self.automaton.iter(low):
             start, stop = end - n + 1, end + 1
             if not (start and IN_WORD(low[start - 1])) and not (stop < len(low) and IN_WORD(low[stop])):
-                found.append((start, -n, entity, canonical))
-        out, free = [], 0
-        for start, n, entity, canonical in sorted(found):
-            if start >= free:
-                free = start - n
-                out.append((entity, start, free, text[start:free], canonical))
-        return out
+                found.append((entity, start, stop, text[start:stop], canonical))
+        return found
+
+    def spans(self, text: str | None) -> list[tuple[int, int, int, str, bool]]:
+        return apart(self.every(text))
+
+
+NAMES = ("entity_id", "start", "end", "mention", "canonical")
+KIND = pa.list_(pa.struct([("entity_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("mention", pa.string()), ("canonical", pa.bool_())]))
+
+
+def apart(found: list[tuple[int, int, int, str, bool]]) -> list[tuple[int, int, int, str, bool]]:
+    """Of matches, from left to right, the longest that begin behind the last one taken."""
+    out, free = [], 0
+    for s in sorted(found, key=lambda s: (s[1], s[1] - s[2], s[0], s[4])):
+        if s[1] >= free:
+            free = s[2]
+            out.append(s)
+    return out
 
 
 def match(docs: DataFrame, terms: DataFrame, text: Column) -> DataFrame:
-    """docs with `spans`: all matches in a text."""
-    rows = [(r["term"], r["entity_id"], r["canonical"]) for r in terms.limit(MOST_TERMS + 1).collect()]
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"the dictionary has more than {MOST_TERMS} terms")
-    sent = docs.sparkSession.sparkContext.broadcast(sorted(rows))
+    """docs with `spans`: all matches in a text. Terms go out in blocks of MOST_TERMS; what several blocks find is united before overlaps are settled."""
+    context, blocks, rows = docs.sparkSession.sparkContext, [], []
+    for r in terms.orderBy("term").toLocalIterator():
+        rows.append((r["term"], r["entity_id"], r["canonical"]))
+        if len(rows) == MOST_TERMS:
+            blocks.append(context.broadcast(rows))
+            rows = []
+    if rows or not blocks:
+        blocks.append(context.broadcast(rows))
+
+    def found(sent, whole: bool):
+        @F.arrow_udf(SPANS)
+        def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            matcher = Matcher(sent.value)
+            of = matcher.spans if whole else matcher.every
+            for batch in batches:
+                yield pa.array([[dict(zip(NAMES, s)) for s in of(t)] for t in batch.to_pylist()], KIND)
+
+        return spans(text)
+
+    if len(blocks) == 1:
+        return docs.withColumn("spans", found(blocks[0], True))
 
     @F.arrow_udf(SPANS)
-    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("entity_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("mention", pa.string()), ("canonical", pa.bool_())]))
-        matcher = Matcher(sent.value)
-        names = ("entity_id", "start", "end", "mention", "canonical")
-        for batch in batches:
-            yield pa.array([[dict(zip(names, s)) for s in matcher.spans(t)] for t in batch.to_pylist()], kind)
+    def settled(every: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(NAMES, s)) for s in apart([tuple(x[n] for n in NAMES) for x in row])] for row in every.to_pylist()], KIND)
 
-    return docs.withColumn("spans", spans(text))
+    return docs.withColumn("spans", settled(F.concat(*[found(b, False) for b in blocks])))
 
 
 def term_pattern(terms: list[str]) -> str:
@@ -102,7 +128,7 @@ def veto(matched: Column, canonical: Column, persons: Column) -> Column:
     """True for a false positive: the first longer person name that holds the match shares no other part of the canonical name."""
     low = F.lower(matched)
     holder = F.get(F.filter(persons, lambda p: F.contains(F.lower(p), low) & (F.length(p) > F.length(matched))), F.lit(0))
-    parts = F.filter(F.split(F.lower(canonical), r"\s+"), lambda w: ~F.contains(low, w))
+    parts = F.filter(F.split(F.trim(F.lower(canonical)), r"\s+"), lambda w: w != low)
     return F.coalesce(~F.exists(parts, lambda w: F.contains(F.lower(holder), w)), F.lit(False))
 
 
@@ -111,12 +137,25 @@ def hits(matched: DataFrame) -> DataFrame:
     return matched.select("doc_id", "title", F.posexplode("spans").alias("k", "s")).select("doc_id", F.length(F.coalesce("title", F.lit(""))).alias("title_len"), "s.*")
 
 
+def true_hits(matched: DataFrame, entities: DataFrame, text: Column) -> DataFrame:
+    """Rows of hits() without those that are part of somebody else's name. The names of persons come from the fallback tagger."""
+    x = matched.select("doc_id", "title", full_names(text).alias("_persons"), F.explode("spans").alias("s"))
+    x = x.join(entities.select(F.col("entity_id").alias("_e"), F.col("canonical_name").alias("_name")), F.col("s.entity_id") == F.col("_e"))
+    x = x.where(~veto(F.col("s.mention"), F.col("_name"), F.col("_persons")))
+    return x.select("doc_id", F.length(F.coalesce("title", F.lit(""))).alias("title_len"), "s.*")
+
+
 def salience(matched: DataFrame) -> DataFrame:
-    """doc_id, entity_id, n, in_title, first_offset, rank, is_main, confidence of the entities that count in a text.
+    """The salient entities of matched texts, all hits counted."""
+    return salient(hits(matched))
+
+
+def salient(found: DataFrame) -> DataFrame:
+    """doc_id, entity_id, n, in_title, first_offset, rank, is_main, confidence of the entities that count in a text, from rows of hits.
 
     An entity counts if its canonical name is in the title or it occurs twice; if none does, the first in rank counts.
     """
-    x = hits(matched).groupBy("doc_id", "entity_id").agg(
+    x = found.groupBy("doc_id", "entity_id").agg(
         F.count("*").alias("n"), F.max(F.col("canonical") & (F.col("end") <= F.col("title_len"))).alias("in_title"), F.min("start").alias("first_offset")
     )
     by = W.partitionBy("doc_id").orderBy(F.desc("in_title"), F.desc("n"), "first_offset")
@@ -127,6 +166,25 @@ def salience(matched: DataFrame) -> DataFrame:
     return x.withColumn("is_main", F.col("rank") == 1).withColumn("resolver_source", F.lit("dictionary"))
 
 
+def resolve(docs: DataFrame, entities: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
+    """Mentions and the entities of documents(doc_id, title, ..., configured_entity_id).
+
+    A document that was fetched for an entity belongs to that one alone, with all its mentions or one at -1; the others
+    go through the dictionary, the veto and the salience gate.
+    """
+    matched = match(docs, dictionary(entities), text)
+    free, fixed = matched.where("configured_entity_id IS NULL"), matched.where("configured_entity_id IS NOT NULL")
+    found = true_hits(free, entities, text)
+    own = hits(fixed).join(fixed.select("doc_id", F.col("configured_entity_id").alias("entity_id")), ["doc_id", "entity_id"], "left_semi")
+    placed = own.groupBy("doc_id", "entity_id").agg(F.min("start").alias("first_offset"), F.count("*").alias("n"))
+    given = pre_attributed(fixed, placed)
+    columns = ["doc_id", "entity_id", "start", "end", "mention"]
+    unplaced = given.where("first_offset < 0").join(entities.select("entity_id", F.col("canonical_name").alias("mention")), "entity_id", "left")
+    mentions = found.select(*columns).unionByName(own.select(*columns)).unionByName(unplaced.select("doc_id", "entity_id", F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.coalesce("mention", F.lit("Unknown")).alias("mention")))
+    mapped = salient(found).select("doc_id", "entity_id", "first_offset", F.lit(1.0).alias("confidence"), "is_main", "resolver_source")
+    return mentions, mapped.unionByName(given)
+
+
 def pre_attributed(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Rows for documents with a configured entity: confidence 1, offset -1 where the text does not name it."""
     x = docs.where(F.col("configured_entity_id").isNotNull()).select("doc_id", F.col("configured_entity_id").alias("entity_id"))

@@ -14,6 +14,14 @@ def _match(keys: list[str]) -> Column:
     return out
 
 
+def _keyed(keys: list[str]) -> Column:
+    """A key with a null in it names no row."""
+    out = F.lit(True)
+    for k in keys:
+        out &= F.col(f"o.{k}") == F.col(f"n.{k}")
+    return out
+
+
 def latest(changes: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """One change for each key: the last by order. A partial update needs this first."""
     return changes.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(order.desc()))).where("_rn = 1").drop("_rn")
@@ -25,8 +33,11 @@ def insert_if_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> Data
 
 
 def partial_update(table: DataFrame, changes: DataFrame, keys: list[str], merged: tuple[str, ...] = ()) -> DataFrame:
-    """table with the columns that changes has: null keeps the old value, map columns in `merged` are merged, new keys winning. Changes must be unique by key."""
-    x = table.alias("o").join(changes.alias("n"), _match(keys), "left")
+    """table with the columns that changes has: null keeps the old value, map columns in `merged` are merged, new keys winning.
+
+    Changes must be unique by key; rows and changes with a null in their key meet none.
+    """
+    x = table.alias("o").join(changes.alias("n"), _keyed(keys), "left")
 
     def column(c: str) -> Column:
         if c in keys or c not in changes.columns:
@@ -59,6 +70,29 @@ def replace(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(rows.select(*table.columns))
 
 
+def outdated(version: Column, now: str) -> Column:
+    """Rows made by another version, or by none that is known."""
+    return version.isNull() | (version != now)
+
+
+def leased(queue: DataFrame, now: str, seconds: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """The next n visible messages of queue(msg_id, visible_at, read_count, ...), and the queue in which they are hidden for some seconds.
+
+    A message that is not acknowledged by then becomes visible again.
+    """
+    at = F.lit(now).cast("timestamp_ntz")
+    taken = queue.where(F.col("visible_at") <= at).orderBy("msg_id").limit(n).select(F.col("msg_id").alias("_m"))
+    x = queue.join(F.broadcast(taken), F.col("msg_id") == F.col("_m"), "left").withColumn("_t", F.col("_m").isNotNull())
+    x = x.withColumn("visible_at", F.when(F.col("_t"), at + F.make_dt_interval(secs=F.lit(seconds))).otherwise(F.col("visible_at")))
+    x = x.withColumn("read_count", F.col("read_count") + F.col("_t").cast("int"))
+    return x.where("_t").drop("_m", "_t"), x.drop("_m", "_t")
+
+
+def acknowledged(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """The queue without the messages of done(msg_id)."""
+    return queue.join(done.select("msg_id"), "msg_id", "left_anti")
+
+
 def expire(table: DataFrame, at: str, as_of: str, days: int) -> DataFrame:
     return table.where(F.col(at) >= F.date_sub(F.to_date(F.lit(as_of)), days))
 

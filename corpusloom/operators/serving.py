@@ -42,10 +42,11 @@ def highlights(scores: DataFrame, docs: DataFrame, as_of: str, n: int = 5, days:
     return x.join(docs.select("doc_id"), "doc_id", "left_semi").select("entity_id", "polarity", "doc_id", "event_id", "confidence", "rn")
 
 
-def read_highlights(table: DataFrame, entity_id: int, polarity: str | None = None, n: int = 10) -> DataFrame:
+def read_highlights(table: DataFrame, entity_id: int, polarity: str | None = None, n: int = 10, at: str = "published_at") -> DataFrame:
+    """Highlights of an entity, by polarity and the newest first."""
     x = table.where(F.col("entity_id") == entity_id)
     x = x if polarity is None else x.where(F.col("polarity") == polarity)
-    return x.orderBy("polarity", F.desc_nulls_last("confidence"), "event_id").limit(n)
+    return x.orderBy("polarity", F.desc_nulls_last(at), "event_id").limit(n)
 
 
 def series(scores: DataFrame, as_of: str, days: int, unit: str = "day", entity_id: int | None = None, least: float = 0.0) -> DataFrame:
@@ -67,6 +68,34 @@ def hotness(scores: DataFrame, as_of: str) -> DataFrame:
     return merge.recent(scores, "scored_at", as_of, 30).where("entity_id IS NOT NULL").groupBy("entity_id").agg(F.count_if(week).alias("mentions_7d"), F.count("*").alias("mentions_30d"))
 
 
+def trend(scores: DataFrame, drop: float = 0.1) -> DataFrame:
+    """Weekly polarity of each entity, its change, and whether it fell by more than `drop`."""
+    x = scores.where("entity_id IS NOT NULL").groupBy("entity_id", F.to_date(F.date_trunc("week", "scored_at")).alias("week")).agg(F.round(F.avg(polarity()), 4).alias("polarity"))
+    change = F.col("polarity") - F.lag("polarity").over(W.partitionBy("entity_id").orderBy("week"))
+    return x.withColumn("change", F.round(change, 4)).withColumn("drop_alert", F.coalesce(change < -drop, F.lit(False)))
+
+
+def head_to_head(scores: DataFrame, left: int, right: int) -> DataFrame:
+    """Weekly polarity and counts of two entities side by side."""
+    sides = (("left", left), ("right", right))
+    x = scores.where(F.col("entity_id").isin(left, right)).groupBy(F.to_date(F.date_trunc("week", "scored_at")).alias("week"))
+    return x.agg(*[F.round(F.avg(F.when(F.col("entity_id") == i, polarity())), 4).alias(f"{n}_polarity") for n, i in sides], *[F.count_if(F.col("entity_id") == i).alias(f"{n}_n") for n, i in sides])
+
+
+def refresh_dashboard(stored: DataFrame, scores: DataFrame, entities: DataFrame, as_of: str, back: int = 2, days: int = 90) -> DataFrame:
+    """The stored roll-up with the last `back` days made anew and days that have fallen out dropped."""
+    first = F.date_sub(F.to_date(F.lit(as_of)), back)
+    kept = merge.expire(stored, "day", as_of, days).where(F.col("day") < first)
+    return kept.unionByName(dashboard(scores, entities, as_of, back).where(F.col("day") >= first))
+
+
+def refresh_highlights(stored: DataFrame, scores: DataFrame, docs: DataFrame, as_of: str, n: int = 5, days: int = 30) -> DataFrame:
+    """stored(entity_id, doc_id, polarity, confidence, published_at) without what has expired, updated and extended by today's best of each entity and polarity."""
+    fresh = highlights(scores, docs, as_of, n, days).join(scores.select("event_id", F.col("scored_at").alias("published_at")), "event_id")
+    fresh = merge.latest(fresh, ["entity_id", "doc_id"], F.struct("confidence", "published_at", "event_id")).select(*stored.columns)
+    return merge.upsert(merge.expire(stored, "published_at", as_of, days), fresh, ["entity_id", "doc_id"], ["confidence"])
+
+
 def spikes(daily: DataFrame, back: int = 7, sigmas: float = 3.0) -> DataFrame:
     """daily(entity_id, day, n) with the mean and deviation of the days before, and whether a day stands out."""
     by = W.partitionBy("entity_id").orderBy("day").rowsBetween(-back, -1)

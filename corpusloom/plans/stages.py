@@ -23,6 +23,7 @@ class Settings:
 
     stopwords: tuple[str, ...] = V.STOPWORDS
     language: str = "id"
+    version: str = "1"
     positive: tuple[str, ...] = V.POSITIVE
     negative: tuple[str, ...] = V.NEGATIVE
     as_of: str | None = None
@@ -55,36 +56,42 @@ def enrich(t: Tables, s: Settings) -> Tables:
 
 def validate(t: Tables, s: Settings) -> Tables:
     docs = _pick(t["raw_texts"], "enriched", s)
-    x = quality.route(quality.quality_score(docs, s.stopwords, F.col("lang") == s.language))
+    language = F.coalesce(F.col("lang"), quality.T.language(F.col("text"))) if "lang" in docs.columns else quality.T.language(F.col("text"))
+    x = quality.route(quality.quality_score(docs, s.stopwords, F.coalesce(language == s.language, F.lit(False))))
     return t | {"raw_texts": merge.partial_update(t["raw_texts"], x.select("doc_id", "status", "fail_reason"), ["doc_id"])}
 
 
 def preprocess(t: Tables, s: Settings) -> Tables:
-    """Validated documents get their normalised text; copies of content become skipped and point at the survivor."""
+    """Validated documents get their normalised text; copies of content become skipped and point at the survivor. Those of this version are left alone."""
     docs = _pick(t["raw_texts"], "validated", s)
+    if "preprocessing_version" in docs.columns:
+        docs = docs.where(merge.outdated(F.col("preprocessing_version"), s.version))
     x = dedup.by_content(quality.normalise(docs).drop("content_hash"))
     copy = F.col("duplicate_of").isNotNull()
-    changes = x.select("doc_id", F.col("clean_text").alias("text"), F.when(copy, "skipped").otherwise("validated").alias("status"), F.when(copy, "duplicate_content").alias("fail_reason"))
+    changes = x.select("doc_id", F.col("clean_text").alias("text"), F.when(copy, "skipped").otherwise("validated").alias("status"), F.when(copy, "duplicate_content").alias("fail_reason"), F.lit(s.version).alias("preprocessing_version"))
     return t | {"raw_texts": merge.partial_update(t["raw_texts"], changes, ["doc_id"])}
 
 
 def resolve(t: Tables, s: Settings) -> Tables:
     docs = _pick(t["raw_texts"], "validated", s)
-    found = entities.match(docs, entities.dictionary(t["entities"]), entities.composed(F.col("title"), F.col("text")))
-    return t | {"mentions": entities.hits(found).drop("title_len", "canonical"), "article_entities": entities.salience(found)}
+    given = F.try_element_at(F.col("metadata"), F.lit("configured_entity_id")).cast("bigint") if "metadata" in docs.columns else F.lit(None).cast("bigint")
+    docs = docs if "configured_entity_id" in docs.columns else docs.withColumn("configured_entity_id", given)
+    mentions, mapped = entities.resolve(docs, t["entities"], entities.composed(F.col("title"), F.col("text")))
+    return t | {"mentions": mentions, "article_entities": mapped}
 
 
 def contextualise(t: Tables, s: Settings) -> Tables:
     docs = _pick(t["raw_texts"], "validated", s)
     sentences = context.sentence_table(docs, entities.composed(F.col("title"), F.col("text")))
     mentions = t["mentions"].join(t["article_entities"].select("doc_id", "entity_id"), ["doc_id", "entity_id"], "left_semi").withColumnRenamed("start", "offset")
-    placed = context.anchors(mentions.select("doc_id", "entity_id", "offset"), sentences)
-    return t | {"contexts": context.best(placed.join(context.windows(sentences), ["doc_id", "pos"]))}
+    placed = context.anchors(mentions.select("doc_id", "entity_id", "offset", "mention"), sentences)
+    return t | {"contexts": context.best(context.for_mentions(placed, context.windows(sentences)))}
 
 
 def ready(t: Tables, s: Settings) -> Tables:
     docs = _pick(t["raw_texts"], "validated", s)
-    x = context.readiness(docs, t["contexts"])
+    before = t["raw_texts"].where(F.col("status").isin("queued", "processed")).join(docs.select("doc_id"), "doc_id", "left_anti")
+    x = context.readiness(docs, t["contexts"], before)
     status = F.when(F.col("outcome") == "queued", "queued").when(F.startswith("outcome", F.lit("skipped")), "skipped").otherwise("failed")
     changes = x.select("doc_id", status.alias("status"), F.when(F.col("outcome") != "queued", F.col("outcome")).alias("fail_reason"))
     return t | {"raw_texts": merge.partial_update(t["raw_texts"], changes, ["doc_id"])}

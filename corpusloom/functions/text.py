@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -41,11 +42,26 @@ def bigrams(w: Column) -> Column:
 def language(text: Column, profiles: dict[str, tuple[str, ...]] = V.PROFILES, head: int = 500) -> Column:
     """The language with most of its frequent words among the first characters, the first by name of equal ones; null if there is none of them."""
     w = tokens(F.substring(text, 1, head))
-    counts = [F.struct((-F.size(F.filter(w, lambda x, p=p: x.isin(*p)))).alias("n"), F.lit(k).alias("lang")) for k, p in sorted(profiles.items())]
-    best = F.array_min(F.array(*counts))
+    count = lambda p: F.size(F.filter(w, lambda x: x.isin(*p)))
+    best = F.array_min(F.array(*[F.struct((-count(p)).alias("n"), F.lit(k).alias("lang")) for k, p in sorted(profiles.items())]))
     return F.when(best["n"] < 0, best["lang"])
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def replaced(text: Column, pattern: str, new: str, *signs: str) -> Column:
+    """Text with a pattern replaced. Only a text that holds one of the signs, in lower case, can match; others are not searched."""
+
+    def each(t: Column) -> Column:
+        found = bound(F.lower(t), lambda low: F.exists(F.array(*map(F.lit, signs)), lambda w: F.contains(low, w)))
+        return F.when(found, F.regexp_replace(t, pattern, new)).otherwise(t)
+
+    return bound(text, each)
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 

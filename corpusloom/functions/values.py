@@ -26,6 +26,8 @@ PORTAL_PATTERNS = (
     r"(?i)(scroll ke bawah|mau berita terbaru|pilihan untuk lu)\s*[^.\n]*\.?",
 )
 PHOTO_CREDIT = r"(?i)\(\s*(Foto|Instagram|Dok|Istimewa|Antara)[^)]*\)"
+#: What a text must hold, in lower case, for the pattern of the same place to match.
+PORTAL_SIGNS = (("baca juga", "simak juga", "berita terkait"), ("reporter", "editor", "penulis", "pewarta", "jurnalis"), ("berlangganan", "iklan", "advertisement", "sponsor"), ("copyright", "©", "hak cipta"), ("scroll ke bawah", "mau berita terbaru", "pilihan untuk lu"))
 TITLE_MARKS = r"""[\[\]\(\)\{\}"':;,!?./]"""
 
 # Patterns of the enrichment cleaner.
@@ -40,6 +42,9 @@ INTERFACE_PATTERNS = (
     r"(?i)Sponsor.*?(?=\n|$|\.)",
 )
 
+#: What a text must hold, in lower case, for the pattern of the same place to match.
+INTERFACE_SIGNS = (("tags", "berita lainnya", "dark/light mode", "breakingnews"), ("gambas",), ("dilarang keras",), ("baca berita",), ("simak juga", "baca juga", "berita terkait"), ("reporter", "editor", "penulis", "pewarta", "jurnalis"), ("pilihan untuk lu", "sumber:"), ("sponsor",))
+
 # Signs of a page that is shown instead of the article.
 INTERSTITIAL_PATTERNS = (
     r"just a moment",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,24 +62,55 @@ def copies(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     return vectors.join(first, F.col(vector) == F.col("_v")).select(key, "representative")
 
 
-def cosine_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", planes: int = 6, tables: int = 8, seed: int = 7) -> DataFrame:
-    """a < b and cosine of pairs that share a bucket of random hyperplanes and reach `least`.
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def hash_plan(n: int, least: float, recall: float, bucket: int = 32) -> tuple[int, int]:
+    """Planes of a table, so that n scattered vectors give buckets of a bounded size, and tables, so that a pair at `least` is missed as rarely as asked."""
+    planes = max(2, math.ceil(math.log2(max(n, 1) / bucket))) if n > bucket else 2
+    together = (1 - math.acos(least) / math.pi) ** planes
+    return planes, max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
 
-    Pairs are compared within buckets only; cosines are exact, and what is lost to hashing falls with tables. Equal
-    vectors count as one, under their smallest key (copies() tells which), so a large group of them makes no pairs.
+
+def cosine_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", recall: float = 0.9999, seed: int = 7) -> DataFrame:
+    """a < b and cosine of pairs of distinct vectors that reach `least`.
+
+    Random hyperplanes put vectors into buckets; planes grow with the logarithm of the rows, so buckets do not, and tables
+    grow to keep the recall of pairs just at `least`. A pair is compared in the first table that has both in one
+    bucket, so nothing is compared or sent on twice; cosines are exact. Equal vectors count as one, under their smallest
+    key (copies() tells which), so a large group of them makes no pairs.
     """
     import numpy as np
 
     vectors = vectors.where(F.col(vector).isNotNull()).groupBy(vector).agg(F.min(key).alias(key))
-    dims = vectors.agg(F.max(F.size(vector))).first()[0] or 1
+    n, dims = vectors.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(1))).first()
+    planes, tables = hash_plan(n, least, recall)
     normals = np.random.default_rng(seed).standard_normal((tables, planes, dims))
 
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    weights = 1 << np.arange(planes)
+
+    @F.arrow_udf("array<int>")
+    def buckets(batch: pa.Array) -> pa.Array:
+        size = np.diff(batch.offsets.to_numpy())
+        flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        v = np.zeros((len(batch), dims))
+        v[np.arange(dims) < size[:, None]] = np.nan_to_num(flat)
+        sides = v @ normals.reshape(tables * planes, dims).T > 0
+        return pa.array(list((sides.reshape(len(v), tables, planes) * weights).sum(axis=2).astype(np.int32)), pa.list_(pa.int32()))
 
-    buckets = F.array(*[F.concat(F.lit(f"{t}:"), *[F.when(dot(F.col(vector), F.array(*map(F.lit, p.tolist()))) > 0, "1").otherwise("0") for p in normals[t]]) for t in range(tables)])
-    x = vectors.select(key, vector, F.sqrt(dot(F.col(vector), F.col(vector))).alias("norm"), F.explode(buckets).alias("bucket"))
+    x = vectors.select(key, vector, F.sqrt(_dot(F.col(vector), F.col(vector))).alias("norm"), buckets(F.col(vector)).alias("buckets"))
+    x = x.select(key, vector, "norm", "buckets", F.posexplode("buckets").alias("t", "bucket"))
     l, r = x.alias("l"), x.alias("r")
-    same = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col(f"l.{key}") < F.col(f"r.{key}")))
-    cosine = dot(F.col(f"l.{vector}"), F.col(f"r.{vector}")) / (F.col("l.norm") * F.col("r.norm"))
-    return same.select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), cosine.alias("cosine")).where(F.col("cosine") >= least).dropDuplicates(["a", "b"])
+    same = l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.bucket") == F.col("r.bucket")) & (F.col(f"l.{key}") < F.col(f"r.{key}")))
+    first = F.array_position(F.zip_with("l.buckets", "r.buckets", lambda a, b: a == b), F.lit(True)) - 1
+    cosine = _dot(F.col(f"l.{vector}"), F.col(f"r.{vector}")) / (F.col("l.norm") * F.col("r.norm"))
+    return same.where(first == F.col("l.t")).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), cosine.alias("cosine")).where(F.col("cosine") >= least)
+
+
+def near(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", recall: float = 0.9999) -> DataFrame:
+    """key, representative, n_links, best_cosine for every row with a vector: the smallest key with an equal vector, and the other distinct vectors that reach `least`."""
+    pairs_ = cosine_pairs(vectors, least, key, vector, recall)
+    ends = pairs_.select(F.explode(F.array("a", "b")).alias("_r"), "cosine").groupBy("_r").agg(F.count("*").alias("n_links"), F.max("cosine").alias("best_cosine"))
+    x = copies(vectors.where(F.col(vector).isNotNull()), key, vector)
+    return x.join(ends, x["representative"] == ends["_r"], "left").select(key, "representative", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best_cosine")

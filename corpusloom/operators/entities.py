@@ -119,9 +119,9 @@ def mentions_native(docs: DataFrame, terms: list[str], text: Column) -> DataFram
     return docs.select("doc_id", F.explode(F.transform(F.regexp_extract_all(text, F.lit(term_pattern(terms)), F.lit(1)), F.lower)).alias("term"))
 
 
-def full_names(text: Column) -> Column:
-    """Runs of two to four capitalised words: the fallback for a tagger of persons."""
-    return F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})(?![\p{L}\p{N}_])"), F.lit(1))
+def full_names(text: Column, gap: str = r"\s+") -> Column:
+    """Runs of two to four capitalised words: the fallback for a tagger of persons. gap: what may stand between them."""
+    return F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_])([A-Z][a-z]+(?:{gap}[A-Z][a-z]+){{1,3}})(?![\p{{L}}\p{{N}}_])"), F.lit(1))
 
 
 def veto(matched: Column, canonical: Column, persons: Column) -> Column:
@@ -129,7 +129,7 @@ def veto(matched: Column, canonical: Column, persons: Column) -> Column:
     low = F.lower(matched)
     holder = F.get(F.filter(persons, lambda p: F.contains(F.lower(p), low) & (F.length(p) > F.length(matched))), F.lit(0))
     parts = F.filter(F.split(F.trim(F.lower(canonical)), r"\s+"), lambda w: w != low)
-    return F.coalesce(~F.exists(parts, lambda w: F.contains(F.lower(holder), w)), F.lit(False))
+    return F.when(holder.isNull(), False).otherwise(~F.exists(parts, lambda w: F.contains(F.lower(holder), w)))
 
 
 def hits(matched: DataFrame) -> DataFrame:
@@ -138,8 +138,8 @@ def hits(matched: DataFrame) -> DataFrame:
 
 
 def true_hits(matched: DataFrame, entities: DataFrame, text: Column) -> DataFrame:
-    """Rows of hits() without those that are part of somebody else's name. The names of persons come from the fallback tagger."""
-    x = matched.select("doc_id", "title", full_names(text).alias("_persons"), F.explode("spans").alias("s"))
+    """Rows of hits() without those that are part of somebody else's name. The names of persons come from the fallback tagger, within a line."""
+    x = matched.select("doc_id", "title", full_names(text, r"[ \t]+").alias("_persons"), F.explode("spans").alias("s"))
     x = x.join(entities.select(F.col("entity_id").alias("_e"), F.col("canonical_name").alias("_name")), F.col("s.entity_id") == F.col("_e"))
     x = x.where(~veto(F.col("s.mention"), F.col("_name"), F.col("_persons")))
     return x.select("doc_id", F.length(F.coalesce("title", F.lit(""))).alias("title_len"), "s.*")

@@ -48,6 +48,74 @@ def pass_rate(rows: DataFrame, category: str, passed: Column) -> DataFrame:
     return rows.groupBy(category).agg(F.count("*").alias("n"), F.count_if(passed).alias("passed")).withColumn("rate", F.col("passed") / F.col("n"))
 
 
+def evaluated(rows: DataFrame, gold: str = "gold", predicted: str = "predicted", positive: object | None = None, least: int = 10) -> DataFrame:
+    """class, precision, recall, f1, support; with `positive`, two classes: that one and the rest. Too few rows are refused."""
+    if rows.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} rows")
+    if positive is not None:
+        rows = rows.select(*[(F.col(c) == F.lit(positive)).alias(c) for c in (gold, predicted)])
+    return report(confusion(rows, gold, predicted), gold, predicted)
+
+
+def calibration(rows: DataFrame, confidence: str, correct: Column, edges: tuple[float, ...] = (0.5, 0.7, 0.85), least: float = 0.8) -> DataFrame:
+    """bin (a, b, ... by confidence), n, accuracy, and whether the most confident bin is right less often than it should be."""
+    name = F.lit(chr(ord("a") + len(edges)))
+    for k, e in reversed(list(enumerate(edges))):
+        name = F.when(F.col(confidence) < e, chr(ord("a") + k)).otherwise(name)
+    x = rows.groupBy(name.alias("bin")).agg(F.count("*").alias("n"), F.avg(correct.cast("double")).alias("accuracy"))
+    return x.withColumn("overconfident", (F.col("bin") == chr(ord("a") + len(edges))) & (F.col("accuracy") < least)).withColumn("accuracy", F.round("accuracy", 4))
+
+
+def shares(rows: DataFrame, label: str) -> DataFrame:
+    """label, n, pct of all rows. The total runs over one row for each label."""
+    x = rows.groupBy(label).agg(F.count("*").cast("double").alias("n"))
+    total = x.agg(F.sum("n").alias("_all"))
+    return x.crossJoin(F.broadcast(total)).select(label, "n", F.round(100.0 * F.col("n") / F.col("_all"), 2).alias("pct"))  # one row
+
+
+def breakdown(rows: DataFrame, by: str = "entity_id", least: int = 3, most: float = 70.0) -> DataFrame:
+    """Shares of positive and negative labels and mean confidence of each entity with enough rows, and whether one label prevails."""
+    share = lambda name: 100.0 * F.count_if(F.col("label") == name) / F.count("*")
+    x = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), share("positive").alias("_p"), share("negative").alias("_n"), F.round(F.avg("confidence"), 4).alias("avg_confidence"))
+    x = x.where(F.col("n") >= least)
+    return x.select(by, "n", F.round("_p", 1).alias("pos_pct"), F.round("_n", 1).alias("neg_pct"), "avg_confidence", (F.greatest("_p", "_n") > most).alias("biased"))
+
+
+def uncertainty(rows: DataFrame) -> DataFrame:
+    """n, mean confidence and entropy of score triples, and the share of those that are close to a draw."""
+    p = [F.col(f"score_{c}") for c in ("negative", "neutral", "positive")]
+    x = rows.select("confidence", T.entropy(*p).alias("h"), uncertain(*p).alias("u"))
+    return x.agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.round(F.avg("h"), 4).alias("mean_entropy"), F.round(100 * F.avg(F.col("u").cast("double")), 2).alias("uncertain_pct"))
+
+
+def join_audit(docs: DataFrame, scored: DataFrame, context: Column, least_text: int = 300, least_context: int = 50) -> DataFrame:
+    """docs with the first reason why a row cannot go into a fine-tuning set: its text, its score (scored(doc_id, confidence)) or its context, or kept."""
+    x = docs.join(scored.groupBy(F.col("doc_id").alias("_d")).agg(F.max("confidence").alias("confidence")), F.col("doc_id") == F.col("_d"), "left").drop("_d")
+    reason = F.when(F.length("text") < least_text, "article_short").when(F.col("confidence").isNull(), "score_missing").when(F.length(context) < least_context, "context_short").otherwise("kept")
+    return x.withColumn("reason", reason)
+
+
+def finetune_rows(docs: DataFrame, scores: DataFrame, contexts: DataFrame, seed: int, per_media: int = V.MAX_PER_MEDIA, per_entity: int = V.MAX_PER_ENTITY) -> DataFrame:
+    """The curated set: contexts with their scores and articles, without short, boiler-plate, uncertain and repeated ones, within the quotas."""
+    x = contexts.where(F.length("context") >= 50).join(scores.where("entity_id IS NOT NULL"), ["doc_id", "entity_id"]).join(docs.where(F.length("text") >= 300), "doc_id")
+    x = x.where(~boilerplate_fails(F.col("text")) & ~uncertain(F.col("score_negative"), F.col("score_neutral"), F.col("score_positive")))
+    x = x.select("doc_id", "entity_id", F.col("source").alias("media"), F.sha2("context", 256).alias("content_hash"), F.col("label").alias("pseudo_label"), F.round("confidence", 3).alias("ai_confidence"))
+    return curated(x, seed, per_media, per_entity)
+
+
+def nested(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """docs with an array `contexts` of (entity_id, entity_name, context) in order of entity; empty where there is none. contexts(doc_id, entity_id, entity_name, context)."""
+    one = F.struct("entity_id", "entity_name", "context")
+    x = contexts.groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_list(one)).alias("contexts"))
+    return docs.join(x, F.col("doc_id") == F.col("_d"), "left").drop("_d").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<struct<entity_id:bigint,entity_name:string,context:string>>")))
+
+
+def flattened(nested_docs: DataFrame) -> DataFrame:
+    """One row for each context of a nested data set; documents without any have none."""
+    rest = [c for c in nested_docs.columns if c != "contexts"]
+    return nested_docs.select(*rest, F.explode("contexts").alias("c")).select(*rest, "c.*")
+
+
 def seeded(key: Column, seed: int) -> Column:
     """An order that looks random and can be repeated in any engine."""
     return F.md5(F.concat(key.cast("string"), F.lit(str(seed))))

@@ -55,26 +55,31 @@ def route(scored: DataFrame) -> DataFrame:
 
 def strip_addresses(text: Column) -> tuple[Column, Column]:
     """Text without URLs and e-mail addresses, and how many there were."""
-    n = F.regexp_count(text, F.lit(V.URL)) + F.regexp_count(text, F.lit(V.EMAIL))
-    return F.regexp_replace(F.regexp_replace(text, V.URL, " "), V.EMAIL, " "), n
+    linked, mailed = F.contains(text, F.lit("://")) | F.contains(text, F.lit("www.")), F.contains(text, F.lit("@"))
+    n = F.when(linked, F.regexp_count(text, F.lit(V.URL))).otherwise(0) + F.when(mailed, F.regexp_count(text, F.lit(V.EMAIL))).otherwise(0)
+    bare = T.bound(F.when(linked, F.regexp_replace(text, V.URL, " ")).otherwise(text), lambda t: F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, V.EMAIL, " ")).otherwise(t))
+    return bare, n
 
 
 def unglue_title(text: Column, title: Column) -> Column:
     """Text without its title at the start: up to eight title words with any marks between, ignoring case."""
-    w = F.slice(F.regexp_extract_all(title, F.lit(T.WORD), F.lit(0)), 1, 8)
-    pattern = F.concat(F.lit(r"(?i)^\s*"), F.array_join(w, r"[^\p{L}\p{N}_]*"))
-    cut = F.regexp_replace(text, pattern, F.lit(""))
-    # Words are letters and digits only, so they need no escapes.
-    return F.when((F.size(w) > 0) & F.rlike(text, pattern), F.regexp_replace(cut, r"^[ :\-\n\"']+", "")).otherwise(text)
+
+    def cut(t: Column, w: Column) -> Column:
+        # Words are letters and digits only, so they need no escapes. Most texts do not begin with the first word and are not searched.
+        rest = F.regexp_replace(t, F.concat(F.lit(r"(?i)^\s*"), F.array_join(w, r"[^\p{L}\p{N}_]*")), F.lit(""))
+        begins = F.startswith(F.lower(F.regexp_replace(F.substring(t, 1, 200), r"^\s+", "")), F.lower(F.get(w, F.lit(0)))) | F.rlike(t, F.lit(r"^\s{100}"))
+        return F.when((F.size(w) > 0) & begins, T.bound(rest, lambda r: F.when(F.length(r) < F.length(t), F.regexp_replace(r, r"^[ :\-\n\"']+", "")).otherwise(t))).otherwise(t)
+
+    return T.bound(text, lambda t: T.bound(F.slice(F.regexp_extract_all(title, F.lit(T.WORD), F.lit(0)), 1, 8), lambda w: cut(t, w)))
 
 
 def strip_portal(text: Column, title: Column | None = None) -> Column:
     if title is not None:
         text = unglue_title(text, title)
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
-    for p in (*V.PORTAL_PATTERNS, V.PHOTO_CREDIT):
-        text = F.regexp_replace(text, p, "")
-    return text
+    text = T.replaced(text, r"<[^>]+>", " ", "<")
+    for p, signs in zip(V.PORTAL_PATTERNS, V.PORTAL_SIGNS):
+        text = T.replaced(text, p, "", *signs)
+    return T.replaced(text, V.PHOTO_CREDIT, "", "(")
 
 
 def plain_marks(text: Column) -> Column:
@@ -82,7 +87,7 @@ def plain_marks(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"[ \t]+", " "))
+    return F.trim(F.regexp_replace(T.replaced(text, r"\n{3,}", "\n\n", "\n\n\n"), r"[ \t]+", " "))
 
 
 def normalise(docs: DataFrame, unicode: bool = True) -> DataFrame:
@@ -102,13 +107,17 @@ def unique_sentences(text: Column, longer_than: int = 15) -> Column:
 
 def clean_article(text: Column, title: Column) -> Column:
     """The enrichment cleaner: addresses, interface phrases, credits, glued title, repeated sentences, doubled dots."""
-    text = F.regexp_replace(text, V.URL, "")
-    for p in (*V.INTERFACE_PATTERNS, V.PHOTO_CREDIT):
-        text = F.regexp_replace(text, p, "")
+    text = T.replaced(text, V.URL, "", "://", "www.")
+    for p, signs in zip((*V.INTERFACE_PATTERNS, V.PHOTO_CREDIT), (*V.INTERFACE_SIGNS, ("(",))):
+        text = T.replaced(text, p, "", *signs)
+
+    def unglued(t: Column, flat: Column) -> Column:
+        glued = (F.length(flat) > 0) & F.startswith(F.lower(F.substring(t, 1, 60)), F.substring(flat, 1, 30))
+        rest = F.trim(F.regexp_replace(F.trim(F.substring(t, F.length(flat) + 1, F.length(t))), r"^[\s\-:|]+[a-zA-Z\s,\d]{0,20}", ""))
+        return F.when(glued, rest).otherwise(t)
+
     flat = F.trim(F.lower(F.regexp_replace(title, r"[^\p{L}\p{N}_\s]", "")))
-    glued = (F.length(flat) > 0) & F.startswith(F.lower(F.substring(text, 1, 60)), F.substring(flat, 1, 30))
-    rest = F.trim(F.regexp_replace(F.trim(F.substring(text, F.length(flat) + 1, F.length(text))), r"^[\s\-:|]+[a-zA-Z\s,\d]{0,20}", ""))
-    text = F.array_join(unique_sentences(F.when(glued, rest).otherwise(text)), " ")
+    text = F.array_join(unique_sentences(T.bound(text, lambda t: T.bound(flat, lambda f: unglued(t, f)))), " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), r"\.{2,}", "."))
 
 
@@ -143,6 +152,17 @@ def audit(docs: DataFrame) -> DataFrame:
     )
 
 
+def named_in(text: Column, terms: list[str], most: int = 3) -> Column:
+    """The first terms, in the order given, that a text holds anywhere, ignoring case."""
+    return T.bound(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.slice(F.filter(F.array(*map(F.lit, terms)), lambda w: F.contains(low, w)), 1, most))
+
+
+def audit_sheet(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """docs with the audit's finding, whether a dictionary term occurs, and the first three of them."""
+    x = audit(docs).withColumn("_m", named_in(F.col("text"), sorted(t.lower() for t in terms)))
+    return x.withColumn("has_entity", F.size("_m") > 0).withColumn("matched_entities", F.array_join("_m", "; ")).withColumn("is_valid", F.col("finding") == "valid").drop("_m")
+
+
 def lexicon_label(text: Column, positive: tuple[str, ...] = V.POSITIVE, negative: tuple[str, ...] = V.NEGATIVE) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     p, n = T.hits(low, positive), T.hits(low, negative)

@@ -2,22 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import serving
-from . import documents, relational, standins, streams
+from . import documents, relational, served, streams
 
-
-def dashboard_summary(spark, sf_dir):
-    return serving.dashboard(standins.scores(spark, sf_dir), standins.entities(spark), standins.AS_OF)
-
-
-def entity_highlights_topn(spark, sf_dir):
-    return serving.highlights(standins.scores(spark, sf_dir), standins.raw_texts(spark, sf_dir), standins.AS_OF)
-
-
-def public_view(spark, sf_dir):
-    return serving.public(standins.raw_texts(spark, sf_dir).where("length(text) >= 500"))
-
-
-_OPERATORS = {f.__name__: f for f in (dashboard_summary, entity_highlights_topn, public_view)}
-QUERIES = relational.QUERIES | documents.QUERIES | streams.QUERIES | _OPERATORS
-ORACLES = relational.ORACLES | documents.ORACLES | streams.ORACLES
+QUERIES = relational.QUERIES | documents.QUERIES | streams.QUERIES | served.QUERIES
+ORACLES = relational.ORACLES | documents.ORACLES | streams.ORACLES | served.ORACLES

@@ -29,20 +29,19 @@ def items(feeds: DataFrame) -> DataFrame:
     """
     x = feeds.select("config_name", F.explode(F.regexp_extract_all("xml", F.lit(ITEM), F.lit(1))).alias("i"))
     i = F.col("i")
-    link = F.coalesce(tag(i, "link"), attribute(i, "link", "href"))
-    raw_date = F.coalesce(tag(i, "pubDate"), tag(i, "dc:date"), tag(i, "updated"))
-    body = T.strip_markup(F.coalesce(tag(i, "content:encoded"), tag(i, "description"), F.lit("")))
-    title = tag(i, "title")
+    # In steps, so that nothing that is used more than once is worked out more than once.
     x = x.select(
         F.col("config_name").alias("source"),
-        F.coalesce(tag(i, "guid"), link).alias("source_id"),
-        title.alias("title"),
-        link.alias("source_url"),
+        F.coalesce(tag(i, "link"), attribute(i, "link", "href")).alias("source_url"),
+        tag(i, "guid").alias("guid"),
+        tag(i, "title").alias("title"),
+        F.coalesce(tag(i, "content:encoded"), tag(i, "description"), F.lit("")).alias("body"),
         F.coalesce(attribute(i, "enclosure", "url"), attribute(i, "media:content", "url"), attribute(i, "media:thumbnail", "url")).alias("image_url"),
-        F.when((F.length(body) < 20) & title.isNotNull(), title).otherwise(body).alias("text"),
-        F.create_map(F.lit("raw_pub_date"), raw_date).alias("metadata"),
-        T.parsed_date(raw_date).alias("published_at"),
+        F.coalesce(tag(i, "pubDate"), tag(i, "dc:date"), tag(i, "updated")).alias("raw_date"),
     )
+    body, title = T.strip_markup(F.col("body")), F.col("title")
+    x = x.withColumn("body", body).withColumn("text", F.when((F.length("body") < 20) & title.isNotNull(), title).otherwise(F.col("body")))
+    x = x.select("source", F.coalesce("guid", "source_url").alias("source_id"), "title", "source_url", "image_url", "text", F.create_map(F.lit("raw_pub_date"), F.col("raw_date")).alias("metadata"), T.parsed_date(F.col("raw_date")).alias("published_at"))
     return x.where(F.col("source_id").isNotNull() & (F.length("text") >= 20))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import urllib.request
 from collections.abc import Iterator
 
@@ -43,6 +44,39 @@ def write_by_month(table: DataFrame, path: str, at: str, month: str, mode: str =
     x.repartition(month, F.pmod(F.xxhash64(*[c for c in x.columns if c not in (month,) and dict(x.dtypes)[c] in ("bigint", "string")][:1]), 16)).sortWithinPartitions(month, at).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def months(spark: SparkSession, path: str, month: str) -> list[str]:
+    """The months that a partitioned table has folders for, ascending."""
+    folder, files = _files(spark, f"{path}/{month}=*")
+    return sorted(f.getPath().getName().split("=", 1)[1] for f in files.globStatus(folder) or ())
+
+
+def create_months(spark: SparkSession, path: str, month: str, as_of: str, ahead: int = 3) -> list[str]:
+    """Empty folders for this month and those that follow."""
+    first = datetime.date.fromisoformat(as_of).replace(day=1)
+    made = [f"{first.year + (first.month - 1 + k) // 12:04}-{(first.month - 1 + k) % 12 + 1:02}-01" for k in range(ahead + 1)]
+    for m in made:
+        folder, files = _files(spark, f"{path}/{month}={m}")
+        files.mkdirs(folder)
+    return made
+
+
+def drop_months(spark: SparkSession, path: str, month: str, as_of: str, keep: int = 6) -> list[str]:
+    """Remove the folders of months before the `keep` ones that precede this month; which went."""
+    now = datetime.date.fromisoformat(as_of)
+    number = now.year * 12 + now.month - 1 - keep
+    first = f"{number // 12:04}-{number % 12 + 1:02}-01"
+    gone = [m for m in months(spark, path, month) if m < first]
+    for m in gone:
+        folder, files = _files(spark, f"{path}/{month}={m}")
+        files.delete(folder, True)
+    return gone
+
+
 def read_since(spark: SparkSession, path: str, at: str, month: str, first: str) -> DataFrame:
     """Rows from a day on. The predicate on the partition column goes beside that on the time, so other months are not listed."""
     return spark.read.parquet(path).where((F.col(month) >= F.trunc(F.to_date(F.lit(first)), "MM")) & (F.col(at) >= F.to_date(F.lit(first))))

@@ -15,13 +15,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import dedup
+from ..operators import dedup, serving
 
 
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder in the one that the cluster shares; a local one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-")
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not at and held.isDefined():
+        at = held.get()
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(at or tempfile.mkdtemp(prefix='loom-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def batches(spark: SparkSession, at: str) -> list[int]:
+    """Numbers of the batches whose results are complete, ascending: what is on disk is all that a restart needs to know."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/out/batch=*/_SUCCESS")
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder)
+    return sorted(int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found or ())
 
 
 def read(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
@@ -43,14 +55,13 @@ def run(stream: DataFrame, at: str, mode: str, each: Callable[[DataFrame, int],
 
 def snapshot(stream: DataFrame, at: str) -> DataFrame:
     """The last complete result of an aggregate."""
-    spark, last = stream.sparkSession, {}
+    run(stream, at, "complete", lambda batch, k: batch.write.mode("overwrite").parquet(f"{at}/out/batch={k}"))
+    return _last(stream, at)
 
-    def each(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out/batch={k}")
-        last["at"] = f"{at}/out/batch={k}"
 
-    run(stream, at, "complete", each)
-    return spark.read.parquet(last["at"]) if last else spark.createDataFrame([], stream.schema)
+def _last(stream: DataFrame, at: str) -> DataFrame:
+    done = batches(stream.sparkSession, at)
+    return stream.sparkSession.read.parquet(f"{at}/out/batch={done[-1]}") if done else stream.sparkSession.createDataFrame([], stream.schema)
 
 
 def appended(stream: DataFrame, at: str) -> DataFrame:
@@ -61,7 +72,7 @@ def appended(stream: DataFrame, at: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={k}")
 
     run(stream, at, "append", each)
-    return spark.read.schema(schema).parquet(f"{at}/out/*")
+    return spark.read.schema(schema).parquet(f"{at}/out/*") if batches(spark, at) else spark.createDataFrame([], schema)
 
 
 def distinct(stream: DataFrame, keys: list[str], time: str | None = None, late: str = "30 days") -> DataFrame:
@@ -98,16 +109,31 @@ def retries(stream: DataFrame, key: str, most: int = 3) -> DataFrame:
 
 def top_of_each(stream: DataFrame, at: str, keys: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group over all batches: ranks are not streamable, so each batch is merged with the last snapshot."""
-    spark, last = stream.sparkSession, {}
+    spark = stream.sparkSession
 
     def each(batch: DataFrame, k: int) -> None:
-        x = batch.unionByName(batch.sparkSession.read.parquet(last["at"])) if last else batch
+        before = [n for n in batches(spark, at) if n < k]
+        x = batch.unionByName(batch.sparkSession.read.parquet(f"{at}/out/batch={before[-1]}")) if before else batch
         x = x.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
         x.write.mode("overwrite").parquet(f"{at}/out/batch={k}")
-        last["at"] = f"{at}/out/batch={k}"
 
     run(stream, at, "append", each)
-    return spark.read.parquet(last["at"]) if last else spark.createDataFrame([], stream.schema)
+    return _last(stream, at)
+
+
+def spike_alerts(stream: DataFrame, at: str, back: int = 7, sigmas: float = 3.0) -> DataFrame:
+    """Daily counts by entity with the mean and deviation of the days before, kept up to date as scores come in: counts are merged batch by batch, alerts are drawn from them."""
+    spark, kind = stream.sparkSession, "entity_id bigint, day date, n bigint"
+
+    def each(batch: DataFrame, k: int) -> None:
+        before = [n for n in batches(spark, at) if n < k]
+        x = batch.where("entity_id IS NOT NULL").groupBy("entity_id", F.to_date("scored_at").alias("day")).agg(F.count("*").alias("n"))
+        x = x.unionByName(batch.sparkSession.read.schema(kind).parquet(f"{at}/out/batch={before[-1]}")) if before else x
+        x.groupBy("entity_id", "day").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{at}/out/batch={k}")
+
+    run(stream, at, "append", each)
+    done = batches(spark, at)
+    return serving.spikes(spark.read.schema(kind).parquet(f"{at}/out/batch={done[-1]}") if done else spark.createDataFrame([], kind), back, sigmas)
 
 
 def ingest(stream: DataFrame, at: str, registry: str, order: str = "doc_id") -> DataFrame:
@@ -121,4 +147,4 @@ def ingest(stream: DataFrame, at: str, registry: str, order: str = "doc_id") ->
         counts.write.mode("overwrite").parquet(f"{at}/out/batch={k}")
 
     run(stream, at, "append", each)
-    return spark.read.parquet(f"{at}/out/*")
+    return spark.read.parquet(f"{at}/out/*") if batches(spark, at) else spark.createDataFrame([], "inserted bigint, duplicate bigint")

@@ -46,22 +46,22 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     at = f"{shared_dir(spark).rstrip('/')}/loom-{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(at)
-    folder, files = _folder(spark, at)
-    files.deleteOnExit(folder)
+    path, files = folder(spark, at)
+    files.deleteOnExit(path)
     out = spark.read.schema(schema).parquet(at)
     out.stored_at = at
     return out
 
 
-def _folder(spark: SparkSession, at: str):
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def folder(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def discard(df: DataFrame) -> None:
     """Remove a stored table that nothing reads any more."""
-    folder, files = _folder(df.sparkSession, df.stored_at)
-    files.delete(folder, True)
+    path, files = folder(df.sparkSession, df.stored_at)
+    files.delete(path, True)
 
 
 def fold(key: Column, parts: int) -> Column:

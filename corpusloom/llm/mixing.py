@@ -7,8 +7,8 @@ byte before, and a context: the 3 and the 5 bytes before within the word, the wh
 and of the last common word of the text together with the 3 bytes before. The last one reaches over the border
 of the word: it tells language and phrase. Log-odds are added with weights that a gate picks, the gate
 being how often the longest contexts have been seen. The weights begin a text with fixed values and are refined
-after each bit by the coding error, over the whole text. Texts of a group advance together by one bit,
-each with weights of its own, so that a score depends, but for rounding, neither on partitions nor on other texts.
+after each bit by the coding error, over the whole text. A text has weights of its own, so that its score depends
+neither on partitions nor on other texts. The coder itself is in mixer.py, as each bit waits for the one before.
 
 Training needs each distinct word only once, with its count, and each distinct run of four bytes with its common
 word; those counts come from all training rows by shuffles. Tables of slots grow with the number of distinct words
@@ -17,7 +17,7 @@ counts as seen only as far as it stands out from the middle slot. The base score
 frequent ones, HEAD at most, are broadcast, and the rest of a text's words meet their counts in a shuffled join.
 
 Null and empty texts are the end token alone. Repeated rows and null ids are scored one by one. Very long texts
-are worked through in rounds of bounded size. Without training rows all counts are zero and every prediction is
+are coded from end to end with a few weights and one word held. Without training rows all counts are zero and every prediction is
 open; an empty table gives an empty result. Only doc_id and text are read, so other columns cannot clash.
 """
 
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, mixer
 
 FOLDS, HELD = 7, 2
 #: Words whose counts are broadcast.
@@ -49,16 +49,10 @@ ORDERS = (3, 5, 0)  # bytes before; 0: the whole word so far
 RUN = 3
 #: Distinct words worked on together in training.
 SLICE = 1 << 16
-#: Bytes of text that advance together, decisions of one round, and bytes of a word that are spelled out at once.
-GROUP, ROUND, UNIT = 24 << 20, 2_000_000, 64
-#: Texts up to which a round is worked through text by text.
-FEW = 10
 RATE = 0.005
 SPACE, END = 32, 10
 M1, M2, M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 ODD = np.uint32(0x01000193)
-#: No bit is less likely than this.
-LEAST_P = 1e-6
 #: Log-odds in steps of a quarter, and two bits for how often the context has been seen.
 STEP, MIDDLE = 0.25, 31
 #: Initial weights of the predictors (3, 5 bytes, word, common word) by gate: the common word's context new, seen once, 2 to 15
@@ -85,7 +79,6 @@ START = np.array(
     ],
     np.float32,
 )
-GATES = len(START)
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -417,203 +410,40 @@ def bits_for(n: int) -> int:
 # -- scoring ------------------------------------------------------------------------------------------------
 
 
-def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... n of each, end to end."""
-    ends = np.cumsum(n, dtype=np.int32)
-    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(start - ends + n, n)
-
-
-class Spelled:
-    """The decisions of distinct words, byte by byte, and what the tables without common words say of them.
-
-    Log-odds are in STEPs and turned: positive ones speak for the bit that comes.
-    """
-
-    def __init__(self, words: list[bytes], trees: Trees, tables: list[np.ndarray]):
-        parts = [self._part(words[k : k + SLICE], trees, tables) for k in range(0, len(words), SLICE)]
-        # Bytes of each word; decisions of each byte, its gate without the common word, the hash of its run.
-        self.long, self.n, self.gate, self.hash, node, self.odds = (np.concatenate(x) for x in zip(*parts))
-        self.node = node * M2
-        self.first = np.cumsum(self.n, dtype=np.int32) - self.n
-        #: Units of each word, the first of them, and their bytes and decisions.
-        self.units = -(-self.long // UNIT)
-        self.unit = np.cumsum(self.units, dtype=np.int32) - self.units
-        part = ranges(np.zeros(len(words), np.int32), self.units)
-        self.long = np.minimum(np.repeat(self.long, self.units) - part * UNIT, UNIT)
-        self.begin = np.cumsum(self.long, dtype=np.int32) - self.long
-        self.bits = np.add.reduceat(self.n, self.begin)
-
-    @staticmethod
-    def _part(words: list[bytes], trees: Trees, tables: list[np.ndarray]):
-        buf, before, pos = flat(words)
-        of, node, bit = trees.events(before, buf)
-        n = trees.sizes(before, buf)
-        first = np.cumsum(n) - n
-        sign = (2 * bit - 1).astype(np.int8)
-        odds = np.empty((len(of), len(ORDERS) + 1), np.int8)
-        seen = []
-        for k, (x, order) in enumerate(zip(tables, ORDERS)):
-            code = x[slots(hashed(buf, pos, order)[of], node, width(x))]
-            odds[:, k] = ((code >> 2).astype(np.int8) - np.int8(MIDDLE)) * sign
-            seen.append(code[first] & 3)
-        odds[:, -1] = sign
-        gate = np.where(seen[2] == 3, 3, np.where(seen[1] >= 2, 2, seen[1])).astype(np.uint8)
-        return np.fromiter(map(len, words), np.int32, len(words)), n, gate, hashed(buf, pos, RUN), node, odds
-
-
-def width(table: np.ndarray) -> int:
-    return len(table).bit_length() - 1
-
-
-def log_right(wrong: np.ndarray) -> np.ndarray:
-    return np.log1p(-np.clip(wrong, LEAST_P, 1 - LEAST_P, dtype=np.float32))
-
-
-def advanced(weights: np.ndarray, odds: np.ndarray, gate: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
-    """One text's weights after some of its decisions, and the natural logarithm of their probability."""
-    w, right = weights.tolist(), []
-    exp = math.exp
-    for (a, b, c, d), g in zip(odds.tolist(), gate.tolist()):
-        u0, u1, u2, u3 = w[g]
-        z = u0 * a + u1 * b + u2 * c + u3 * d
-        wrong = 1 / (1 + exp(z)) if z < 700 else 0.0
-        right.append(wrong)
-        wrong *= rate
-        w[g] = u0 + wrong * a, u1 + wrong * b, u2 + wrong * c, u3 + wrong * d
-    return np.array(w, np.float32), float(log_right(np.array(right, np.float32)).sum(dtype=np.float64))
-
-
-def logs_of(word: np.ndarray, sizes: np.ndarray, raw: list[bytes], ranks: dict[bytes, int], trees: Trees, tables: list[np.ndarray], start: np.ndarray | None = None, rate: float | None = None) -> np.ndarray:
-    """log2 of the probability of each text. word: numbers of all tokens, the ends included, in raw; sizes: how many each text has."""
-    start, rate = START if start is None else start, np.float32(RATE if rate is None else rate)
-    rank = np.fromiter((ranks.get(w[:-1], 0) for w in raw), np.uint32, len(raw))
-    begin = np.cumsum(sizes) - sizes
-    behind = last_common(rank[word], np.repeat(begin, sizes))
-    s, runs = Spelled(raw, trees, tables), tables[-1]
-    if (s.units > 1).any():  # long words are several units
-        units = s.units[word]
-        sizes = np.add.reduceat(units, begin).astype(np.int64)
-        behind, word = np.repeat(behind, units), ranges(s.unit[word], units)
-        begin = np.cumsum(sizes) - sizes
-    weights = np.tile(start, (len(sizes), 1)).reshape(len(sizes), GATES, -1)
-    until = np.cumsum(s.bits[word], dtype=np.int64)  # decisions up to the end of each unit
-    upto = until[begin + sizes - 1]
-    next_ = np.append(0, upto[:-1])
-    total, ones = np.zeros(len(sizes)), np.ones(start.shape[1], np.float32)
-    while len(left := np.flatnonzero(next_ < upto)):
-        # Each text goes on by as many decisions; the units that hold them are spelled out, and what is too much at both ends is cut off.
-        each = np.minimum(upto[left] - next_[left], max(1, ROUND // len(left)))
-        lo = np.searchsorted(until, next_[left], "right")
-        n = np.searchsorted(until, next_[left] + each, "left") - lo + 1
-        at = ranges(lo.astype(np.int32), n.astype(np.int32))
-        token = word[at]
-        long = s.long[token]
-        byte = ranges(s.begin[token], long)
-        bits = s.n[byte]
-        decision = ranges(s.first[byte], bits)
-        held = np.add.reduceat(s.bits[token], np.cumsum(n) - n)
-        skip = next_[left] - (until[lo] - s.bits[word[lo]])
-        keep = ranges((np.cumsum(held) - held + skip).astype(np.int32), each.astype(np.int32))
-        next_[left] += each
-        ends = np.cumsum(each)
-        # What the table of common words says.
-        h = np.repeat(ranked(s.hash[byte], np.repeat(behind[at], long)), bits)
-        code = runs[((h + s.node[decision]) * M1) >> np.uint32(32 - width(runs))]
-        each_byte = np.cumsum(bits) - bits
-        gate = np.repeat(s.gate[byte] + ((code[each_byte] & 3) << 2), bits)
-        odds = s.odds.view(np.int32).ravel().take(decision).view(np.int8).reshape(-1, len(tables))
-        odds[:, -1] *= (code >> 2).astype(np.int8) - np.int8(MIDDLE)
-        if len(left) <= FEW:
-            for k, a, b in zip(left, ends - each, ends):
-                mine = keep[a:b]
-                weights[k], log = advanced(weights[k], odds[mine] * np.float32(STEP), gate[mine], float(rate))
-                total[k] += log
-            continue
-        # The texts with most decisions first: step t takes decision t of the first active[t] texts, which are side by side.
-        order = np.argsort(-each, kind="stable")
-        place = np.empty(len(each), np.int32)
-        place[order] = np.arange(len(each), dtype=np.int32)
-        active = (len(each) - np.searchsorted(each[order][::-1], np.arange(each.max()), "right")).astype(np.int32)
-        step = np.cumsum(active, dtype=np.int32) - active
-        to = step.take(ranges(np.zeros(len(each), np.int32), each.astype(np.int32)))
-        to += np.repeat(place, each)
-        source = np.empty(len(to), np.int32)
-        source[to] = keep
-        owner = np.arange(len(to), dtype=np.int32) - np.repeat(step, active)
-        row = owner * np.int32(GATES) + gate.take(source)
-        x = odds.view(np.int32).ravel().take(source).view(np.int8).astype(np.float32).reshape(-1, len(ones))
-        x *= np.float32(STEP)
-        w = weights[left[order]].reshape(len(left) * GATES, -1)
-        packed, wrong, space = w.view(np.complex128).ravel(), np.empty(len(to), np.float32), np.empty((len(left), w.shape[1]), np.float32)
-        for a, m in zip(step.tolist(), active.tolist()):
-            r, y, p, much = row[a : a + m], x[a : a + m], wrong[a : a + m], space[:m]
-            now = w.take(r, axis=0)
-            np.multiply(now, y, out=much)
-            np.matmul(much, ones, out=p)
-            np.exp(p, out=p)
-            np.add(p, 1, out=p)
-            np.reciprocal(p, out=p)
-            np.multiply(y, (p * rate)[:, None], out=much)
-            now += much
-            packed[r] = now.view(np.complex128).ravel()  # a row of four weights as one number
-        weights[left[order]] = w.reshape(len(left), GATES, -1)
-        total[left[order]] += np.bincount(owner, log_right(wrong), len(left))
-    return total / np.log(2)
-
-
-def log2_of(texts: list[list[bytes]], ranks: dict[bytes, int], trees: Trees, tables: list[np.ndarray]) -> np.ndarray:
-    """log2 of the probability of each tokenised text."""
-    number = Numbers({b"\n": 0})
-    word = np.fromiter((k for t in texts for k in (*map(number.__getitem__, t), 0)), np.int32)
-    return logs_of(word, np.fromiter(map(len, texts), np.int64, len(texts)) + 1, [b"\n", *(w + b" " for w in list(number)[1:])], ranks, trees, tables)
-
-
-SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_bytes bigint, n_known bigint, head_log double, log2 double, rare array<binary>"
-
-
-def _scored(model) -> callable:
+SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_bytes bigint, n_known bigint, head_log double, log double, rare array<binary>"
+
+
+def _scored(sent) -> Callable:
+    """What the base score needs of each text: tokens, the logarithms of frequent words, and the words that are not among them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, tables, head, ranks = model.value
+        head = sent.value
         row = TaskContext.get().partitionId() << 33
-        # Equal texts of a group are worked through once. texts: the numbers of distinct ones; of: which one each row has.
-        number, texts, ids, held, of, words, n_bytes = Numbers({b"\n": 0}), Numbers(), [], [], [], [], []
-
-        def out(row: int) -> pa.RecordBatch:
-            raw, sizes = [b"\n", *(w + b" " for w in list(number)[1:])], np.fromiter(map(len, words), np.int64, len(words))
-            log2 = logs_of(np.concatenate(words), sizes, raw, ranks, trees, tables)
-            count = np.array([0.0, *(head.get(w[:-1], np.nan) for w in raw[1:])])
-            known, logs, rare = [], [], []
-            for w in words:
-                x = count[w[:-1]]
-                strange = np.isnan(x)
-                rare.append([raw[k][:-1] for k in w[:-1][strange]])
-                known.append(len(x) - len(rare[-1]))
-                logs.append(float(x[~strange].sum()))
-            return pa.record_batch(
+        for batch in batches:
+            n_tokens, n_bytes, known, logs, rare = [], [], [], [], []
+            for t in batch["text"].cast(pa.binary()).to_pylist():
+                words = tokens_of(t)
+                found = list(map(head.get, words))
+                rare.append([w for w, x in zip(words, found) if x is None])
+                n_tokens.append(len(words) + 1)
+                n_bytes.append(sum(map(len, words)) + len(words) + 1)
+                known.append(len(words) - len(rare[-1]))
+                logs.append(math.fsum(x for x in found if x is not None))
+            yield pa.record_batch(
                 [
-                    pa.array(np.arange(row, row + len(ids))),
-                    pa.array(ids, pa.int64()),
-                    pa.array(held, pa.bool_()),
-                    *(pa.array(x, t).take(pa.array(of, pa.int64())) for x, t in ((sizes, pa.int64()), (n_bytes, pa.int64()), (known, pa.int64()), (logs, pa.float64()), (log2, pa.float64()), (rare, pa.list_(pa.binary())))),
+                    pa.array(np.arange(row, row + len(batch))),
+                    batch["doc_id"],
+                    batch["held_out"],
+                    pa.array(n_tokens, pa.int64()),
+                    pa.array(n_bytes, pa.int64()),
+                    pa.array(known, pa.int64()),
+                    pa.array(logs, pa.float64()),
+                    batch["log"],
+                    pa.array(rare, pa.list_(pa.binary())),
                 ],
                 names=[c.split()[0] for c in SCORED.split(", ")],
             )
-
-        for batch in batches:
-            ids += batch["doc_id"].to_pylist()
-            held += batch["held_out"].to_pylist()
-            for t in batch["text"].cast(pa.binary()).to_pylist():
-                of.append(texts[t])
-                if of[-1] == len(words):
-                    x = tokens_of(t)
-                    words.append(np.fromiter((*map(number.__getitem__, x), 0), np.int32, len(x) + 1))
-                    n_bytes.append(sum(map(len, x)) + len(x) + 1)
-            if sum(n_bytes) >= GROUP:
-                yield out(row)
-                row += len(ids)
-                number, texts, ids, held, of, words, n_bytes = Numbers({b"\n": 0}), Numbers(), [], [], [], [], []
-        if ids:
-            yield out(row)
+            row += len(batch)
 
     return run
 
@@ -641,8 +471,8 @@ def scores(docs: DataFrame, held=None) -> DataFrame:
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = n + ends, v + (ends > 0)
     head = {w: float(np.log10(c + 1)) for w, c in frequent(words).items()}
-    model = spark.sparkContext.broadcast((trees, tables, head, ranks))
-    found = common.stored(rows.mapInArrow(_scored(model), SCORED), "scored")
+    code = mixer.coder(spark, mixer.packed(START, RATE, STEP, MIDDLE, trees, ranks, tables))
+    found = common.stored(rows.withColumn("log", code(F.col("text"))).mapInArrow(_scored(spark.sparkContext.broadcast(head)), SCORED), "scored")
     rare = found.select("row", F.explode("rare").alias("w"))
     rare = rare.join(words, rare["w"] == words["word"], "left")
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.log10(F.col("n") + 1)).otherwise(0.0)).alias("rare_log"), F.count("n").alias("rare_known"))
@@ -655,8 +485,8 @@ def scores(docs: DataFrame, held=None) -> DataFrame:
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + int(ends > 0)).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (logs - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        (F.col("log2") * float(np.log10(2))).alias("score"),
-        (-F.col("log2") / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("log") / float(np.log(10))).alias("score"),
+        (-F.col("log") / float(np.log(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import chat, decontaminate, mixing, simhash
+from corpusloom.llm import chat, decontaminate, mixer, mixing, simhash
 
 from .edge import CLASH, ROWS, documents, empty
 
@@ -269,29 +269,32 @@ def random_model(seed):
     return mixing.Trees(rng.integers(0, 50, 65536)), tables
 
 
-def test_probabilities_add_up():
+def coded(spark, texts, ranks, trees, tables):
+    """log2 of the probability of each text, by the operator's coder."""
+    code = mixer.coder(spark, mixer.packed(mixing.START, mixing.RATE, mixing.STEP, mixing.MIDDLE, trees, ranks, tables))
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    return [r["x"] / np.log(2) for r in rows.select("k", code(F.col("t")).alias("x")).orderBy("k").collect()]
+
+
+def test_probabilities_add_up(spark):
     """What may stand first in a text, a byte or the end, has probabilities that add up to one."""
     trees, tables = random_model(3)
-    total, code = 0.0, Coder(trees, tables, {})
-    for b in range(256):
-        total += 2 ** code.text([bytes([b])] if b != mixing.END else [mixing.END], 1)
-        if b == mixing.END:
-            assert np.isclose(code.text([mixing.END], 1), mixing.log2_of([[]], {}, trees, tables)[0], atol=1e-4)
+    code = Coder(trees, tables, {})
+    total = sum(2 ** code.text([bytes([b])] if b != mixing.END else [mixing.END], 1) for b in range(256))
     assert abs(total - 1) < 1e-3
+    assert np.allclose(coded(spark, ["", None, " \t\n"], {}, trees, tables), code.text([mixing.END]))
 
 
-def test_scores_do_not_depend_on_company(monkeypatch):
-    """A text's score is the same alone and among others, short and long, in long rounds and in short ones."""
+def test_coder_is_the_one_written_out(spark):
+    """Words short and long, capitals, other scripts and white space of all kinds, with a model of noise."""
     rng = np.random.default_rng(4)
     trees, tables = random_model(4)
-    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8)) for _ in range(300)] + [b"x" * 500, bytes(rng.integers(97, 123, 300).astype(np.uint8))]
-    ranks = {w: k + 1 for k, w in enumerate(words[:9])}
-    texts = [[words[k] for k in rng.integers(0, len(words), n)] for n in (0, 1, 5, 255, 256, 257, 700, *([30] * 20))]
-    alone = [mixing.log2_of([t], ranks, trees, tables)[0] for t in texts]
-    for few, many in ((10, 2_000_000), (0, 2_000_000), (0, 5_000), (3, 300)):
-        monkeypatch.setattr(mixing, "FEW", few)
-        monkeypatch.setattr(mixing, "ROUND", many)
-        assert np.allclose(mixing.log2_of(texts, ranks, trees, tables), alone, rtol=2e-5)
+    words = ["".join(chr(c) for c in rng.integers(97, 123, rng.integers(1, 9))) for _ in range(60)] + ["x" * 500, "ÉÀ", "漢字", "The", "a\x00b", "\x1c\x85"]
+    ranks = {w.encode(): k + 1 for k, w in enumerate(words[:9])} | {b"the": 10}
+    texts = [str(rng.choice([" ", "\n", "\t \r", "\x0b\x0c"])).join(words[k] for k in rng.integers(0, len(words), n)) for n in (1, 5, 40, 90)] + ["THE the The"]
+    code = Coder(trees, tables, ranks)
+    want = [code.text([*mixing.tokens_of(t.encode()), mixing.END]) for t in texts]
+    assert np.allclose(coded(spark, texts, ranks, trees, tables), want, rtol=1e-9)
 
 
 class Coder:

@@ -123,7 +123,7 @@ def test_streams_restart_from_what_is_on_disk(spark, tmp_path):
 
 
 def test_finetune_rows(spark):
-    docs = spark.createDataFrame([(1, "m", "x" * 300), (2, "m", "x" * 299), (3, "m", "Advertisement " * 40)], "doc_id bigint, source string, text string")
+    docs = spark.createDataFrame([(1, "m", "x" * 300), (2, "m", "x" * 299), (3, "m", "Advertisement\n" * 40)], "doc_id bigint, source string, text string")
     scores = spark.createDataFrame([(k, 7, "positive", 0.8, 0.1, 0.1, 0.8) for k in (1, 2, 3)] + [(1, 8, "neutral", 0.34, 0.33, 0.34, 0.33)], "doc_id bigint, entity_id bigint, label string, confidence double, score_negative double, score_neutral double, score_positive double")
     contexts = spark.createDataFrame([(d, e, f"context {d} {e} " * 6) for d in (1, 2, 3) for e in (7, 8)], "doc_id bigint, entity_id bigint, context string")
     got = evaluation.finetune_rows(docs, scores, contexts, 42).collect()

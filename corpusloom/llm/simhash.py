@@ -1,8 +1,8 @@
 """SimHash fingerprints, BK-trees over their Hamming distance, and the groups that links make.
 
-Fingerprints that differ in at most three bits agree on one of four blocks of 16 bits, or on one of the
-16 pairs of a block and a quarter of the rest (28 bits). Each distinct fingerprint goes to the shards of its
-blocks. A shard's fingerprints become BK-trees: a child hangs below its parent under their Hamming distance,
+Fingerprints that differ in at most three bits agree on one of four blocks of 16 bits, and beside it on one
+quarter of the rest. Each distinct fingerprint goes to the shards of its blocks; a shard that many share is
+divided by the quarters. A shard's fingerprints become BK-trees: a child hangs below its parent under their Hamming distance,
 and a search follows only edges within the radius of the distance just measured. Trees have a bounded number
 of nodes, so a shard that is too large gives several, and its fingerprints search each of them in a task of
 its own. A task returns a spanning forest of the links it finds, not all pairs; stars made in rounds join
@@ -10,7 +10,8 @@ these up. Equal fingerprints are one node throughout, so exact copies cost nothi
 
 Null and wordless texts have fingerprint zero and link like any other. A null doc_id gets a row; it is never
 the id of a component unless all ids in it are null, which makes the component's id null. Repeated rows keep
-their number.
+their number. An empty table gives an empty result. Very long texts are hashed whole, their shingles in blocks.
+Operators on whole rows carry them in a struct, so columns with clashing names come through.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ SEED = 42
 RADIUS = 3
 #: Nodes of one tree at most.
 TREE = 2048
-#: Mean shard size up to which shards of 16 bits do; above it 28 bits are used.
-FEW_BITS_TO = 64 << 16
+#: Fingerprints of a shard of 16 bits from which on it is divided into shards of 28 bits.
+DIVIDED = 2 * TREE
 BLOCK = 1 << 16
 #: Pairs of query and node that a search holds at a time.
 FRONTIER = 1 << 21
@@ -69,17 +70,19 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def shard_keys(fp: Column, fine: bool) -> Column:
-    """Keys of which fingerprints within RADIUS share at least one: 4 of 16 bits, or 16 of 28 bits."""
+def shard_keys(fp: Column) -> Column:
+    """Keys of which fingerprints within RADIUS share at least one: the four blocks of 16 bits, each with its number above."""
+    return F.array(*[F.lit(j << 16).cast("bigint") + F.shiftrightunsigned(fp, 16 * j).bitwiseAND(F.lit(0xFFFF)) for j in range(4)])
+
+
+def divided_keys(fp: Column, key: Column) -> Column:
+    """Finer keys for a key of shard_keys: with a quarter of the other 48 bits. Fingerprints within RADIUS that share the key share one of these."""
     block = lambda j: F.shiftrightunsigned(fp, 16 * j).bitwiseAND(F.lit(0xFFFF))
-    if not fine:
-        return F.array(*[F.lit(j << 16).cast("bigint") + block(j) for j in range(4)])
-    keys = []
+    rest = F.lit(None).cast("bigint")
     for j in range(4):
         a, b, c = (block(k) for k in range(4) if k != j)
-        rest = F.shiftleft(a, 32).bitwiseOR(F.shiftleft(b, 16)).bitwiseOR(c)
-        keys += [F.lit((j * 4 + q) << 28).cast("bigint") + F.shiftleft(block(j), 12) + F.shiftrightunsigned(rest, 12 * q).bitwiseAND(F.lit(0xFFF)) for q in range(4)]
-    return F.array(*keys)
+        rest = F.when(F.shiftright(key, 16) == j, F.shiftleft(a, 32).bitwiseOR(F.shiftleft(b, 16)).bitwiseOR(c)).otherwise(rest)
+    return F.array(*[F.lit(1 << 40).cast("bigint") + F.shiftleft(key, 14) + F.lit(q << 12).cast("bigint") + F.shiftrightunsigned(rest, 12 * q).bitwiseAND(F.lit(0xFFF)) for q in range(4)])
 
 
 class Forest:
@@ -174,8 +177,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(nodes: DataFrame) -> DataFrame:
     """u, v: links among distinct fingerprints (column fp), enough to join all that are within RADIUS."""
-    n = nodes.count()
-    keyed = nodes.select("fp", F.explode(shard_keys(F.col("fp"), n > FEW_BITS_TO)).alias("key"))
+    keyed = nodes.select("fp", F.explode(shard_keys(F.col("fp"))).alias("key"))
+    hot = keyed.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("n")).where(F.col("n") > DIVIDED).select("_k")
+    keyed = keyed.join(hot, F.col("key") == F.col("_k"), "left")
+    keyed = keyed.select("fp", F.explode(F.when(F.col("_k").isNull(), F.array("key")).otherwise(divided_keys(F.col("fp"), F.col("key")))).alias("key"))
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TREE // 2)
     parts = large.select("key", F.ceil(F.col("n") / (TREE // 2)).cast("int").alias("parts"))
     x = keyed.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -186,7 +191,7 @@ def links(nodes: DataFrame) -> DataFrame:
     return x.mapInArrow(_linked, "u bigint, v bigint")
 
 
-def stars(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def stars(edges: DataFrame) -> DataFrame:
     """node, root: each node of edges(u, v) and the smallest node reachable. Alternates two star steps until nothing changes."""
 
     def step(e: DataFrame, large: bool) -> DataFrame:
@@ -206,15 +211,15 @@ def stars(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     edges = common.stored(edges.where(F.col("u") != F.col("v")).distinct(), "links")
     was = sign(edges)
-    if not was[0]:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(rounds):
-        edges = common.stored(step(step(edges, True), False), "stars")
-        now = sign(edges)
+    # Each round leaves fewer nodes that are not yet stars, so this ends; the sign (count and xor of hashes) tells when nothing changed.
+    while was[0]:
+        new = common.stored(step(step(edges, True), False), "stars")
+        common.discard(edges)
+        edges, now = new, sign(new)
         if now == was:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         was = now
-    raise RuntimeError(f"components still change after {rounds} rounds")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def rooted(prints: DataFrame, least: Column) -> DataFrame:
@@ -250,4 +255,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document. Null text: fingerprint zero. Null or repeated ids: a row each. Empty table: no rows."""
     return groups(common.table(spark, sf_dir, "documents"))

@@ -7,6 +7,9 @@ hangs below one of the last ``lookahead`` positions; once their paths to the roo
 the meeting point are stable and leave the transducer. It holds the bytes since that point and no more.
 
 Null text encodes as empty text (no tokens). The special string is one token, as in the tokenizers library.
+Repeated rows are encoded one by one, an empty table gives an empty result, and of very long texts the transducer
+holds no more than of short ones; only what it puts out grows. Only doc_id and text are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -358,4 +361,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document. Null text: no tokens, empty text back. Null or repeated ids: a row each. Empty table: no rows."""
     return round_trip(common.table(spark, sf_dir, "documents"))

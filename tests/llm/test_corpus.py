@@ -103,9 +103,9 @@ def components(ids, fps):
     return [least.get(find(i)) for i in range(len(ids))]
 
 
-@pytest.mark.parametrize("few,tree", [(64 << 16, 2048), (0, 2048), (64 << 16, 8)])
-def test_op6_brute(spark, monkeypatch, few, tree):
-    monkeypatch.setattr(simhash, "FEW_BITS_TO", few)
+@pytest.mark.parametrize("divided,tree", [(4096, 2048), (0, 2048), (3, 2048), (4096, 8)])
+def test_op6_brute(spark, monkeypatch, divided, tree):
+    monkeypatch.setattr(simhash, "DIVIDED", divided)
     monkeypatch.setattr(simhash, "TREE", tree)
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(documents(spark).select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
     rows = docs.collect()

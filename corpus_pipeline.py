@@ -1,7 +1,9 @@
 """The corpus pipeline: documents in, tokenised clean documents out.
 
 Each stage takes (spark, docs, sf_dir) and judges all rows its predecessor kept. All but the last return the
-columns of documents. Rules of the operators for nulls, empty texts and repeated rows hold here as well.
+columns of documents. Rows are judged by what they hold, not by their id, so null and repeated ids are no special
+case. Null and empty texts have no letter and go with the first stage; very long texts are judged whole; an empty
+table stays empty in every stage; further columns come through until the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,22 +15,22 @@ from corpusloom.llm import bpe, common, decontaminate, langid, repetition, simha
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without a letter go."""
+    """Documents whose language is known: a learnt one with a posterior of a half at least. Those without a letter go, null texts among them."""
     return langid.sure_only(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the repetition limits keep."""
+    """Documents that the base rule and the repetition limits keep. Each row is judged by its text alone."""
     return repetition.kept_only(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the smallest id."""
+    """One document of each group of linked fingerprints: the one with the smallest id, rows without id last; of equal ids and null ones the smallest digest. Rows that are alike in all columns count as one."""
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too little of any benchmark item."""
+    """Documents that hold too little of any benchmark item; all of them if there is none. Each row is judged by its text alone."""
     return decontaminate.clean_only(docs, common.table(spark, sf_dir, "benchmark"))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CLASS = "corpusloom.Mixer"
+#: Bytes of a model that go to the JVM at a time, as they travel as text.
+PIECE = 1 << 20
 SOURCE = r"""
 package corpusloom;
 
@@ -34,15 +36,17 @@ public final class Mixer implements org.apache.spark.sql.api.java.UDF1 {
   private transient double[] start;
   private transient int[] table, width, first, size, path;
   private transient byte[][] common;
+  private transient int[] ranks;
 
   // The text that is being coded.
   private transient double[] w, x;
   private transient double log, product;
-  private transient int[] hash, code;
+  private transient int[] hash, line, code;
   private transient byte[] word;
 
-  public Mixer(org.apache.spark.broadcast.Broadcast model) {
-    this.model = model;
+  public Mixer(org.apache.spark.api.java.JavaSparkContext sc, java.io.ByteArrayOutputStream model) {
+    this.model = sc.broadcast(model.toByteArray());
+    model.reset();
   }
 
   private void open() {
@@ -62,9 +66,18 @@ public final class Mixer implements org.apache.spark.sql.api.java.UDF1 {
     path = new int[in.getInt()];
     for (int k = 0; k < path.length; k++) path[k] = in.getInt();
     common = new byte[in.getInt()][];
+    ranks = new int[1024];
     for (int k = 0; k < common.length; k++) {
       common[k] = new byte[in.getInt()];
       in.get(common[k]);
+      int whole = 0, power = 1;
+      for (int i = 0; i < common[k].length; i++) {
+        whole += ((common[k][i] & 255) + 1) * power;
+        power *= ODD;
+      }
+      int at = whole & 1023;
+      while (ranks[at] > 0) at = at + 1 & 1023;
+      ranks[at] = k + 1;
     }
     table = new int[predictors];
     width = new int[predictors];
@@ -76,6 +89,7 @@ public final class Mixer implements org.apache.spark.sql.api.java.UDF1 {
     w = new double[start.length];
     x = new double[predictors];
     hash = new int[predictors];
+    line = new int[predictors];
     code = new int[predictors];
     word = new byte[64];
   }
@@ -98,11 +112,12 @@ public final class Mixer implements org.apache.spark.sql.api.java.UDF1 {
     hash[1] = stir(far);
     hash[2] = stir(whole);
     hash[3] = stir(hash[0] + (rank + 1) * M3);
+    for (int k = 0; k < 4; k++) line[k] = table[k] + ((hash[k] * M1) >>> (38 - width[k]) << 6);
     int key = (n == 0 ? SPACE : word[n - 1] & 255) << 8 | c, at = first[key], gate = 0;
     for (int d = 0; d < size[key]; d++) {
       int node = path[at + d] >>> 1;
       double sign = (path[at + d] & 1) == 1 ? step : -step, z = 0;
-      for (int k = 0; k < 4; k++) code[k] = all[table[k] + (((hash[k] + node * M2) * M1) >>> (32 - width[k]))] & 255;
+      for (int k = 0; k < 4; k++) code[k] = all[line[k] + ((hash[k] + node * M2) >>> 26)] & 255;
       if (d == 0) {
         int seen = code[1] & 3;
         gate = 4 * (((code[2] & 3) == 3 ? 3 : seen >= 2 ? 2 : seen) + 4 * (code[3] & 3));
@@ -126,13 +141,13 @@ public final class Mixer implements org.apache.spark.sql.api.java.UDF1 {
     return b == 32 || b >= 9 && b <= 13;
   }
 
-  private int rankOf(int n) {
-    for (int k = 0; k < common.length; k++) {
-      byte[] c = common[k];
-      if (c.length == n && c[0] == word[0]) {
-        int i = 1;
+  private int rankOf(int n, int whole) {
+    for (int at = whole & 1023; ranks[at] > 0; at = at + 1 & 1023) {
+      byte[] c = common[ranks[at] - 1];
+      if (c.length == n) {
+        int i = 0;
         while (i < n && c[i] == word[i]) i++;
-        if (i == n) return k + 1;
+        if (i == n) return ranks[at];
       }
     }
     return 0;
@@ -158,7 +173,7 @@ public final class Mixer implements org.apache.spark.sql.api.java.UDF1 {
         power *= ODD;
       } else if (n > 0) {
         step(n, SPACE, rank, whole);
-        int r = rankOf(n);
+        int r = rankOf(n, whole);
         if (r > 0) rank = r;
         n = 0;
         whole = 0;
@@ -218,12 +233,13 @@ def packed(start: np.ndarray, rate: float, step: float, middle: int, trees, comm
 
 def coder(spark: SparkSession, model: bytes) -> Callable[[Column], Column]:
     """A function of text: the natural logarithm of its probability under a packed model; null counts as empty."""
-    gateway, cls = spark.sparkContext._gateway, _class(spark)
-    jvm = spark.sparkContext._jvm
-    kinds = gateway.new_array(jvm.java.lang.Class, 1)
-    kinds[0] = jvm.java.lang.Class.forName("org.apache.spark.broadcast.Broadcast")
-    given = gateway.new_array(jvm.java.lang.Object, 1)
-    given[0] = spark.sparkContext._jsc.broadcast(bytearray(model))
+    gateway, jvm, cls = spark.sparkContext._gateway, spark.sparkContext._jvm, _class(spark)
+    held = jvm.java.io.ByteArrayOutputStream(len(model))
+    for k in range(0, len(model), PIECE):
+        held.writeBytes(bytearray(model[k : k + PIECE]))
+    kinds, given = gateway.new_array(jvm.java.lang.Class, 2), gateway.new_array(jvm.java.lang.Object, 2)
+    kinds[0], kinds[1] = jvm.java.lang.Class.forName("org.apache.spark.api.java.JavaSparkContext"), jvm.java.lang.Class.forName("java.io.ByteArrayOutputStream")
+    given[0], given[1] = spark.sparkContext._jsc, held
     name = f"loom_mixer_{uuid.uuid4().hex}"
     spark._jsparkSession.udf().register(name, cls.getDeclaredConstructor(kinds).newInstance(given), spark._jsparkSession.parseDataType('"double"'))
     return lambda text: F.call_function(name, F.coalesce(text, F.lit("")).cast("binary"))

@@ -169,10 +169,16 @@ def flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, before, np.arange(len(buf)) - start
 
 
-def run_keys(buf: np.ndarray, pos: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Rank of the common word, how many bytes of the word stand before (RUN at most), those bytes, the nearest last, and the byte itself, as one number."""
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... n of each, end to end."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + n, n)
+
+
+def run_keys(buf: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """How many bytes of the word stand before each byte (RUN at most), those bytes, the nearest last, and the byte itself, as one number. The rank of a common word goes above."""
     have = np.minimum(pos, RUN)
-    key = (rank.astype(np.int64) << 2 | have) << 8 * RUN + 8 | buf
+    key = have << 8 * RUN + 8 | buf
     for d in range(1, RUN + 1):
         key[d:] |= np.where(have[d:] >= d, buf[:-d].astype(np.int64) << 8 * d, 0)
     return key
@@ -196,11 +202,12 @@ def run_counts(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             long = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
             rank = np.fromiter((sent.value.get(w, 0) for w in number), np.int64, len(number))[word]
             pairs, n = np.unique(last_common(rank, np.repeat(np.cumsum(long) - long, long)) * len(number) + word, return_counts=True)
+            # Runs of each distinct word once, and the rank of the common word on top of them.
             raw = [b"\n", *(w + b" " for w in list(number)[1:])]
-            spelled = [raw[k] for k in pairs % len(number)]
-            buf, _, pos = flat(spelled)
-            each = np.repeat(np.arange(len(pairs)), np.fromiter(map(len, spelled), np.int64, len(spelled)))
-            k, n = summed(run_keys(buf, pos, (pairs // len(number))[each]), n[each])
+            buf, _, pos = flat(raw)
+            runs, long = run_keys(buf, pos), np.fromiter(map(len, raw), np.int64, len(raw))
+            n_bytes = long[pairs % len(number)]
+            k, n = summed(runs[ranges((np.cumsum(long) - long)[pairs % len(number)], n_bytes)] | np.repeat(pairs // len(number) << 8 * RUN + 10, n_bytes), np.repeat(n, n_bytes))
             keys.append(k)
             counts.append(n)
             size += len(k)
@@ -258,7 +265,8 @@ def ranked(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def slots(h: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    return ((h + node * M2) * M1) >> np.uint32(32 - bits)
+    """Of 2**bits slots, that of a node in a context. The slots of a context are 64 neighbours, so that the decisions of a byte find theirs together."""
+    return ((h * M1) >> np.uint32(38 - bits)) << np.uint32(6) | (h + node * M2) >> np.uint32(26)
 
 
 class Trees:

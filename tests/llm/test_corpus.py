@@ -325,7 +325,7 @@ class Coder:
 
     @staticmethod
     def slot(h, node, bits):
-        return ((h + node * 0x85EBCA6B) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - bits
+        return ((h * 0x9E3779B1 & 0xFFFFFFFF) >> 38 - bits) * 64 + ((h + node * 0x85EBCA6B & 0xFFFFFFFF) >> 26)
 
     def text(self, tokens, most=None):
         """log2 of the probability of tokens, or of their first bytes."""

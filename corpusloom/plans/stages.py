@@ -115,16 +115,32 @@ PREPARE = ("enrich", "validate", "preprocess", "entity", "context", "readiness")
 
 
 def run(names: tuple[str, ...], tables: Tables, settings: Settings, out: str) -> tuple[Tables, DataFrame]:
-    """Stages in turn, each result written and read again, and the record of runs: stage, seconds, rows by table."""
+    """Stages in turn, each result written and read again, and the record of runs.
+
+    The record has a row for each table that a stage made: seconds, rows, of raw_texts also how many changed their status
+    and how many of those failed. A stage that breaks off ends the run; its row says failed and why, and what was made
+    before it stands.
+    """
     spark, log = next(iter(tables.values())).sparkSession, []
     for name in names:
         began = datetime.datetime.now(datetime.UTC)
-        made = {k: x for k, x in STAGES[name](tables, settings).items() if tables.get(k) is not x}
-        for k, x in made.items():
-            x.write.mode("overwrite").parquet(f"{out}/{name}/{k}")
-            tables = tables | {k: spark.read.parquet(f"{out}/{name}/{k}")}
-            log.append((name, k, (datetime.datetime.now(datetime.UTC) - began).total_seconds(), tables[k].count()))
-    return tables, spark.createDataFrame(log, "stage string, made string, seconds double, n bigint")
+        past = lambda: (datetime.datetime.now(datetime.UTC) - began).total_seconds()  # noqa: B023, E731
+        try:
+            before = tables.get("raw_texts")
+            made = {k: x for k, x in STAGES[name](tables, settings).items() if tables.get(k) is not x}
+            for k, x in made.items():
+                x.write.mode("overwrite").parquet(f"{out}/{name}/{k}")
+                tables = tables | {k: spark.read.parquet(f"{out}/{name}/{k}")}
+                moved = (None, None)
+                if k == "raw_texts" and before is not None:
+                    was = before.select(F.col("doc_id").alias("_d"), F.col("status").alias("_was"))
+                    now = tables[k].join(was, F.col("doc_id") == F.col("_d")).where(~F.col("status").eqNullSafe(F.col("_was")))
+                    moved = tuple(now.agg(F.count("*"), F.count_if(F.col("status") == "failed")).first())
+                log.append((name, k, past(), tables[k].count(), *moved, "ok", None))
+        except Exception as e:  # noqa: BLE001  the record must tell
+            log.append((name, None, past(), None, None, None, "failed", str(e)[:500]))
+            break
+    return tables, spark.createDataFrame(log, "stage string, made string, seconds double, n bigint, changed bigint, failed bigint, status string, error string")
 
 
 def main(args: list[str] | None = None) -> None:

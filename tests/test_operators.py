@@ -320,3 +320,7 @@ def test_stages(spark, tmp_path):
     assert got[1] == ("skipped", "duplicate_title") and got[3][0] == "failed" and got[4][0] == "processed"
     assert got[2][0] == "processed"
     assert {r["entity_id"] for r in out["scores"].collect()} == {None, 7} and log.count() >= 7
+    first = log.where("stage = 'enrich'").first()
+    assert (first["changed"], first["failed"], first["status"]) == (3, 1, "ok")
+    broken, log = stages.run(("entity", "context"), {"raw_texts": docs.drop("title")}, stages.Settings(), f"{tmp_path}/x")
+    assert [(r["stage"], r["status"]) for r in log.collect()] == [("entity", "failed")] and log.first()["error"]

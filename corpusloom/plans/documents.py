@@ -225,10 +225,11 @@ def context_word_cap(spark, sf_dir):
 
 
 def _mentions(spark, sf_dir):
-    """The first place of a word in a text as the mention of its entity."""
-    docs = standins.raw_texts(spark, sf_dir)
-    one = lambda i, w: F.struct(F.lit(i).cast(LONG).alias("entity_id"), F.lit(w).alias("canonical_name"), (F.instr(F.lower("text"), w) - 1).cast(LONG).alias("offset"))
-    return docs.select("doc_id", F.explode(F.array(one(0, "thatin"), one(4, "that"), one(8, "que"))).alias("m")).select("doc_id", "m.*")
+    """All places of the dictionary's terms in the texts."""
+    docs, names = standins.raw_texts(spark, sf_dir), standins.entities(spark)
+    found = entities.hits(entities.match(docs, entities.dictionary(names), F.col("text")))
+    found = found.select("doc_id", "entity_id", F.col("start").cast(LONG).alias("offset"), "mention")
+    return found.join(F.broadcast(names.select("entity_id", "canonical_name")), "entity_id")  # the dictionary of the stand-ins: 20 rows
 
 
 def anchor_sentence(spark, sf_dir):
@@ -366,6 +367,24 @@ _SENTENCES = r"""pieces AS (SELECT doc_id, generate_subscripts(p, 1) AS k, unnes
 placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, regexp_replace(piece, '\s+$', '') AS sentence FROM pieces),
 sentences AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS BIGINT) AS pos, CAST(start AS BIGINT) AS start, CAST(start + length(sentence) AS BIGINT) AS "end", sentence FROM placed WHERE length(trim(sentence)) > 10)"""
 _ALTS = "|".join(t.replace(" ", "  ") for t in sorted((t for t, _, _ in _terms()), key=lambda t: (-len(t), t)))
+#: Every character that is no letter, digit or underscore stands twice, so that a pattern may take one on either side.
+TWICE = r"'  ' || regexp_replace({}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') || '  '"
+_ALT = rf"[^\p{{L}}\p{{N}}_]({_ALTS})[^\p{{L}}\p{{N}}_]"
+_OTHER = r"'[\p{L}\p{N}_]', '', 'g'"
+
+
+def spans_sql(raw: str, source: str) -> str:
+    """CTEs up to span(doc_id, raw, start, "end", mention, entity_id, canonical): all matches in the expression raw of source."""
+    return rf"""twice AS (SELECT doc_id, {raw} AS raw, {TWICE.format(f"lower({raw})")} AS t FROM {source}),
+cut AS (SELECT doc_id, raw, regexp_extract_all(t, '{_ALT}', 1) AS ms, string_split_regex(t, '{_ALT}') AS ps FROM twice),
+part AS (SELECT doc_id, raw, k, ms[k] AS m, ps[k] AS p FROM (SELECT doc_id, raw, ms, ps, unnest(range(1, len(ms) + 1)) AS k FROM cut)),
+size AS (SELECT *, length(regexp_replace(p, {_OTHER})) AS po, length(p) - length(regexp_replace(p, {_OTHER})) AS pw, length(regexp_replace(m, {_OTHER})) AS mo, length(m) - length(regexp_replace(m, {_OTHER})) AS mw FROM part),
+far AS (SELECT *, sum(pw) OVER w + sum(mw) OVER w - mw + (sum(po) OVER w + sum(mo + 2) OVER w - mo - 1 - 2) // 2 AS start, mw + mo // 2 AS n FROM size WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+owner AS (SELECT term, max(entity_id) AS entity_id FROM terms GROUP BY term),
+named AS (SELECT o.term, o.entity_id, bool_or(t.canonical) AS canonical FROM owner o JOIN terms t ON t.term = o.term AND t.entity_id = o.entity_id GROUP BY 1, 2),
+span AS (SELECT doc_id, raw, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS "end", substr(raw, CAST(start AS BIGINT) + 1, CAST(n AS BIGINT)) AS mention, entity_id, canonical FROM far JOIN named ON named.term = lower(substr(raw, CAST(start AS BIGINT) + 1, CAST(n AS BIGINT))))"""
+
+
 _MENTIONS = (
     "found AS (SELECT doc_id, replace(unnest(regexp_extract_all('  ' || regexp_replace(lower(title || chr(10) || text), '([^\\p{L}\\p{N}_])', '\\1\\1', 'g') || '  ', '[^\\p{L}\\p{N}_](" + _ALTS + ")[^\\p{L}\\p{N}_]', 1)), '  ', ' ') AS term FROM raw_texts), "
     "owner AS (SELECT term, max(entity_id) AS entity_id FROM terms GROUP BY term), counted AS (SELECT entity_id, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM found JOIN owner USING (term) GROUP BY entity_id)"
@@ -399,7 +418,7 @@ ORACLES: dict[str, str] = {
     "candidate_confidence": f"WITH {_CAND} SELECT user_id, round(CAST(confidence AS DOUBLE), 4) AS confidence FROM k",
     "candidate_promotion": f"WITH {_CAND} SELECT 'User No ' || user_id AS name, 'user_no_' || user_id AS config_name, 'approved' AS status, round(CAST(confidence AS DOUBLE), 4) AS confidence FROM k WHERE user_id % 2 = 0 AND hits >= 3 AND CAST(confidence AS DOUBLE) >= 0.85",
     "sentence_table": D + ", " + _SENTENCES + ' SELECT doc_id, pos, start, "end", length(sentence) AS chars FROM sentences',
-    "anchor_sentence": D + ", " + _SENTENCES + ", m AS (SELECT doc_id, entity_id, instr(lower(text), word) - 1 AS \"offset\" FROM raw_texts, (VALUES (CAST(0 AS BIGINT), 'thatin'), (4, 'that'), (8, 'que')) AS v(entity_id, word)) SELECT m.doc_id, entity_id, \"offset\", pos FROM m JOIN sentences s ON m.doc_id = s.doc_id AND \"offset\" >= start AND \"offset\" < \"end\"",
+    "anchor_sentence": D + ", " + spans_sql("text", "raw_texts") + ", " + _SENTENCES + ', m AS (SELECT doc_id, entity_id, start AS "offset" FROM span) SELECT m.doc_id, entity_id, "offset", pos FROM m JOIN sentences s ON m.doc_id = s.doc_id AND "offset" >= s.start AND "offset" < s."end"',
     "readiness_gate": D + f", t AS (SELECT *, {_TITLE} AS k FROM raw_texts), d AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS first FROM t) SELECT doc_id, CASE WHEN k <> '' AND first <> doc_id THEN 'skipped_duplicate_title' WHEN length(text) < 150 THEN 'failed_short_body' WHEN (length(title) >= 50 AND doc_id % 50 >= 20) OR length(text) >= 500 THEN 'queued' ELSE 'failed_no_context' END AS outcome FROM d",
     "score_documents": D + f", {_LEX} SELECT doc_id, CAST(NULL AS BIGINT) AS entity_id, CASE WHEN neg >= neu AND neg >= pos THEN 'negative' WHEN neu >= pos THEN 'neutral' ELSE 'positive' END AS label, round(neg, 6) AS score_negative, round(neu, 6) AS score_neutral, round(pos, 6) AS score_positive, round(greatest(neg, neu, pos), 6) AS confidence, round(pos - neg, 6) AS polarity, round(0 - ({_ENT('neg')} + {_ENT('neu')} + {_ENT('pos')}), 6) AS entropy FROM ls",
     "confusion_matrix": _Q + "SELECT gold, predicted, n FROM matrix",
@@ -426,9 +445,9 @@ sided AS (SELECT *, concat_ws(' ', CASE WHEN back AND l2 IS NOT NULL AND regexp_
 joined AS (SELECT *, trim(concat_ws(' ', nullif(before, ''), sentence, nullif(after, ''))) AS whole, {_WORDS("sentence")} AS aw, {_WORDS("concat_ws(' ', before, after)")} AS ow FROM sided),
 windows AS (SELECT *, CASE WHEN len({_WORDS("whole")}) <= 180 THEN whole WHEN len(aw) >= 180 THEN array_to_string(aw[1:180], ' ')
   WHEN before <> '' THEN trim(concat_ws(' ', array_to_string(ow[1:180 - len(aw)], ' '), sentence)) ELSE trim(concat_ws(' ', sentence, array_to_string(ow[1:180 - len(aw)], ' '))) END AS context FROM joined)"""
-_PLACES = "m AS (SELECT doc_id, entity_id, word, instr(lower(text), word) - 1 AS \"offset\" FROM raw_texts, (VALUES (CAST(0 AS BIGINT), 'thatin'), (4, 'that'), (8, 'que')) AS v(entity_id, word))"
-_BEST = f"{D}, {_SENTENCES_P}, {_WINDOWS}, {_PLACES}, b AS (SELECT m.doc_id, entity_id, word, pos, act, paragraph, context FROM m JOIN windows s ON m.doc_id = s.doc_id AND \"offset\" >= start AND \"offset\" < \"end\")"
-_CTX = f"g AS (SELECT *, {_hits('lower(context)', V.CORPUS_POSITIVE)} AS p, {_hits('lower(context)', V.CORPUS_NEGATIVE)} AS n, CAST(list_contains({_TOKENS('context')}, word) AS INT) AS rel FROM b WHERE length(context) >= 10), h AS (SELECT *, CAST(n AS DOUBLE) / (p + n + 1) AS neg, 1e0 / (p + n + 1) AS neu, CAST(p AS DOUBLE) / (p + n + 1) AS pos3 FROM g WHERE rel >= 0.5)"
+_PLACES = 'm AS (SELECT doc_id, entity_id, canonical_name AS word, start AS "offset" FROM span JOIN entities USING (entity_id))'
+_BEST = f"{D}, {spans_sql('text', 'raw_texts')}, {_SENTENCES_P}, {_WINDOWS}, {_PLACES}, b AS (SELECT m.doc_id, entity_id, word, pos, act, paragraph, context FROM m JOIN windows s ON m.doc_id = s.doc_id AND \"offset\" >= s.start AND \"offset\" < s.\"end\" QUALIFY row_number() OVER (PARTITION BY m.doc_id, entity_id ORDER BY act DESC, \"offset\") = 1)"
+_CTX = f"g AS (SELECT *, {_hits('lower(context)', V.CORPUS_POSITIVE)} AS p, {_hits('lower(context)', V.CORPUS_NEGATIVE)} AS n, len(list_intersect(list_distinct({_TOKENS('word')}), list_distinct({_TOKENS('context')}))) / CAST(len(list_distinct({_TOKENS('word')})) AS DOUBLE) AS rel FROM b WHERE length(context) >= 10), h AS (SELECT *, CAST(n AS DOUBLE) / (p + n + 1) AS neg, 1e0 / (p + n + 1) AS neu, CAST(p AS DOUBLE) / (p + n + 1) AS pos3 FROM g WHERE rel >= 0.5)"
 _OWN = "['google.com', 'gstatic.com', 'googleapis.com', 'schema.org', 'youtube.com']"
 
 ORACLES |= {

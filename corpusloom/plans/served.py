@@ -266,23 +266,7 @@ _PROFILE = ", ".join(f"(-len(list_filter(w, lambda x: x IN ({', '.join(repr(p) f
 _DASH = "SELECT s.entity_id, canonical_name, CAST(scored_at AS DATE) AS day, count(*) AS mentions, count(*) FILTER (WHERE label = 'positive') AS positive_count, count(*) FILTER (WHERE label = 'negative') AS negative_count, count(*) FILTER (WHERE label = 'neutral') AS neutral_count, round(avg(score_positive - score_negative), 4) AS avg_polarity FROM scores s JOIN entities e ON s.entity_id = e.entity_id WHERE confidence >= 0.6 AND {} GROUP BY 1, 2, 3"
 _BEST = "SELECT entity_id, doc_id, polarity, confidence, scored_at FROM (SELECT * FROM (SELECT entity_id, doc_id, label AS polarity, confidence, scored_at, event_id, row_number() OVER (PARTITION BY entity_id, label ORDER BY confidence DESC, scored_at DESC, event_id) AS rn FROM scores WHERE entity_id IS NOT NULL AND label <> 'neutral' AND confidence >= 0.7 AND {}) WHERE rn <= 5) QUALIFY row_number() OVER (PARTITION BY entity_id, doc_id ORDER BY confidence DESC, scored_at DESC, event_id DESC) = 1"
 _TITLED = "titled AS (SELECT doc_id, array_to_string(list_transform(string_split(lower(title), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS title FROM raw_texts)"
-#: Every character that is no letter, digit or underscore stands twice, so that a pattern may take one on either side.
-_TWICE = r"'  ' || regexp_replace({}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') || '  '"
-_ALT = rf"[^\p{{L}}\p{{N}}_]({documents._ALTS})[^\p{{L}}\p{{N}}_]"
-_OTHER = r"'[\p{L}\p{N}_]', '', 'g'"
-
-
-def spans_sql(raw: str, source: str) -> str:
-    """CTEs up to span(doc_id, raw, start, "end", mention, entity_id, canonical): all matches in the expression raw of source."""
-    return rf"""twice AS (SELECT doc_id, {raw} AS raw, {_TWICE.format(f"lower({raw})")} AS t FROM {source}),
-cut AS (SELECT doc_id, raw, regexp_extract_all(t, '{_ALT}', 1) AS ms, string_split_regex(t, '{_ALT}') AS ps FROM twice),
-part AS (SELECT doc_id, raw, k, ms[k] AS m, ps[k] AS p FROM (SELECT doc_id, raw, ms, ps, unnest(range(1, len(ms) + 1)) AS k FROM cut)),
-size AS (SELECT *, length(regexp_replace(p, {_OTHER})) AS po, length(p) - length(regexp_replace(p, {_OTHER})) AS pw, length(regexp_replace(m, {_OTHER})) AS mo, length(m) - length(regexp_replace(m, {_OTHER})) AS mw FROM part),
-far AS (SELECT *, sum(pw) OVER w + sum(mw) OVER w - mw + (sum(po) OVER w + sum(mo + 2) OVER w - mo - 1 - 2) // 2 AS start, mw + mo // 2 AS n FROM size WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
-owner AS (SELECT term, max(entity_id) AS entity_id FROM terms GROUP BY term),
-named AS (SELECT o.term, o.entity_id, bool_or(t.canonical) AS canonical FROM owner o JOIN terms t ON t.term = o.term AND t.entity_id = o.entity_id GROUP BY 1, 2),
-span AS (SELECT doc_id, raw, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS "end", substr(raw, CAST(start AS BIGINT) + 1, CAST(n AS BIGINT)) AS mention, entity_id, canonical FROM far JOIN named ON named.term = lower(substr(raw, CAST(start AS BIGINT) + 1, CAST(n AS BIGINT))))"""
-
+_TWICE, spans_sql = documents.TWICE, documents.spans_sql
 
 _WHOLE = "title || chr(10) || text"
 _SALIENT = """counted AS (SELECT doc_id, entity_id, count(*) AS n, bool_or(canonical AND "end" <= tl) AS in_title, min(start) AS first_offset FROM (SELECT s.*, length(r.title) AS tl FROM span s JOIN raw_texts r USING (doc_id)) GROUP BY doc_id, entity_id),

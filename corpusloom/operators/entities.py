@@ -213,6 +213,29 @@ def confirmed(confidence: Column, found: Column) -> Column:
     return F.when(found >= 10, F.least(confidence + 0.15, F.lit(0.95))).when(found >= 5, F.least(confidence + 0.10, F.lit(0.90))).when(found >= 3, F.least(confidence + 0.05, F.lit(0.85))).otherwise(confidence)
 
 
+def ids_by_name(rows: DataFrame, entities: DataFrame, name: str = "name") -> DataFrame:
+    """rows with the entity_id of a canonical name or an alias, ignoring case; null where there is none."""
+    terms = dictionary(entities, 1).select(F.col("term").alias("_t"), "entity_id")
+    return rows.join(terms, F.lower(F.trim(name)) == F.col("_t"), "left").drop("_t")
+
+
+def promote(candidates_: DataFrame, entities: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, dictionary and feed configurations after a promotion: each accepted name is marked, entered and gets a feed. Names that are there already are not entered twice.
+
+    candidates_(name, confidence, hits, status), entities(entity_id, canonical_name, aliases), configs(config_name, entity_name).
+    """
+    from . import merge
+
+    ready = promoted(candidates_)
+    marked = merge.upsert(candidates_, ready.select(*candidates_.columns), ["name"], ["status"])
+    last = entities.agg(F.coalesce(F.max("entity_id"), F.lit(-1)).alias("_last"))
+    fresh = merge.insert_if_absent(entities.select(F.lower("canonical_name").alias("_k")), ready.select(F.lower("name").alias("_k"), "name").dropDuplicates(["_k"]), ["_k"])
+    # Few names are promoted at a time; their numbers follow the last one in the order of the names.
+    numbered = fresh.crossJoin(F.broadcast(last)).select((F.col("_last") + F.row_number().over(W.orderBy("name"))).alias("entity_id"), F.col("name").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
+    feeds = merge.insert_if_absent(configs, ready.select("config_name", F.col("name").alias("entity_name")).dropDuplicates(["config_name"]), ["config_name"])
+    return marked, entities.select("entity_id", "canonical_name", "aliases").unionByName(numbered), configs.unionByName(feeds.select(*configs.columns))
+
+
 def promoted(rows: DataFrame) -> DataFrame:
     """Pending candidates that enter the dictionary, with the key of their feed."""
     x = rows.where((F.col("status") == "pending") & (F.col("confidence") >= 0.85) & (F.col("hits") >= 3))

@@ -103,6 +103,23 @@ def finetune_rows(docs: DataFrame, scores: DataFrame, contexts: DataFrame, seed:
     return curated(x, seed, per_media, per_entity)
 
 
+def joined_by_key(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of both sides with equal keys, and how many of the left have none on the right."""
+    missing = left.join(right.select(*keys).distinct(), keys, "left_anti").agg(F.count("*").alias("missing"))
+    return left.join(right, keys), missing
+
+
+def levels(cases: DataFrame, scores: DataFrame) -> DataFrame:
+    """level, key, n, value of the four levels of a report: pass rates of hard and of domain cases by category, shares of labels, polarity by entity.
+
+    cases(level, category, passed) holds the first two; scores(entity_id, label, score_positive, score_negative) the others.
+    """
+    rate = cases.groupBy("level", F.col("category").alias("key")).agg(F.count("*").alias("n"), F.avg(F.col("passed").cast("double")).alias("value"))
+    share = shares(scores, "label").select(F.lit("distribution").alias("level"), F.col("label").alias("key"), F.col("n").cast("bigint").alias("n"), (F.col("pct") / 100).alias("value"))
+    by = scores.where("entity_id IS NOT NULL").groupBy(F.col("entity_id").cast("string").alias("key")).agg(F.count("*").alias("n"), F.avg(F.col("score_positive") - F.col("score_negative")).alias("value"))
+    return rate.unionByName(share).unionByName(by.withColumn("level", F.lit("entity")).select("level", "key", "n", "value")).withColumn("value", F.round("value", 4))
+
+
 def nested(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """docs with an array `contexts` of (entity_id, entity_name, context) in order of entity; empty where there is none. contexts(doc_id, entity_id, entity_name, context)."""
     one = F.struct("entity_id", "entity_name", "context")

@@ -47,6 +47,13 @@ def normal_label(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(F.trim(raw))), F.lit("neutral"))
 
 
+def guards(docs: DataFrame, contexts: DataFrame, relevancy: Callable[[Column, Column], Column] = mention_relevancy, least_doc: int = 50, least_context: int = 10, gate: float = 0.5) -> DataFrame:
+    """kind (document or context), reason and number: what scoring takes and what it skips, and why."""
+    x = docs.select(F.lit("document").alias("kind"), F.when(F.length(F.coalesce("text", F.lit(""))) < least_doc, "too_short").otherwise("scored").alias("reason"))
+    why = F.when(F.length(F.coalesce("context", F.lit(""))) < least_context, "too_short").when(F.coalesce(relevancy(F.col("canonical_name"), F.col("context")), F.lit(0.0)) < gate, "not_relevant").otherwise("scored")
+    return x.unionByName(contexts.select(F.lit("context").alias("kind"), why.alias("reason"))).groupBy("kind", "reason").agg(F.count("*").alias("n"))
+
+
 def score_documents(docs: DataFrame, scorer: Callable[[Column], Column], least: int = 50, head: int = 1500) -> DataFrame:
     """The document-level score of the first characters of title and body, with a null entity; short documents are skipped."""
     text = F.trim(F.concat_ws(". ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))

@@ -103,6 +103,12 @@ def spikes(daily: DataFrame, back: int = 7, sigmas: float = 3.0) -> DataFrame:
     return x.withColumn("spike", F.col("n") > F.col("mean") + sigmas * F.col("sd"))
 
 
+def health(rows: DataFrame, status: Column, at: str, as_of: str) -> DataFrame:
+    """status, n, oldest, newest, n_old (older than a day on as_of): what a look at a queue or a table tells."""
+    old = F.col(at) < F.date_sub(F.to_date(F.lit(as_of)), 1)
+    return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.min(at).alias("oldest"), F.max(at).alias("newest"), F.count_if(old).alias("n_old"))
+
+
 def public(table: DataFrame, allowed: tuple[str, ...] = PUBLIC) -> DataFrame:
     """Only columns of the allow-list; texts and raw scores never pass."""
     return table.select(*[c for c in table.columns if c in allowed])

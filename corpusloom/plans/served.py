@@ -252,6 +252,73 @@ def stream_spike_alerts(spark, sf_dir):
     return jobs.spike_alerts(x, jobs.work_dir(spark)).withColumn("mean", F.round("mean", 4)).withColumn("sd", F.round("sd", 4))
 
 
+def archive_scan(spark, sf_dir):
+    """Articles of answers of an archive, without some domains and sections."""
+    from ..sources import feeds
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    one = F.struct("url", F.concat(F.lit("page "), F.col("page_id")).alias("title"), F.regexp_extract("url", "://([^/]+)", 1).alias("domain"), F.lit("20240105T101500Z").alias("seendate"), F.lit("x").alias("language"))
+    answers = pages.groupBy((F.col("page_id") % 5).alias("k")).agg(F.to_json(F.struct(F.collect_list(one).alias("articles"))).alias("json"))
+    x = feeds.archive(answers)
+    x = x.where(~feeds.excluded(F.col("source_url"), F.col("domain"), ("example.net",), ("https://www.",)))
+    return x.select("title", "source_url", "domain", "source_id", F.unix_timestamp("published_at").alias("published_at"))
+
+
+def composite_join(spark, sf_dir):
+    """Contexts of long titles and their scores by document and entity, and how many have none."""
+    scores = standins.scores(spark, sf_dir).where("entity_id IS NOT NULL").groupBy("doc_id", "entity_id").agg(F.max("confidence").alias("confidence"))
+    contexts = documents._mentions(spark, sf_dir).select("doc_id", "entity_id").distinct()
+    found, missing = evaluation.joined_by_key(contexts, scores, ["doc_id", "entity_id"])
+    return found.agg(F.count("*").alias("joined"), F.round(F.sum("confidence"), 4).alias("confidence")).crossJoin(missing)  # one row each
+
+
+def lookup_by_name(spark, sf_dir):
+    names = spark.range(0, 3).select(F.explode(F.array(*map(F.lit, ("THAT", " pour ", "und", "nobody", "rewh")))).alias("name"), "id")
+    return entities.ids_by_name(names, standins.entities(spark)).groupBy("name", "entity_id").agg(F.count("*").alias("n"))
+
+
+def mentions_by_document(spark, sf_dir):
+    """Mentions gathered by document, in the order of their places."""
+    one = F.struct("offset", "entity_id", "mention")
+    x = documents._mentions(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("m"))
+    return x.select("doc_id", F.size("m").cast(LONG).alias("n"), F.array_join(F.transform("m", lambda v: F.concat_ws(":", v["offset"], v["entity_id"], v["mention"])), ",").alias("mentions"))
+
+
+def entropy_variants(spark, sf_dir):
+    p = [F.col(f"score_{c}") for c in ("negative", "neutral", "positive")]
+    return standins.scores(spark, sf_dir).select("event_id", F.round(T.entropy(*p), 5).alias("guarded"), F.round(T.entropy_smoothed(*p), 5).alias("smoothed"))
+
+
+def promotion_merges(spark, sf_dir):
+    """Candidates, dictionary and feeds after a promotion, as one table."""
+    x = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("hits"))
+    name = F.when(F.col("user_id") == 4, "That").otherwise(F.concat(F.lit("User No "), F.col("user_id")))
+    rows = x.select(name.alias("name"), entities.confirmed(entities.base_confidence(F.col("n")), F.col("hits")).alias("confidence"), "hits", F.when(F.col("user_id") % 2 == 0, "pending").otherwise("rejected").alias("status"))
+    configs = spark.createDataFrame([("user_no_2", "User No 2")], "config_name string, entity_name string")
+    marked, names, feeds = entities.promote(rows, standins.entities(spark), configs)
+    return (
+        marked.select(F.lit("candidate").alias("kind"), F.col("name").alias("key"), F.col("status").alias("value"))
+        .unionByName(names.select(F.lit("entity").alias("kind"), F.col("canonical_name").alias("key"), F.col("entity_id").cast("string").alias("value")))
+        .unionByName(feeds.select(F.lit("feed").alias("kind"), F.col("config_name").alias("key"), F.col("entity_name").alias("value")))
+    )
+
+
+def score_guards(spark, sf_dir):
+    from ..operators import scoring
+
+    return scoring.guards(standins.raw_texts(spark, sf_dir), documents._contexts(spark, sf_dir))
+
+
+def queue_health(spark, sf_dir):
+    return serving.health(spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_type"), "ts", AS_OF)
+
+
+def four_level_report(spark, sf_dir):
+    judged = documents._judged(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    cases = judged.select(F.when(F.col("doc_id") % 2 == 0, "adversarial").otherwise("domain").alias("level"), F.col("lang").alias("category"), (F.col("gold") == F.col("predicted")).alias("passed"))
+    return evaluation.levels(cases, standins.scores(spark, sf_dir))
+
+
 def scalar_subquery(spark, sf_dir):
     return relational._query(_ABOVE)(spark, sf_dir)
 
@@ -342,6 +409,17 @@ ORACLES: dict[str, str] = {
       RECURSIVE_PLACE
       SELECT doc_id, entity_id, media FROM z JOIN (SELECT DISTINCT k FROM walk WHERE took) USING (k)""",
 }
+ORACLES |= {
+    "archive_scan": r"SELECT 'page ' || page_id AS title, url AS source_url, regexp_extract(url, '://([^/]+)', 1) AS domain, left(sha256(url), 32) AS source_id, CAST(1704449700 AS BIGINT) AS published_at FROM pages WHERE regexp_extract(url, '://([^/]+)', 1) <> 'example.net' AND NOT ends_with(regexp_extract(url, '://([^/]+)', 1), '.example.net') AND NOT starts_with(url, 'https://www.')",
+    "composite_join": D + f", {spans_sql('text', 'raw_texts')}, c AS (SELECT DISTINCT doc_id, entity_id FROM span), s AS (SELECT doc_id, entity_id, max(confidence) AS confidence FROM scores WHERE entity_id IS NOT NULL GROUP BY 1, 2) SELECT count(s.confidence) AS joined, round(sum(s.confidence), 4) AS confidence, count(*) - count(s.confidence) AS missing FROM c LEFT JOIN s USING (doc_id, entity_id)",
+    "lookup_by_name": D + ", o AS (SELECT term, max(entity_id) AS entity_id FROM terms GROUP BY term) SELECT name, entity_id, CAST(3 AS BIGINT) AS n FROM (VALUES ('THAT'), (' pour '), ('und'), ('nobody'), ('rewh')) AS v(name) LEFT JOIN o ON o.term = lower(trim(name))",
+    "mentions_by_document": D + f", {spans_sql('text', 'raw_texts')} SELECT doc_id, count(*) AS n, string_agg(start || ':' || entity_id || ':' || mention, ',' ORDER BY start) AS mentions FROM span GROUP BY doc_id",
+    "entropy_variants": D + f" SELECT event_id, round(0 - ({' + '.join(documents._ENT(f'score_{c}') for c in ('negative', 'neutral', 'positive'))}), 5) AS guarded, round(0 - ({' + '.join(f'score_{c} * ln(score_{c} + 1e-9)' for c in ('negative', 'neutral', 'positive'))}), 5) AS smoothed FROM scores",
+    "promotion_merges": f"{D}, {documents._CAND}, n AS (SELECT CASE WHEN user_id = 4 THEN 'That' ELSE 'User No ' || user_id END AS name, user_id % 2 = 0 AS open, user_id % 2 = 0 AND hits >= 3 AND CAST(confidence AS DOUBLE) >= 0.85 AS ok FROM k), fresh AS (SELECT name FROM n WHERE ok AND lower(name) NOT IN (SELECT lower(canonical_name) FROM entities)), feed AS (SELECT replace(lower(name), ' ', '_') AS key, name FROM n WHERE ok) SELECT 'candidate' AS kind, name AS key, CASE WHEN ok THEN 'approved' WHEN open THEN 'pending' ELSE 'rejected' END AS value FROM n UNION ALL SELECT 'entity', canonical_name, CAST(entity_id AS VARCHAR) FROM entities UNION ALL SELECT 'entity', name, CAST(19 + row_number() OVER (ORDER BY name) AS VARCHAR) FROM fresh UNION ALL SELECT 'feed', 'user_no_2', 'User No 2' UNION ALL SELECT 'feed', key, name FROM feed WHERE key <> 'user_no_2'",
+    "score_guards": f"{documents._BEST}, r AS (SELECT length(context) AS n, len(list_intersect(list_distinct({documents._TOKENS('word')}), list_distinct({documents._TOKENS('context')}))) / CAST(len(list_distinct({documents._TOKENS('word')})) AS DOUBLE) AS rel FROM b) SELECT 'context' AS kind, CASE WHEN n < 10 THEN 'too_short' WHEN rel < 0.5 THEN 'not_relevant' ELSE 'scored' END AS reason, count(*) AS n FROM r GROUP BY 1, 2 UNION ALL SELECT 'document', CASE WHEN length(text) < 50 THEN 'too_short' ELSE 'scored' END, count(*) FROM raw_texts GROUP BY 1, 2",
+    "queue_health": "SELECT event_type AS status, count(*) AS n, min(ts) AS oldest, max(ts) AS newest, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-30 00:00:00') AS n_old FROM events GROUP BY 1",
+    "four_level_report": documents._Q + "SELECT CASE WHEN doc_id % 2 = 0 THEN 'adversarial' ELSE 'domain' END AS level, lang AS key, count(*) AS n, round(avg(CAST(gold = predicted AS DOUBLE)), 4) AS value FROM judged JOIN documents USING (doc_id) GROUP BY 1, 2 UNION ALL SELECT 'distribution', label, count(*), round(round(100.0 * count(*) / (SELECT count(*) FROM scores), 2) / 100, 4) FROM scores GROUP BY label UNION ALL SELECT 'entity', CAST(entity_id AS VARCHAR), count(*), round(avg(score_positive - score_negative), 4) FROM scores WHERE entity_id IS NOT NULL GROUP BY entity_id",
+}
 _WALK = """walk(k, took, ms, es) AS (SELECT CAST(0 AS BIGINT), false, list_resize(CAST([] AS BIGINT[]), 1000, 0), list_resize(CAST([] AS BIGINT[]), 20, 0)
         UNION ALL SELECT z.k, w.ms[mi] < 15 AND w.es[entity_id + 1] < 12, CASE WHEN w.ms[mi] < 15 AND w.es[entity_id + 1] < 12 THEN list_transform(w.ms, lambda v, i: v + CAST(i = mi AS BIGINT)) ELSE w.ms END,
           CASE WHEN w.ms[mi] < 15 AND w.es[entity_id + 1] < 12 THEN list_transform(w.es, lambda v, i: v + CAST(i = entity_id + 1 AS BIGINT)) ELSE w.es END FROM walk w JOIN z ON z.k = w.k + 1)"""
@@ -354,5 +432,6 @@ QUERIES = {
         spike_alert_3sigma, trend_week_over_week, head_to_head, label_percentages, per_entity_breakdown, entropy_stats, confidence_calibration, finetune_join_audit, binary_report, insert_if_absent,
         retry_state, constraint_violations, delete_insert_scores, retention_keep_6_months, reprocess_by_version, queue_lease, refreshed_dashboard, refreshed_highlights, dataset_nested, audit_entities,
         language_test, name_candidates, entity_veto, pre_attribution, core_context, readiness_history, near_duplicate_pairs, feed_parse, curation_quota, stream_spike_alerts, scalar_subquery,
+        archive_scan, composite_join, lookup_by_name, mentions_by_document, entropy_variants, promotion_merges, score_guards, queue_health, four_level_report,
     )
 }

@@ -61,6 +61,25 @@ def search_results(pages: DataFrame, most: int = 15) -> DataFrame:
     return x.select("entity_id", "rank", T.strip_markup(F.col("a")).alias("title"), url.alias("source_url"), F.left(F.sha2(url, 256), F.lit(32)).alias("source_id"))
 
 
+def archive_request(base: str, query: str, first: str, last: str, n: int = 100) -> str:
+    """The address of an archive's answer: so many articles of some days, the newest first."""
+    from urllib.parse import urlencode
+
+    stamp = lambda day, time: day.replace("-", "") + time
+    return f"{base}?" + urlencode({"query": query, "mode": "artlist", "format": "json", "sort": "datedesc", "maxrecords": n, "startdatetime": stamp(first, "000000"), "enddatetime": stamp(last, "235959")})
+
+
+def excluded(url: Column, domain: Column, domains: tuple[str, ...] = (), prefixes: tuple[str, ...] = ()) -> Column:
+    """Whether an address belongs to a domain that is left out, or a part of it, or begins in a way that is."""
+    host = F.lower(F.coalesce(domain, T.url_host(url), F.lit("")))
+    out = F.lit(False)
+    for d in domains:
+        out |= (host == d) | F.endswith(host, F.lit(f".{d}"))
+    for p in prefixes:
+        out |= F.startswith(F.coalesce(url, F.lit("")), F.lit(p))
+    return out
+
+
 def archive(records: DataFrame) -> DataFrame:
     """Articles of archive answers(json): title, url, domain, date; the newest first in each answer."""
     schema = "articles array<struct<url:string,title:string,domain:string,seendate:string,language:string>>"

@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,12 @@ class Numbers(dict):
         return n
 
 
+def numbered(texts: list[list[bytes]], number: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all words, end to end, and how many each text has."""
+    long = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(long.sum())), long
+
+
 # -- counts -------------------------------------------------------------------------------------------------
 
 
@@ -117,17 +124,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(list(number), pa.binary()), pa.array(total)], names=["word", "n"])
 
         for batch in batches:
-            for t in batch["text"].cast(pa.binary()).to_pylist():
-                words = tokens_of(t)
-                at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                if len(number) > len(total):
-                    total = np.concatenate([total, np.zeros(max(len(total), len(number) - len(total)), np.int64)])
-                np.add.at(total, at, 1)
-                if len(number) >= FLUSH:
-                    total = total[: len(number)]
-                    yield out()
-                    number, total = Numbers(), np.zeros(0, np.int64)
-        total = total[: len(number)]
+            word, _ = numbered([tokens_of(t) for t in batch["text"].cast(pa.binary()).to_pylist()], number)
+            seen = np.bincount(word, minlength=len(number))
+            seen[: len(total)] += total
+            total = seen
+            if len(number) >= FLUSH:
+                yield out()
+                number, total = Numbers(), np.zeros(0, np.int64)
         yield out()
 
     return common.stored(docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
@@ -197,9 +200,7 @@ def run_counts(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
         for batch in batches:
             number = Numbers({b"\n": 0})
-            texts = [tokens_of(t) for t in batch["text"].cast(pa.binary()).to_pylist()]
-            word = np.fromiter((k for t in texts for k in (*map(number.__getitem__, t), 0)), np.int64)
-            long = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            word, long = numbered([[*tokens_of(t), b"\n"] for t in batch["text"].cast(pa.binary()).to_pylist()], number)
             rank = np.fromiter((sent.value.get(w, 0) for w in number), np.int64, len(number))[word]
             pairs, n = np.unique(last_common(rank, np.repeat(np.cumsum(long) - long, long)) * len(number) + word, return_counts=True)
             # Runs of each distinct word once, and the rank of the common word on top of them.
@@ -428,26 +429,25 @@ def _scored(sent) -> Callable:
         head = sent.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            n_tokens, n_bytes, known, logs, rare = [], [], [], [], []
-            for t in batch["text"].cast(pa.binary()).to_pylist():
-                words = tokens_of(t)
-                found = list(map(head.get, words))
-                rare.append([w for w, x in zip(words, found) if x is None])
-                n_tokens.append(len(words) + 1)
-                n_bytes.append(sum(map(len, words)) + len(words) + 1)
-                known.append(len(words) - len(rare[-1]))
-                logs.append(math.fsum(x for x in found if x is not None))
+            number = Numbers()
+            word, long = numbered([tokens_of(t) for t in batch["text"].cast(pa.binary()).to_pylist()], number)
+            words, of = np.array([*number, None], object)[:-1], np.repeat(np.arange(len(long)), long)
+            log = np.fromiter((head.get(w, np.nan) for w in number), np.float64, len(number))[word]
+            size = np.fromiter(map(len, number), np.int64, len(number))[word]
+            strange = np.isnan(log)
+            n_rare = np.bincount(of[strange], minlength=len(long))
+            rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)), pa.int32()), pa.array(words[word[strange]], pa.binary()))
             yield pa.record_batch(
                 [
                     pa.array(np.arange(row, row + len(batch))),
                     batch["doc_id"],
                     batch["held_out"],
-                    pa.array(n_tokens, pa.int64()),
-                    pa.array(n_bytes, pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(logs, pa.float64()),
+                    pa.array(long + 1),
+                    pa.array(np.bincount(of, size, len(long)).astype(np.int64) + long + 1),
+                    pa.array(long - n_rare),
+                    pa.array(np.bincount(of[~strange], log[~strange], len(long)).astype(np.float64)),
                     batch["log"],
-                    pa.array(rare, pa.list_(pa.binary())),
+                    rare,
                 ],
                 names=[c.split()[0] for c in SCORED.split(", ")],
             )

@@ -257,14 +257,22 @@ class Encoder:
             return chain((self._pieces(first),), (self._pieces(f" {w}") if len(w) > SHORT else self.words[w] for w in words))
         return chain((self._pieces(first),), map(self.words.__getitem__, words))
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """int32 ids."""
+    def _tuples(self, text: str | None):
+        """Tuples of ids, end to end those of a text."""
         special, parts = self.m.special, []
         for k, part in enumerate((text or "").split(special) if special else [text or ""]):
             if k:
                 parts.append(((self.m.special_id,),))
             parts.append(self._part(part))
-        return np.fromiter(chain.from_iterable(chain.from_iterable(parts)), np.int32)
+        return chain.from_iterable(parts)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """int32 ids."""
+        return np.fromiter(chain.from_iterable(self._tuples(text)), np.int32)
+
+    def count(self, text: str | None) -> int:
+        """How many ids a text has. Those of a word that has been seen are not laid end to end again."""
+        return sum(map(len, self._tuples(text)))
 
     def decode(self, ids: np.ndarray):
         """Text piece by piece: a state machine holds back the bytes of an unfinished character; broken ones become U+FFFD."""
@@ -309,8 +317,7 @@ def token_count(text: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        encode = encoder(path).encode
-        return pa.array([len(encode(t)) for t in texts.to_pylist()], pa.int64())
+        return pa.array(list(map(encoder(path).count, texts.to_pylist())), pa.int64())
 
     return count(text)
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import re
+import time
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
@@ -109,31 +112,44 @@ def read_xml(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 
 
-class _Feed(InputPartition):
-    def __init__(self, name: str, url: str):
-        self.name, self.url = name, url
+class _Feeds(InputPartition):
+    def __init__(self, feeds: list[tuple[str, str]]):
+        self.feeds = feeds
 
 
 class _FeedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
-    def partitions(self) -> list[_Feed]:
-        names, urls = self.options.get("names", ""), self.options.get("urls", "")
-        return [_Feed(n, u) for n, u in zip(names.split("\n"), urls.split("\n")) if u]
-
-    def read(self, partition: _Feed) -> Iterator[tuple]:
-        try:
-            with urllib.request.urlopen(partition.url, timeout=float(self.options.get("timeout", 12))) as answer:
-                body = answer.read().decode("utf-8", "replace")
-        except OSError as e:
-            yield partition.name, partition.url, None, str(e)
-        else:
-            yield partition.name, partition.url, body, None
+    def partitions(self) -> list[_Feeds]:
+        """Addresses of a host are dealt to so many partitions at most, each of which asks for one after the other."""
+        most, lanes = int(self.options.get("perhost", 2)), {}
+        for name, url in zip(self.options.get("names", "").split("\n"), self.options.get("urls", "").split("\n")):
+            if url:
+                host = urllib.parse.urlsplit(url).netloc
+                lanes.setdefault(host, []).append((name, url))
+        return [_Feeds(feeds[k::most]) for feeds in lanes.values() for k in range(min(most, len(feeds)))]
+
+    def read(self, partition: _Feeds) -> Iterator[tuple]:
+        for name, url in partition.feeds:
+            yield self._one(name, url)
+
+    def _one(self, name: str, url: str) -> tuple:
+        """The body, or the last error after pauses that double from try to try."""
+        tries, pause = int(self.options.get("tries", 3)), float(self.options.get("pause", 1))
+        for k in range(tries):
+            try:
+                with urllib.request.urlopen(url, timeout=float(self.options.get("timeout", 12))) as answer:
+                    return name, url, answer.read().decode("utf-8", "replace"), None
+            except OSError as e:
+                error = str(e)
+                if k + 1 < tries:
+                    time.sleep(pause * 2**k)
+        return name, url, None, error
 
 
 class FeedSource(DataSource):
-    """One partition for each address; one that does not answer in time gives a row with the error."""
+    """Bodies of addresses, at most two of a host at a time; one that does not answer in several tries gives a row with the error."""
 
     @classmethod
     def name(cls) -> str:
@@ -146,6 +162,25 @@ class FeedSource(DataSource):
         return _FeedReader(self.options)
 
 
-def fetch_feeds(spark: SparkSession, feeds: list[tuple[str, str]]) -> DataFrame:
+def fetch_feeds(spark: SparkSession, feeds: list[tuple[str, str]], **options) -> DataFrame:
+    """config_name, url, xml, error of feeds(name, url). options: tries, pause, timeout, perhost."""
     spark.dataSource.register(FeedSource)
-    return spark.read.format("feeds").option("names", "\n".join(n for n, _ in feeds)).option("urls", "\n".join(u for _, u in feeds)).load()
+    x = spark.read.format("feeds").option("names", "\n".join(n for n, _ in feeds)).option("urls", "\n".join(u for _, u in feeds))
+    return x.options(**options).load()
+
+
+def read_seed(spark: SparkSession, statement: str) -> DataFrame:
+    """The rows of an INSERT INTO table (columns) VALUES ... statement, with ARRAY[...] and doubled quotes as another dialect writes them."""
+    found = re.search(r"(?is)INSERT\s+INTO\s+[\w.\"]+\s*\(([^)]*)\)\s*VALUES\s*(.*?)(?:\s+ON\s+CONFLICT\b.*)?;?\s*$", re.sub(r"(?m)^\s*--.*$", "", statement))
+    if not found:
+        raise ValueError("not an INSERT with VALUES")
+    out = []
+    # Strings apart from what stands between them, so that brackets and marks inside strings stay.
+    for k, part in enumerate(re.split(r"('(?:[^']|'')*')", found[2])):
+        if k % 2:
+            out.append('"' + part[1:-1].replace("''", "'").replace("\\", "\\\\").replace('"', '\\"') + '"')
+        else:
+            bare = re.sub(r"::\s*\w+(?:\[\])?", "", part)
+            out.append(re.sub(r"(?i)ARRAY\s*\[", "array(", bare).replace("]", ")"))
+    columns = ", ".join(c.strip().strip('"') for c in found[1].split(","))
+    return spark.sql(f"SELECT * FROM VALUES {''.join(out)} AS seed({columns})")

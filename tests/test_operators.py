@@ -301,10 +301,21 @@ def test_files(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/m").collect()) == [1, 9]
     assert [r["id"] for r in tables.read_since(spark, f"{tmp_path}/m", "at", "month", "2024-02-01").collect()] == [9]
     (tmp_path / "f.xml").write_text("<rss><item>one</item></rss>")
-    got = tables.fetch_feeds(spark, [("a", f"file://{tmp_path}/f.xml"), ("b", f"file://{tmp_path}/none.xml")]).orderBy("config_name").collect()
+    got = tables.fetch_feeds(spark, [("a", f"file://{tmp_path}/f.xml"), ("b", f"file://{tmp_path}/none.xml")], pause=0.01).orderBy("config_name").collect()
     assert got[0]["xml"].startswith("<rss>") and got[1]["xml"] is None and got[1]["error"]
 
 
+def test_hosts_are_asked_in_two_lanes():
+    urls = [f"http://{h}.example/{k}" for h, n in (("a", 5), ("b", 1)) for k in range(n)]
+    lanes = tables._FeedReader({"names": "\n".join("n" for _ in urls), "urls": "\n".join(urls)}).partitions()
+    assert sorted(len(p.feeds) for p in lanes) == [1, 2, 3] and sorted(u for p in lanes for _, u in p.feeds) == urls
+
+
+def test_seed_statements(spark):
+    x = tables.read_seed(spark, "-- people\nINSERT INTO people (canonical_name, aliases, entity_type)\nVALUES ('Ann O''Lee', ARRAY['Ann','A [x]']::text[], 'person'),\n ('Bob \"B\"', ARRAY['Rob'], 'party') ON CONFLICT (canonical_name) DO NOTHING;")
+    assert [tuple(r) for r in x.orderBy("canonical_name").collect()] == [("Ann O'Lee", ["Ann", "A [x]"], "person"), ('Bob "B"', ["Rob"], "party")]
+
+
 def test_public_never_leaks(spark):
     df = spark.createDataFrame([(1, "t", "secret", 0.5)], "doc_id int, title string, text string, score_positive double")
     assert serving.public(df).columns == ["doc_id", "title"]

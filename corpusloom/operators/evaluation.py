@@ -209,13 +209,23 @@ def sentiment_template(scores: DataFrame, docs: DataFrame, entities: DataFrame,
     )
 
 
-def relevancy_template(docs: DataFrame, terms: dict[int, list[str]], n: int, seed: int, least: int = 500) -> DataFrame:
-    """A sheet for the gold relevancy of entities found in n long documents in seeded order; one row for each entity found."""
+def relevancy_template(docs: DataFrame, terms: dict[int, list[str]], n: int, seed: int, least: int = 500, names: dict[int, str] | None = None, gate: float = 0.5) -> DataFrame:
+    """A sheet for the gold relevancy of entities found in n long documents in seeded order; one row for each entity found.
+
+    With names, the relevancy model's confidence and the gate's decision stand beside each entity.
+    """
     x = docs.where(F.length("text") >= least).orderBy(seeded(F.col("doc_id"), seed), "doc_id").limit(n)
     low = F.lower(F.concat_ws(" ", "title", "text"))
     found = F.array(*[F.when(low.rlike("|".join(map(T.quoted, t))), F.lit(i).cast("bigint")) for i, t in sorted(terms.items()) if t])
     x = x.withColumn("entity_id", F.explode(F.filter(found, lambda i: i.isNotNull())))
-    return x.select("doc_id", "entity_id", "title", preview(F.col("text")).alias("text_preview"), era(F.col("ingested_at")).alias("era_hint"), F.lit("").alias("gold_relevant"), F.lit("").alias("notes"))
+    judged = []
+    if names is not None:
+        from .scoring import mention_relevancy
+
+        name = F.try_element_at(F.create_map(*[F.lit(v) for k, v_ in sorted(names.items()) for v in (k, v_)]), F.col("entity_id").cast("int"))
+        x = x.withColumn("entity_candidate", name).withColumn("relevancy_confidence", F.round(mention_relevancy(F.col("entity_candidate"), F.col("text")), 3))
+        judged = ["entity_candidate", "relevancy_confidence", F.when(F.col("relevancy_confidence") >= gate, "pass").otherwise("block").alias("gate_decision")]
+    return x.select("doc_id", "entity_id", "title", preview(F.col("text")).alias("text_preview"), era(F.col("ingested_at")).alias("era_hint"), *judged, F.lit("").alias("gold_relevant"), F.lit("").alias("notes"))
 
 
 def first_of_each(rows: DataFrame, category: str, key: str, n: int = 10) -> DataFrame:

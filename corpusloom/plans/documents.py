@@ -320,7 +320,7 @@ def gold_template_sentiment(spark, sf_dir):
 
 def gold_template_relevancy(spark, sf_dir):
     terms = {i: [t for t in (n, *a) if len(t) >= 4] for i, n, a in standins.ENTITIES}
-    return evaluation.relevancy_template(standins.raw_texts(spark, sf_dir), terms, 30, 42).drop("text_preview")
+    return evaluation.relevancy_template(standins.raw_texts(spark, sf_dir), terms, 30, 42, names={i: n for i, n, _ in standins.ENTITIES}).drop("text_preview")
 
 
 def failure_samples(spark, sf_dir):
@@ -465,7 +465,7 @@ ORACLES |= {
 _DRAWN = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(event_id AS VARCHAR) || '42'), event_id) AS rn FROM scores WHERE entity_id IS NOT NULL) x WHERE rn <= 10"
 ORACLES |= {
     "gold_template_sentiment": f"{D} SELECT event_id, s.doc_id, canonical_name AS entity_name, title, coalesce('era_' || year(ingested_at), 'unknown') AS era_hint, label AS predicted_label, round(confidence, 3) AS predicted_confidence, '' AS gold_label, '' AS notes FROM ({_DRAWN}) s LEFT JOIN raw_texts r ON s.doc_id = r.doc_id LEFT JOIN entities e ON s.entity_id = e.entity_id",
-    "gold_template_relevancy": f"{D} SELECT DISTINCT doc_id, entity_id, title, 'era_' || year(ingested_at) AS era_hint, '' AS gold_relevant, '' AS notes FROM (SELECT * FROM raw_texts WHERE length(text) >= 500 ORDER BY md5(CAST(doc_id AS VARCHAR) || '42'), doc_id LIMIT 30) r, terms WHERE length(term) >= 4 AND contains(lower(title || ' ' || text), term)",
+    "gold_template_relevancy": f"{D}, found AS (SELECT DISTINCT doc_id, entity_id, title, text, 'era_' || year(ingested_at) AS era_hint FROM (SELECT * FROM raw_texts WHERE length(text) >= 500 ORDER BY md5(CAST(doc_id AS VARCHAR) || '42'), doc_id LIMIT 30) r, terms WHERE length(term) >= 4 AND contains(lower(title || ' ' || text), term)), judged AS (SELECT *, round(len(list_intersect(list_distinct({_TOKENS('canonical_name')}), list_distinct({_TOKENS('text')}))) / CAST(len(list_distinct({_TOKENS('canonical_name')})) AS DOUBLE), 3) AS relevancy_confidence FROM found JOIN entities USING (entity_id)) SELECT doc_id, entity_id, title, era_hint, canonical_name AS entity_candidate, relevancy_confidence, CASE WHEN relevancy_confidence >= 0.5 THEN 'pass' ELSE 'block' END AS gate_decision, '' AS gold_relevant, '' AS notes FROM judged",
     "failure_samples": _Q + "SELECT * FROM (SELECT reason AS fail_reason, doc_id, row_number() OVER (PARTITION BY reason ORDER BY doc_id) AS rn, length(text) AS chars FROM scored WHERE reason <> 'validated') x WHERE rn <= 10",
 }
 

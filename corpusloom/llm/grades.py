@@ -83,19 +83,25 @@ def fit(rows: list[np.ndarray], grade: np.ndarray) -> tuple[np.ndarray, np.ndarr
     often = np.bincount(slot, minlength=1 << BITS) >= LEAST_TEXTS
     slot, of = slot[often[slot]], of[often[slot]]
     used = np.flatnonzero(often)  # all others stay zero
-    slot = np.searchsorted(used, slot)
+    slot = np.searchsorted(used, slot).astype(np.int32)
+    # By text for the scores, by slot for the gradient: sums of neighbours.
+    some, text_at = np.unique(of, return_index=True)
+    order = np.argsort(slot, kind="stable")
+    by_slot, slot_at = of[order].astype(np.int32), np.flatnonzero(np.diff(slot[order], prepend=-1))
     above = np.array([((grade > k).sum() + 1) / (n + 2) for k in range(GRADES - 1)])
     first = -np.log(above[0] / (1 - above[0]))
     gap = np.log(np.maximum(-np.diff(np.log(above / (1 - above))), 0.1))
     w, squares_w, squares_t = np.zeros(len(used)), np.full(len(used), 1e-8), np.full(GRADES - 1, 1e-8)
     for _ in range(ROUNDS):
         t = first + np.concatenate([[0], np.cumsum(np.exp(gap))])
-        s = np.bincount(of, w[slot], n)
+        s = np.zeros(n)
+        if len(some):
+            s[some] = np.add.reduceat(w.take(slot), text_at)
         over = np.concatenate([np.ones((1, n)), sigmoid(s - t[:, None]), np.zeros((1, n))])  # P(grade >= k)
         a, b = over[grade, np.arange(n)], over[grade + 1, np.arange(n)]
         p = np.maximum(a - b, 1e-12)
         ga, gb = a * (1 - a) / p, b * (1 - b) / p  # of the log-likelihood, by s
-        g = np.bincount(slot, (ga - gb)[of], len(used)) / n
+        g = (np.add.reduceat((ga - gb).take(by_slot), slot_at) if len(used) else np.zeros(0)) / n
         squares_w += g * g
         rate = 0.3 / np.sqrt(squares_w)
         w = w + rate * g

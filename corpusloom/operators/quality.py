@@ -67,7 +67,7 @@ def unglue_title(text: Column, title: Column) -> Column:
     def cut(t: Column, w: Column) -> Column:
         # Words are letters and digits only, so they need no escapes. Most texts do not begin with the first word and are not searched.
         rest = F.regexp_replace(t, F.concat(F.lit(r"(?i)^\s*"), F.array_join(w, r"[^\p{L}\p{N}_]*")), F.lit(""))
-        begins = F.startswith(F.lower(F.regexp_replace(F.substring(t, 1, 200), r"^\s+", "")), F.lower(F.get(w, F.lit(0)))) | F.rlike(t, F.lit(r"^\s{100}"))
+        begins = F.startswith(F.lower(F.regexp_replace(F.substring(t, 1, 200), r"^\s+", "")), F.lower(F.substring(F.get(w, F.lit(0)), 1, 50))) | F.rlike(t, F.lit(r"^\s{100}"))
         return F.when((F.size(w) > 0) & begins, T.bound(rest, lambda r: F.when(F.length(r) < F.length(t), F.regexp_replace(r, r"^[ :\-\n\"']+", "")).otherwise(t))).otherwise(t)
 
     return T.bound(text, lambda t: T.bound(F.slice(F.regexp_extract_all(title, F.lit(T.WORD), F.lit(0)), 1, 8), lambda w: cut(t, w)))

@@ -289,12 +289,10 @@ def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated.
 
     A row's verdict hangs on its text alone, so texts are indexed under their SHA-256 and rows go or stay by it,
-    whatever their id. The digests of contaminated texts are stored first, so that their size is known: while they
-    are few they are broadcast and the texts stay where they are, beyond that both sides are shuffled.
+    whatever their id. Contaminated texts grow with the input, so both sides are shuffled at every size.
     """
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     bad = contamination(docs.select(digest.alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("_digest")).distinct()
-    bad = common.stored(bad, "contaminated")
     x = docs.select(F.struct(*docs.columns).alias("_row"), digest.alias("_of"))
     return x.join(bad, x["_of"] == bad["_digest"], "left_anti").select("_row.*")
 

@@ -294,7 +294,7 @@ def test_coder_is_the_one_written_out(spark):
     texts = [str(rng.choice([" ", "\n", "\t \r", "\x0b\x0c"])).join(words[k] for k in rng.integers(0, len(words), n)) for n in (1, 5, 40, 90)] + ["THE the The"]
     code = Coder(trees, tables, ranks)
     want = [code.text([*mixing.tokens_of(t.encode()), mixing.END]) for t in texts]
-    assert np.allclose(coded(spark, texts, ranks, trees, tables), want, rtol=1e-9)
+    assert np.allclose(coded(spark, texts, ranks, trees, tables), want, rtol=1e-5)
 
 
 class Coder:

@@ -205,6 +205,38 @@ def test_near_tells_copies_and_links(spark):
     assert got == {0: (0, 1), 1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (0, 1), 7: (0, 1), 8: (8, 1), 9: (5, 0)}
 
 
+def test_near_finds_every_link_of_a_wide_angle(spark, monkeypatch):
+    """Several blocks, against all pairs: scattered vectors, a dense group, copies, one key with two vectors, and cosines that are no number or just at the threshold."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((300, 16)).astype(np.float32)
+    v[100:160] = v[100] + 0.01 * v[100:160]
+    v[200], v[201], v[202] = v[5], 0, np.nan
+    at = np.zeros((2, 16), np.float32)  # 9 / sqrt(400), just 0.45
+    at[0, :2], at[1, :7] = (1, 1), (4, 5, 12, 3, 2, 1, 1)
+    v[203:205] = at
+    ids = [*range(299), 7]
+    m = v.astype(float)
+    with np.errstate(all="ignore"):
+        norm = np.sqrt((m * m).sum(axis=1))
+        c = m @ m.T / (norm[:, None] * norm)
+    assert 0.4499 < c[203, 204] < 0.4501  # the root of the product, as in SQL, makes it 0.45
+    rep = np.array([5 if k == 200 else i for k, i in enumerate(ids)])
+    link = ~(c < 0.45) & (rep[:, None] != rep) & (np.arange(300) != 200)  # the copy is no vector of its own
+    link[203, 204] = link[204, 203] = True
+    n = {r: link[rep == r].sum() - link[200].sum() * (r == 5) for r in set(rep)}
+    x = spark.createDataFrame([(i, row.tolist()) for i, row in zip(ids, v)] + [(400, None), (None, [9.0] * 16), (401, [1.0, 2.0]), (402, [1.0, None])], "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(dedup, "block_plan", lambda n, most: 5, raising=False)
+    rows = dedup.near(x, 0.45).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in rows if r["vec_id"] not in (None, 401, 402)) == sorted((i, n[r]) for i, r in zip(ids, rep))
+    assert [r["n_links"] for r in rows if r["vec_id"] in (None, 401, 402)] == [0, 0, 0]
+    assert all(np.isnan(r["best_cosine"]) for r in rows if r["vec_id"] not in (None, 401, 402))
+    best = {r["vec_id"]: r["best_cosine"] for r in dedup.near(x.where("vec_id between 0 and 298 and vec_id not in (7, 201, 202)"), 0.45).collect()}
+    use = [k for k in range(299) if k not in (7, 200, 201, 202)]
+    for k in use:
+        over = [c[k, j] for j in use if j != k and c[k, j] >= 0.45]
+        assert best[k] is None if not over else abs(best[k] - max(over)) < 1e-12
+
+
 def test_feed_parse_returns_whole_texts(spark, tmp_path):
     from corpusloom.plans import documents
 

@@ -102,7 +102,7 @@ def normalise(docs: DataFrame, unicode: bool = True) -> DataFrame:
 
 def unique_sentences(text: Column, longer_than: int = 15) -> Column:
     """Sentences in order, the first of equal ones, without short ones."""
-    return F.array_distinct(F.filter(F.transform(T.sentences(text), F.trim), lambda s: F.length(s) > longer_than))
+    return F.array_distinct(F.filter(F.transform(T.sentences(text), lambda s: F.trim(s)), lambda s: F.length(s) > longer_than))
 
 
 def clean_article(text: Column, title: Column) -> Column:

@@ -133,3 +133,10 @@ def test_dates(spark):
 def test_reasons(spark):
     df = spark.createDataFrame([(r,) for r in ("media_timeout", "http_403", "http_404", "other", None)], "r string")
     assert [r[0] for r in df.select(T.reason_category(F.col("r"))).collect()] == ["timeout", "blocked", "dead_link", "other", None]
+
+
+def test_clean_article_keeps_digits_at_the_ends_of_sentences(spark):
+    """No sentence loses digits that are its place in the text: here sentence k begins and ends with k."""
+    parts = [f"{k} apples lie on the table of house no {k}" for k in range(12)]
+    df = spark.createDataFrame([(". ".join(parts) + "!", "Another title")], "text string, title string")
+    assert df.select(quality.clean_article(F.col("text"), F.col("title"))).first()[0] == ". ".join(parts) + "!"

@@ -140,3 +140,10 @@ def test_clean_article_keeps_digits_at_the_ends_of_sentences(spark):
     parts = [f"{k} apples lie on the table of house no {k}" for k in range(12)]
     df = spark.createDataFrame([(". ".join(parts) + "!", "Another title")], "text string, title string")
     assert df.select(quality.clean_article(F.col("text"), F.col("title"))).first()[0] == ". ".join(parts) + "!"
+
+
+def test_extracted_text_keeps_digits_at_the_ends_of_sentences(spark):
+    parts = [f"{k} apples lie on the table of a house that has the number {k}." for k in range(12)]
+    page = "".join(f"<p>{p}</p>" for p in parts)
+    df = spark.createDataFrame([(page, "Apples on the table")], "html string, title string")
+    assert pages.extraction_gate(df).select("gate", "article_text").first() == ("valid_paragraphs", " ".join(parts))

@@ -147,3 +147,9 @@ def test_extracted_text_keeps_digits_at_the_ends_of_sentences(spark):
     page = "".join(f"<p>{p}</p>" for p in parts)
     df = spark.createDataFrame([(page, "Apples on the table")], "html string, title string")
     assert pages.extraction_gate(df).select("gate", "article_text").first() == ("valid_paragraphs", " ".join(parts))
+
+
+def test_repeated_sentences_that_begin_with_their_place(spark):
+    """The second of equal sentences goes, though the first begins with the digit of its place."""
+    df = spark.createDataFrame([("Short. 148.9.179.169 is an address! 148.9.179.169 is an address! 3 is the place of this one.",)], "text string")
+    assert df.select(quality.unique_sentences(F.col("text"))).first()[0] == ["148.9.179.169 is an address!", "3 is the place of this one."]

@@ -102,23 +102,23 @@ def normalise(docs: DataFrame, unicode: bool = True) -> DataFrame:
 
 def unique_sentences(text: Column, longer_than: int = 15) -> Column:
     """Sentences in order, the first of equal ones, without short ones."""
-    return F.array_distinct(F.filter(F.transform(T.sentences(text), lambda s: F.trim(s)), lambda s: F.length(s) > longer_than))
+    return F.array_distinct(F.filter(F.transform(T.sentences(text), lambda s: T.trimmed(s)), lambda s: F.length(s) > longer_than))
 
 
 def clean_article(text: Column, title: Column) -> Column:
     """The enrichment cleaner: addresses, interface phrases, credits, glued title, repeated sentences, doubled dots."""
-    text = T.replaced(text, V.URL, "", "://", "www.")
+    text = T.replaced(text, T.plain(V.URL), "", "://", "www.")
     for p, signs in zip((*V.INTERFACE_PATTERNS, V.PHOTO_CREDIT), (*V.INTERFACE_SIGNS, ("(",))):
-        text = T.replaced(text, p, "", *signs)
+        text = T.replaced(text, T.plain(p), "", *signs)
 
     def unglued(t: Column, flat: Column) -> Column:
-        glued = (F.length(flat) > 0) & F.startswith(F.lower(F.substring(t, 1, 60)), F.substring(flat, 1, 30))
-        rest = F.trim(F.regexp_replace(F.trim(F.substring(t, F.length(flat) + 1, F.length(t))), r"^[\s\-:|]+[a-zA-Z\s,\d]{0,20}", ""))
+        glued = (F.length(flat) > 0) & F.startswith(T.lowered(F.substring(t, 1, 60)), F.substring(flat, 1, 30))
+        rest = T.trimmed(F.regexp_replace(T.trimmed(F.substring(t, F.length(flat) + 1, F.length(t))), T.plain(r"^[\s\-:|]+[a-zA-Z\s,\d]{0,20}"), ""))
         return F.when(glued, rest).otherwise(t)
 
-    flat = F.trim(F.lower(F.regexp_replace(title, r"[^\p{L}\p{N}_\s]", "")))
+    flat = T.trimmed(T.lowered(F.regexp_replace(title, T.plain(r"[^\p{L}\p{N}_\s]"), "")))
     text = F.array_join(unique_sentences(T.bound(text, lambda t: T.bound(flat, lambda f: unglued(t, f)))), " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), r"\.{2,}", "."))
+    return T.trimmed(F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), r"\.{2,}", "."))
 
 
 def title_relevancy(title: Column, text: Column) -> Column:

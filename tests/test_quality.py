@@ -153,3 +153,29 @@ def test_repeated_sentences_that_begin_with_their_place(spark):
     """The second of equal sentences goes, though the first begins with the digit of its place."""
     df = spark.createDataFrame([("Short. 148.9.179.169 is an address! 148.9.179.169 is an address! 3 is the place of this one.",)], "text string")
     assert df.select(quality.unique_sentences(F.col("text"))).first()[0] == ["148.9.179.169 is an address!", "3 is the place of this one."]
+
+
+@pytest.mark.parametrize(
+    "title,text,want",
+    [
+        # A line ends at a line feed only.
+        ("x", "The first sentence is here. Sponsor of\rthis\u2028all\x85of it. The rest is here.", "The first sentence is here. The rest is here."),
+        ("x", "The first sentence is here. Editor: me\r\nThe rest is here now.", "The first sentence is here. The rest is here now."),
+        # s and k in their rare forms; no i with a dot in capitals.
+        ("x", "The first sentence is here. \u017fponsor of it", "The first sentence is here."),
+        ("x", "The first sentence is here. S\u0130MAK JUGA: it goes on", "The first sentence is here. S\u0130MAK JUGA: it goes on"),
+        # A title is as long in lower case as it was; the sigma at a word's end is like others.
+        ("\u0130stanbul is far", "\u0130stanbul is far - Ankara, 12 here is a whole sentence of it.", "whole sentence of it."),
+        ("\u03a3\u0391\u03a3 is here", "\u03c3\u03b1\u03c3 is here: some words, and a whole sentence of it.", "ole sentence of it."),
+    ],
+)
+def test_clean_article_reads_patterns_as_the_sql_does(spark, title, text, want):
+    import duckdb
+
+    from corpusloom.plans import served
+
+    df = spark.createDataFrame([(text, title)], "text string, title string")
+    got = df.select(quality.clean_article(F.col("text"), F.col("title"))).first()[0]
+    con = duckdb.connect()
+    assert got == con.execute(f"WITH src AS (SELECT ? AS text, ? AS title), {served.clean_sql('text')} SELECT article FROM cleaned", [text, title]).fetchone()[0]
+    assert got == want

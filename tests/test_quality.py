@@ -179,3 +179,9 @@ def test_clean_article_reads_patterns_as_the_sql_does(spark, title, text, want):
     con = duckdb.connect()
     assert got == con.execute(f"WITH src AS (SELECT ? AS text, ? AS title), {served.clean_sql('text')} SELECT article FROM cleaned", [text, title]).fetchone()[0]
     assert got == want
+
+
+def test_paragraphs_keep_hard_spaces_inside(spark):
+    """White space is what it is in the SQL; spaces of any width at the ends of a paragraph go."""
+    df = spark.createDataFrame([("<p>\u00a0one\u00a0two \r\n three\x0bfour \u2003</p><p>\u3000</p><p>five</p>",)], "html string")
+    assert df.select(pages.main_text(F.col("html"))["main_text"]).first()[0] == "one\u00a0two three\x0bfour\nfive"

@@ -185,3 +185,11 @@ def test_paragraphs_keep_hard_spaces_inside(spark):
     """White space is what it is in the SQL; spaces of any width at the ends of a paragraph go."""
     df = spark.createDataFrame([("<p>\u00a0one\u00a0two \r\n three\x0bfour \u2003</p><p>\u3000</p><p>five</p>",)], "html string")
     assert df.select(pages.main_text(F.col("html"))["main_text"]).first()[0] == "one\u00a0two three\x0bfour\nfive"
+
+
+def test_borders_and_ends_of_sentences_are_those_of_the_sql(spark):
+    """A vertical tab and a hard space part nothing, a space of any width at an end goes, U+0001 parts."""
+    whole = "A first whole sentence.\x0bIt goes on here.\u00a0So it does."
+    text = f"{whole} \u2003Wide space around this one.\u00a0\r\nA sign\x01inside of this sentence."
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(quality.unique_sentences(F.col("text"))).first()[0] == [whole, "Wide space around this one.\u00a0\r\nA sign", "inside of this sentence."]

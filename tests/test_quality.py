@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions import values as V
 from corpusloom.operators import pages, quality
+from corpusloom.plans import documents, standins
 
 
 def scored(spark, text, title="alpha beta", language=False):
@@ -193,3 +194,17 @@ def test_borders_and_ends_of_sentences_are_those_of_the_sql(spark):
     text = f"{whole} \u2003Wide space around this one.\u00a0\r\nA sign\x01inside of this sentence."
     df = spark.createDataFrame([(text,)], "text string")
     assert df.select(quality.unique_sentences(F.col("text"))).first()[0] == [whole, "Wide space around this one.\u00a0\r\nA sign", "inside of this sentence."]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_null_text_has_no_counts_of_sentences(spark, monkeypatch, ansi):
+    """As in the SQL, counts of a null text are null, those of an empty one are not, whether the session is an ANSI one or not."""
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "One sentence of it. One sentence of it.")], "doc_id bigint, text string")
+    monkeypatch.setattr(standins, "raw_texts", lambda spark, sf_dir: df)
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        got = documents.sentence_dedup(spark, "").orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert [(r["n_sentences"], r["n_kept"], r["kept_sha256"] is None) for r in got] == [(None, None, True), (1, 0, False), (2, 1, False)]

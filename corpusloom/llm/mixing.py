@@ -8,7 +8,7 @@ and of the last common word of the text together with the 3 bytes before. The la
 of the word: it tells language and phrase. Log-odds are added with weights that a gate picks, the gate
 being how often the longest contexts have been seen. The weights begin a text with fixed values and are refined
 after each bit by the coding error, over the whole text. A text has weights of its own, so that its score depends
-neither on partitions nor on other texts. The coder itself is in mixer.py, as each bit waits for the one before.
+neither on partitions nor on other texts. The coder itself and all that counts texts and words is in mixer.py.
 
 Training needs each distinct word only once, with its count, and each distinct run of four bytes with its common
 word; those counts come from all training rows by shuffles. Tables of slots grow with the number of distinct words
@@ -25,12 +25,10 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +44,8 @@ FLUSH = 400_000
 LEAST_BITS, MOST_BITS, RUN_BITS = 16, 24, 22
 CHUNK = 16
 ORDERS = (3, 5, 0)  # bytes before; 0: the whole word so far
-#: Bytes before that stand beside the common word.
-RUN = 3
-#: Distinct words worked on together in training.
-SLICE = 1 << 16
 RATE = 0.005
 SPACE, END = 32, 10
-M1, M2, M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
-ODD = np.uint32(0x01000193)
 #: Log-odds in steps of a quarter, and two bits for how often the context has been seen.
 STEP, MIDDLE = 0.25, 31
 #: Initial weights of the predictors (3, 5 bytes, word, common word) by gate: the common word's context new, seen once, 2 to 15
@@ -86,54 +78,12 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-class Numbers(dict):
-    """Words numbered in the order they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def numbered(texts: list[list[bytes]], number: Numbers) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all words, end to end, and how many each text has."""
-    long = np.fromiter(map(len, texts), np.int64, len(texts))
-    return np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(long.sum())), long
-
-
 # -- counts -------------------------------------------------------------------------------------------------
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and the sums of their numbers."""
-    if not len(keys):
-        return keys, n
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(n, first)
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all rows of docs, stored in the shared folder."""
-    common.bound_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, total = Numbers(), np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(number), pa.binary()), pa.array(total)], names=["word", "n"])
-
-        for batch in batches:
-            word, _ = numbered([tokens_of(t) for t in batch["text"].cast(pa.binary()).to_pylist()], number)
-            seen = np.bincount(word, minlength=len(number))
-            seen[: len(total)] += total
-            total = seen
-            if len(number) >= FLUSH:
-                yield out()
-                number, total = Numbers(), np.zeros(0, np.int64)
-        yield out()
-
-    return common.stored(docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return common.stored(mixer.words_in(docs.select("text"), FLUSH).groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
 def frequent(words: DataFrame, most: int = HEAD) -> dict[bytes, int]:
@@ -155,119 +105,12 @@ def common_words(words: DataFrame) -> dict[bytes, int]:
     return {bytes(r["word"]): k + 1 for k, r in enumerate(rows)}
 
 
-def last_common(rank: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each token, the rank of the last common word before it in its text, or 0. rank: of each token, 0 for others; first: where its text begins."""
-    at = np.maximum.accumulate(np.where(rank > 0, np.arange(len(rank)), -1)) if len(rank) else np.zeros(0, np.int64)
-    before = np.append(-1, at[:-1])[: len(rank)]
-    return np.where(before >= first, rank[np.maximum(before, 0)], 0)
-
-
-def flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, with their space or end behind them, as one array; the byte before each byte, and how far into its word it is."""
-    buf = np.frombuffer(b"".join(words), np.uint8)
-    before = np.append(np.uint8(SPACE), buf[:-1])[: len(buf)]
-    fresh = (before == SPACE) | (before == END)
-    before = np.where(fresh, np.uint8(SPACE), before)
-    start = np.maximum.accumulate(np.where(fresh, np.arange(len(buf)), 0)) if len(buf) else np.zeros(0, np.int64)
-    return buf, before, np.arange(len(buf)) - start
-
-
-def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... n of each, end to end."""
-    ends = np.cumsum(n)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + n, n)
-
-
-def run_keys(buf: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """How many bytes of the word stand before each byte (RUN at most), those bytes, the nearest last, and the byte itself, as one number. The rank of a common word goes above."""
-    have = np.minimum(pos, RUN)
-    key = have << 8 * RUN + 8 | buf
-    for d in range(1, RUN + 1):
-        key[d:] |= np.where(have[d:] >= d, buf[:-d].astype(np.int64) << 8 * d, 0)
-    return key
-
-
 def run_counts(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """key, n of all runs of bytes in docs beside their common words, stored in the shared folder."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            k, n = summed(np.concatenate(keys), np.concatenate(counts))
-            return pa.record_batch([pa.array(k), pa.array(n)], names=["key", "n"])
-
-        for batch in batches:
-            number = Numbers({b"\n": 0})
-            word, long = numbered([[*tokens_of(t), b"\n"] for t in batch["text"].cast(pa.binary()).to_pylist()], number)
-            rank = np.fromiter((sent.value.get(w, 0) for w in number), np.int64, len(number))[word]
-            pairs, n = np.unique(last_common(rank, np.repeat(np.cumsum(long) - long, long)) * len(number) + word, return_counts=True)
-            # Runs of each distinct word once, and the rank of the common word on top of them.
-            raw = [b"\n", *(w + b" " for w in list(number)[1:])]
-            buf, _, pos = flat(raw)
-            runs, long = run_keys(buf, pos), np.fromiter(map(len, raw), np.int64, len(raw))
-            n_bytes = long[pairs % len(number)]
-            k, n = summed(runs[ranges((np.cumsum(long) - long)[pairs % len(number)], n_bytes)] | np.repeat(pairs // len(number) << 8 * RUN + 10, n_bytes), np.repeat(n, n_bytes))
-            keys.append(k)
-            counts.append(n)
-            size += len(k)
-            if size >= 8 * FLUSH:
-                k, n = summed(np.concatenate(keys), np.concatenate(counts))
-                keys, counts, size = [k], [n], len(k)
-            if size >= 4 * FLUSH:
-                yield out()
-                keys, counts, size = [], [], 0
-        if keys:
-            yield out()
-
-    return common.stored(docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "runs")
-
-
-# -- contexts -----------------------------------------------------------------------------------------------
-
-
-_POWERS: list[np.ndarray] = []
-
+    return common.stored(mixer.runs_in(docs.select("text"), ranks, 4 * FLUSH).groupBy("key").agg(F.sum("n").alias("n")), "runs")
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**32."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        inverse = pow(int(ODD), -1, 1 << 32)
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint32), np.full(n, x, np.uint32)]), dtype=np.uint32) for x in (ODD, np.uint32(inverse))]
-    return _POWERS[0], _POWERS[1]
 
-
-def stirred(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint32(15))) * M1
-    return x ^ (x >> np.uint32(13))
-
-
-def hashed(buf: np.ndarray, pos: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the context of each byte: the given number of bytes before it in its word, or all of them."""
-    x = buf.astype(np.uint32) + np.uint32(1)
-    up, down = powers(max(len(buf), order) + 1)
-    if order:
-        out = np.zeros(len(buf), np.uint32)
-        for d in range(1, order + 1):
-            if d < len(buf):
-                out[d:] += np.where(pos[d:] >= d, x[:-d], np.uint32(0)) * up[d]
-    else:
-        total = np.zeros(len(buf) + 1, np.uint32)
-        np.cumsum(x * up[: len(buf)], dtype=np.uint32, out=total[1:])
-        start = np.arange(len(buf)) - pos
-        out = (total[:-1] - total[start]) * down[start]
-    return stirred(out)
-
-
-def ranked(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Hash of a context and a common word."""
-    return stirred(h + (rank.astype(np.uint32) + np.uint32(1)) * M3)
-
-
-def slots(h: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """Of 2**bits slots, that of a node in a context. The slots of a context are 64 neighbours, so that the decisions of a byte find theirs together."""
-    return ((h * M1) >> np.uint32(38 - bits)) << np.uint32(6) | (h + node * M2) >> np.uint32(26)
+# -- trees -----------------------------------------------------------------------------------------------------
 
 
 class Trees:
@@ -298,35 +141,12 @@ class Trees:
         self.nodes = np.concatenate([n for n, _ in paths]).astype(np.uint32)
         self.bits = np.concatenate([b for _, b in paths]).astype(np.int8)
 
-    def events(self, before: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The decisions of each byte in turn: which byte, node, bit."""
-        key = before.astype(np.int32) << 8 | byte
-        n = self.size[key]
-        ends = np.cumsum(n, dtype=np.int32)
-        of = np.repeat(np.arange(len(key), dtype=np.int32), n)
-        at = np.arange(len(of), dtype=np.int32) + np.repeat(self.start[key] - ends + n, n)
-        return of, self.nodes[at], self.bits[at]
-
-    def sizes(self, before: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """How many decisions each byte takes."""
-        return self.size[before.astype(np.int32) << 8 | byte]
 
-
-def pair_counts(words: DataFrame, ends: int) -> np.ndarray:
-    """How often each byte follows each other one: 65,536 sums."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(65536, np.int64)
-        for batch in batches:
-            buf, before, _, times = spelled_words(batch)
-            np.add.at(total, before.astype(np.int64) << 8 | buf, times)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["pair", "n"])
-
-    rows = words.mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+def pair_counts(words: DataFrame) -> np.ndarray:
+    """How often each byte follows each other one: 65,536 sums. A null word is the end of a text."""
+    rows = mixer.pairs_in(words).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(65536, np.int64)
     out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
-    out[SPACE << 8 | END] += ends
     return out
 
 
@@ -340,74 +160,24 @@ def coded(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (odds.astype(np.uint8) << 2) | np.digitize(n - np.sort(n)[len(n) // 2], (1, 2, 16)).astype(np.uint8)
 
 
-def spelled_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of words: bytes, bytes before, places in words, and how often each occurs."""
-    words = [w + b" " for w in batch["word"].to_pylist()]
-    buf, before, pos = flat(words)
-    return buf, before, pos, np.repeat(batch["n"].to_numpy(), np.fromiter(map(len, words), np.int64, len(words)))
-
-
-def by_order(order: int, ends: int) -> Callable:
-    """What rows of words add to the table of an order: bytes, bytes before, hashes, times."""
-
-    def read(batch: pa.RecordBatch | None):
-        if batch is None:  # the end tokens, which no word holds
-            none = np.zeros(1, np.int64)
-            return np.array([END], np.uint8), np.array([SPACE], np.uint8), hashed(np.array([END], np.uint8), none, order), np.array([ends])
-        buf, before, pos, times = spelled_words(batch)
-        return buf, before, hashed(buf, pos, order), times
-
-    return read
-
-
-def by_run(batch: pa.RecordBatch | None):
-    """What rows of runs add to the table of common words."""
-    if batch is None:
-        return None
-    key = batch["key"].to_numpy()
-    have, rank = key >> 8 * RUN + 8 & 3, key >> 8 * RUN + 10
-    h, up = np.zeros(len(key), np.uint32), powers(RUN + 1)[0]
-    for d in range(1, RUN + 1):
-        h += np.where(have >= d, (key >> 8 * d & 255) + 1, 0).astype(np.uint32) * up[d]
-    before = np.where(have > 0, key >> 8 & 255, SPACE).astype(np.uint8)
-    return (key & 255).astype(np.uint8), before, ranked(stirred(h), rank), batch["n"].to_numpy()
-
-
-def table(rows: DataFrame, read: Callable, trees, bits: int) -> np.ndarray:
-    """A hashed predictor as bytes. trees: broadcast. Partial sums of slot ranges meet in as many tasks as there are ranges; all sums are whole numbers."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(2 << bits, np.int64)
-
-        def add(x) -> None:
-            if x is not None:
-                buf, before, h, times = x
-                of, node, bit = trees.value.events(before, buf)
-                np.add.at(sums, slots(h[of], node, bits).astype(np.int64) << 1 | bit, times[of])
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                add(read(batch.slice(k, SLICE)))
-        if TaskContext.get().partitionId() == 0:
-            add(read(None))
-        for c, x in enumerate(sums.reshape(-1, 2 << min(CHUNK, bits))):
-            if x.any():
-                yield pa.record_batch([pa.array([c], pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["part", "sums"])
+def table(rows: DataFrame, order: int, trees, bits: int) -> np.ndarray:
+    """A hashed predictor as bytes, from words or, if order is -1, runs. trees: sent. Partial sums of slot ranges meet in as many tasks as there are ranges; all sums are whole numbers."""
+    chunk = min(CHUNK, bits)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, x in zip(batch["part"].to_pylist(), batch["sums"].to_pylist()):
-                raw = np.frombuffer(pa.decompress(x, 16 << min(CHUNK, bits), codec="zstd", asbytes=True), np.int64)
+                raw = np.frombuffer(pa.decompress(x, 16 << chunk, codec="zstd", asbytes=True), np.int64)
                 sums[part] = sums[part] + raw if part in sums else raw
         for part, s in sums.items():
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([coded(s[::2], s[1::2]).tobytes()], pa.binary())], names=["part", "codes"])
 
-    out = np.full((1 << bits) // (1 << min(CHUNK, bits)) << min(CHUNK, bits), MIDDLE << 2, np.uint8)
-    found = rows.mapInArrow(partial, "part int, sums binary").repartition("part").mapInArrow(whole, "part int, codes binary").toArrow()
+    out = np.full(1 << bits, MIDDLE << 2, np.uint8)
+    found = mixer.slots_in(rows, trees, order, bits, chunk).repartition("part").mapInArrow(whole, "part int, codes binary").toArrow()
     for part, codes in zip(found["part"].to_pylist(), found["codes"].to_pylist()):
-        at = part << min(CHUNK, bits)
-        out[at : at + (1 << min(CHUNK, bits))] = np.frombuffer(codes, np.uint8)
+        at = part << chunk
+        out[at : at + (1 << chunk)] = np.frombuffer(codes, np.uint8)
     return out
 
 
@@ -419,52 +189,17 @@ def bits_for(n: int) -> int:
 # -- scoring ------------------------------------------------------------------------------------------------
 
 
-SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_bytes bigint, n_known bigint, head_log double, log double, rare array<binary>"
-
-
-def _scored(sent) -> Callable:
-    """What the base score needs of each text: tokens, the logarithms of frequent words, and the words that are not among them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = sent.value
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            number = Numbers()
-            word, long = numbered([tokens_of(t) for t in batch["text"].cast(pa.binary()).to_pylist()], number)
-            words, of = np.array([*number, None], object)[:-1], np.repeat(np.arange(len(long)), long)
-            log = np.fromiter((head.get(w, np.nan) for w in number), np.float64, len(number))[word]
-            size = np.fromiter(map(len, number), np.int64, len(number))[word]
-            strange = np.isnan(log)
-            n_rare = np.bincount(of[strange], minlength=len(long))
-            rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)), pa.int32()), pa.array(words[word[strange]], pa.binary()))
-            yield pa.record_batch(
-                [
-                    pa.array(np.arange(row, row + len(batch))),
-                    batch["doc_id"],
-                    batch["held_out"],
-                    pa.array(long + 1),
-                    pa.array(np.bincount(of, size, len(long)).astype(np.int64) + long + 1),
-                    pa.array(long - n_rare),
-                    pa.array(np.bincount(of[~strange], log[~strange], len(long)).astype(np.float64)),
-                    batch["log"],
-                    rare,
-                ],
-                names=[c.split()[0] for c in SCORED.split(", ")],
-            )
-            row += len(batch)
-
-    return run
-
-
 def learn(rows: DataFrame) -> tuple[DataFrame, int, dict[bytes, int], Trees, list[np.ndarray]]:
     """What the texts of rows teach: word counts, ends, ranks of common words, trees and tables."""
-    words, ends = word_counts(rows), rows.count()
+    spark, words, ends = rows.sparkSession, word_counts(rows), rows.count()
     ranks = common_words(words)
-    trees = Trees(pair_counts(words, ends))
-    sent, bits = rows.sparkSession.sparkContext.broadcast(trees), bits_for(words.count())
-    tables = [table(words, by_order(o, ends), sent, bits) for o in ORDERS]
+    # The ends of texts are a null word.
+    said = words.unionByName(spark.range(0, 1 if ends else 0, 1, 1).select(F.lit(None).cast("binary").alias("word"), F.lit(ends).alias("n")))
+    trees = Trees(pair_counts(said))
+    sent, bits = mixer.sent(spark, mixer.packed_trees(trees)), bits_for(words.count())
+    tables = [table(said, o, sent, bits) for o in ORDERS]
     runs = run_counts(rows, ranks)
-    tables.append(table(runs, by_run, sent, min(bits, RUN_BITS)))
+    tables.append(table(runs, -1, sent, min(bits, RUN_BITS)))
     common.discard(runs)
     return words, ends, ranks, trees, tables
 
@@ -479,8 +214,9 @@ def scores(docs: DataFrame, held=None) -> DataFrame:
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = n + ends, v + (ends > 0)
     head = {w: float(np.log10(c + 1)) for w, c in frequent(words).items()}
-    code = mixer.coder(spark, mixer.packed(START, RATE, STEP, MIDDLE, trees, ranks, tables))
-    found = common.stored(rows.withColumn("log", code(F.col("text"))).mapInArrow(_scored(spark.sparkContext.broadcast(head)), SCORED), "scored")
+    code = mixer.scorer(spark, mixer.packed(START, RATE, STEP, MIDDLE, trees, ranks, tables, head))
+    found = common.stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", code(F.col("text")).alias("s")), "scored")
+    found = found.select("row", "doc_id", "held_out", "s.*")
     rare = found.select("row", F.explode("rare").alias("w"))
     rare = rare.join(words, rare["w"] == words["word"], "left")
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.log10(F.col("n") + 1)).otherwise(0.0)).alias("rare_log"), F.count("n").alias("rare_known"))
@@ -489,12 +225,12 @@ def scores(docs: DataFrame, held=None) -> DataFrame:
     return x.select(
         "doc_id",
         "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + int(ends > 0)).alias("n_known"),
+        (F.col("n_words") + 1).alias("n_tokens"),
+        (F.col("n_head") + F.coalesce("rare_known", F.lit(0)) + int(ends > 0)).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (logs - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
+        (logs - (F.col("n_words") + 1) * float(np.log10(n + v + 1))).alias("base_score"),
         (F.col("log") / float(np.log(10))).alias("score"),
-        (-F.col("log") / float(np.log(2)) / F.col("n_bytes")).alias("bits_per_byte"),
+        (-F.col("log") / float(np.log(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
 
 

@@ -297,6 +297,44 @@ def test_coder_is_the_one_written_out(spark):
     assert np.allclose(coded(spark, texts, ranks, trees, tables), want, rtol=1e-5)
 
 
+def test_op10_counts_and_scores_stay_in_the_jvm(spark):
+    """Counts of words and runs, passed on in many parts, and what a scorer with frequent words tells of texts; no text goes to Python."""
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(c) for c in rng.integers(97, 123, rng.integers(1, 9))) for _ in range(80)] + ["y" * 300, "ÉÀ", "漢字", "The", "a\x00b", "\x00"]
+    texts = [" ".join(words[k] for k in rng.integers(0, len(words), n)) for n in (1, 30, 200, 90)] + ["THE the\tThe\n", "", None, " \n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    said = [mixing.tokens_of((t or "").encode()) for t in texts]
+    got, ranks = Counter(), {words[0].encode(): 1, b"the": 2}
+    counted, runs = mixer.words_in(rows, 10), mixer.runs_in(rows, ranks, 50)
+    assert counted.count() > len(set(w for t in said for w in t))
+    for r in counted.collect():
+        got[bytes(r["word"])] += r["n"]
+    assert got == Counter(w for t in said for w in t)
+    want, got = Counter(), Counter()
+    for t in said:
+        rank = 0
+        for w in [*t, b"\n"]:
+            s = b"\n" if w == b"\n" else w + b" "
+            for k, c in enumerate(s):
+                want[rank << 34 | min(k, 3) << 32 | int.from_bytes(s[max(k - 3, 0) : k], "big") << 8 | c] += 1
+            rank = ranks.get(w, rank)
+    for r in runs.collect():
+        got[r["key"]] += r["n"]
+    assert got == want
+    trees, tables = random_model(5)
+    head = {w: float(k) for k, w in enumerate(sorted({w for t in said for w in t})[::2])}
+    code = mixer.scorer(spark, mixer.packed(mixing.START, mixing.RATE, mixing.STEP, mixing.MIDDLE, trees, ranks, tables, head))
+    scored = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(2).select("k", code(F.col("t")).alias("s"))
+    plain = Coder(trees, tables, ranks)
+    for t, s in zip(said, [r["s"] for r in scored.orderBy("k").collect()]):
+        assert (s["n_words"], s["n_bytes"], s["n_head"], s["head_log"]) == (len(t), sum(len(w) + 1 for w in t), sum(w in head for w in t), sum(head.get(w, 0) for w in t))
+        assert [bytes(w) for w in s["rare"]] == [w for w in t if w not in head]
+        assert np.isclose(s["log"] / np.log(2), plain.text([*t, mixing.END]), rtol=1e-5)
+    for df in (counted, runs, scored):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Arrow" not in plan and "Python" not in plan
+
+
 class Coder:
     """The coder written out bit by bit, with whole numbers for hashes."""
 
